@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .times import strip
+from .times import fixed, strip
 
 # Gender words, age bands and placeholder texts.
 MEN_WORDS = ("M", "MALE", "MAN")
@@ -99,7 +99,7 @@ def track_label(track: Column, bib: Column, locked_conf: Column) -> Column:
         F.lit("Racer ID "), track.cast("string"), F.lit(" | Bib: "), F.coalesce(bib, F.lit(""))
     )
     return F.when(locked_conf.isNull(), plain).otherwise(
-        F.concat(plain, F.format_string(" (%.2f)", locked_conf))
+        F.concat(plain, F.lit(" ("), fixed(locked_conf, 2), F.lit(")"))
     )
 
 

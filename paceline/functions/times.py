@@ -7,6 +7,8 @@ ratios through ``try_divide``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,48 @@ def _two(n: Column) -> Column:
     return F.format_string("%02d", n.cast("bigint"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scaled_units(x: Column, scale: int) -> Column:
+    """``abs(x) * scale`` rounded to a whole number as if multiplied exactly."""
+    size = F.abs(x)
+    split = size * F.lit(134217729.0)  # 2**27 + 1: upper half of the significand
+    high = split - (split - size)
+    product = size * scale
+    error = (high * scale - product) + (size - high) * scale
+    tie = (product - F.floor(product)) == 0.5
+    return (
+        F.when(tie & (error != 0), F.floor(product) + (error > 0).cast("int"))
+        .otherwise(F.rint(product))
+        .cast("bigint")
+    )
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text with 1 to 6 decimals, rounded from the exact binary value.
+
+    ``format_string`` rounds the shortest decimal text half up, so 0.1328125
+    would print as 0.132813 instead of 0.132812.  Here a tie of the scaled value
+    is settled by the exact error of the product, then half to even.
+    """
+    scale = 10**digits
+
+    def text(v: Column) -> Column:
+        sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+        number = _let(
+            _scaled_units(v, scale),
+            lambda n: F.format_string(
+                f"%d.%0{digits}d", F.floor(n / scale).cast("bigint"), n % scale
+            ),
+        )
+        return F.when(v.isNotNull(), F.concat(sign, number))
+
+    return _let(x, text)
+
+
 def _whole(x: Column) -> Column:
     """Drop the fraction, toward zero."""
     return x.cast("bigint")
@@ -140,9 +184,10 @@ def lag_speed(elapsed_s: Column, video_s: Column) -> Column:
     started = elapsed_s > 0
     lag = F.when(started, elapsed_s - video_s)
     speed = F.when(started, F.try_divide(video_s, elapsed_s))
-    text = F.when(
-        started, F.format_string("Lag: %.1fs (Speed: %.1fx)", lag, speed)
-    ).otherwise(F.lit("Lag: Calculating..."))
+    figures = F.concat(
+        F.lit("Lag: "), fixed(lag, 1), F.lit("s (Speed: "), fixed(speed, 1), F.lit("x)")
+    )
+    text = F.when(started, figures).otherwise(F.lit("Lag: Calculating..."))
     return F.struct(lag.alias("lag_s"), speed.alias("speed"), text.alias("text"))
 
 
@@ -184,4 +229,4 @@ def fmt_clock(ts: Column) -> Column:
 
 
 def fmt_pct(ratio: Column) -> Column:
-    return F.when(ratio.isNull(), F.lit("")).otherwise(F.format_string("%.6f", ratio))
+    return F.when(ratio.isNull(), F.lit("")).otherwise(fixed(ratio, 6))

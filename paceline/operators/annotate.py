@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..functions.times import fixed
 
 RECTANGLE = "rectangle"
 
@@ -62,8 +63,8 @@ def label_text(docs: DataFrame) -> DataFrame:
     """One text per image; empty when there is no rectangle."""
     line = F.transform(
         "labels",
-        lambda s: F.format_string(
-            "%d %.6f %.6f %.6f %.6f", s["cls"], s["cx"], s["cy"], s["w"], s["h"]
+        lambda s: F.concat_ws(
+            " ", s["cls"].cast("string"), *[fixed(s[c], 6) for c in ("cx", "cy", "w", "h")]
         ),
     )
     return _labels(docs).select("stem", F.array_join(line, "\n").alias("value"))

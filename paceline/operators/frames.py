@@ -56,8 +56,8 @@ def frames_with_person_in_roi(
 
 
 def frame_name(frame_ord: Column, fps: Column, extension: str = "jpg") -> Column:
-    stamp = frame_ord / fps
-    return F.format_string(f"frame_%06d_t%.3fs.{extension.lower()}", frame_ord, stamp)
+    stamp = times.fixed(frame_ord / fps, 3)
+    return F.format_string(f"frame_%06d_t%ss.{extension.lower()}", frame_ord, stamp)
 
 
 def video_summary(frames: DataFrame) -> DataFrame:
