@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import detections as _detections  # noqa: F401  (registers its queries)
 from . import ranking as _ranking
 from . import results as _results  # noqa: F401  (registers its queries)
+from . import streams as _streams  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
