@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import annotate, detections, frames, tracks, votes
+from ..plans.tables import materialize
 from . import views as v
 from .registry import query
 
@@ -16,6 +17,10 @@ def _size():
     return F.lit(v.WIDTH), F.lit(v.HEIGHT)
 
 
+def in_view(det):
+    return detections.persons_in_view(det, *_size())
+
+
 # SQL text of the geometry, with the same order of operations as the Columns.
 D = "CAST({} AS DOUBLE)".format
 LINE_M = f"(({D(H)} * 0.78::DOUBLE - {D(H)} * 1.09::DOUBLE) / {D(W)})"
@@ -47,8 +52,21 @@ bibs AS (SELECT * FROM v_det WHERE cls = 1) """
 )
 
 
-def split(spark, sf):
-    return detections.split_classes(v.v_det(spark, sf), *_size())
+def decoded(spark, sf):
+    """Detections decoded once into columns, as a detection table stores them.
+
+    The operators below scan it several times; over the raw events every scan
+    and every corner test would parse the JSON again.
+    """
+    return materialize(v.v_det(spark, sf), "detections")
+
+
+def split(det):
+    return detections.split_classes(det, *_size())
+
+
+def frames_of(det):
+    return det.select(*CAM, "frame_ord").distinct()
 
 
 @query(
@@ -69,7 +87,7 @@ def frame_coords(spark, sf):
     PERSONS + "SELECT race_id, camera_id, frame_ord, track_id, det_seq, x1, y1 FROM persons",
 )
 def corridor(spark, sf):
-    return split(spark, sf)[0].select(*KEY, "det_seq", "x1", "y1")
+    return split(decoded(spark, sf))[0].select(*KEY, "det_seq", "x1", "y1")
 
 
 @query(
@@ -80,7 +98,7 @@ def corridor(spark, sf):
 def finish_cross(spark, sf):
     line = geo.finish_line(*_size())
     crossed = geo.crosses(geo.box_columns(), line["m"], line["b"])
-    return split(spark, sf)[0].select(*KEY, crossed.alias("crossed"))
+    return split(decoded(spark, sf))[0].select(*KEY, crossed.alias("crossed"))
 
 
 CROSSED = (
@@ -97,7 +115,7 @@ def crossings(persons):
 
 @query("q_first_crossing", CROSSED + "SELECT * FROM crossing")
 def first_crossing(spark, sf):
-    return crossings(split(spark, sf)[0])
+    return crossings(split(decoded(spark, sf))[0])
 
 
 @query(
@@ -113,7 +131,7 @@ SELECT race_id, camera_id, frame_ord, track_id, det_seq, yolo_conf FROM pair
 WHERE rn = 1 AND yolo_conf > 0.7::DOUBLE""",
 )
 def assign_bibs(spark, sf):
-    persons, bibs = split(spark, sf)
+    persons, bibs = split(decoded(spark, sf))
     return detections.assign_bibs(persons, bibs).select(*KEY, "det_seq", "yolo_conf")
 
 
@@ -130,7 +148,7 @@ island AS (SELECT race_id, camera_id, track_id, min(frame_ord) AS island_start,
 
 @query("q_islands", ISLANDS + "SELECT * FROM island")
 def islands(spark, sf):
-    return tracks.track_islands(split(spark, sf)[0])
+    return tracks.track_islands(in_view(decoded(spark, sf)))
 
 
 @query(
@@ -141,8 +159,8 @@ FROM island JOIN crossing USING (race_id, camera_id, track_id)
 WHERE island_end >= cross_ord GROUP BY ALL""",
 )
 def lost_tracks(spark, sf):
-    persons, _ = split(spark, sf)
-    return tracks.lost_tracks(tracks.track_islands(persons), crossings(persons))
+    det = decoded(spark, sf)
+    return tracks.lost_tracks(tracks.track_islands(in_view(det)), crossings(split(det)[0]))
 
 
 @query(
@@ -156,7 +174,8 @@ SELECT race_id, camera_id, frame_ord FROM (SELECT *, lag(ids, 1, []) OVER
   (PARTITION BY race_id, camera_id ORDER BY frame_ord) AS before FROM s) WHERE ids <> before""",
 )
 def set_changed(spark, sf):
-    return tracks.set_changed(split(spark, sf)[0], v.v_frames(spark, sf))
+    det = decoded(spark, sf)
+    return tracks.set_changed(in_view(det), frames_of(det))
 
 
 EMITTED = (
@@ -170,14 +189,13 @@ emitted AS (SELECT c.*, least(cross_ord + 30, island_end + 1) AS emit_ord
 )
 
 
-def emitted(spark, sf):
-    persons, _ = split(spark, sf)
-    return tracks.emissions(persons, v.v_frames(spark, sf), crossings(persons))
+def emitted(det):
+    return tracks.emissions(in_view(det), frames_of(det), crossings(split(det)[0]))
 
 
 @query("q_emission", EMITTED + "SELECT * FROM emitted")
 def emission(spark, sf):
-    return emitted(spark, sf)
+    return emitted(decoded(spark, sf))
 
 
 @query(
@@ -189,7 +207,7 @@ def emission(spark, sf):
 )
 def track_board(spark, sf):
     reads = v.v_read(spark, sf).where("track_id < 0")
-    board = tracks.track_board(crossings(split(spark, sf)[0]), votes.vote(reads))
+    board = tracks.track_board(crossings(split(decoded(spark, sf))[0]), votes.vote(reads))
     return board.select(*CAM, "track_id", "finish_time_ms", "bib_number", "position")
 
 
@@ -230,8 +248,8 @@ def person_reads(persons):
 
 @query("q_finisher_events", FINISHERS)
 def finisher_events(spark, sf):
-    persons, _ = split(spark, sf)
-    sent = tracks.finishers(emitted(spark, sf), person_reads(persons))
+    det = decoded(spark, sf)
+    sent = tracks.finishers(emitted(det), person_reads(split(det)[0]))
     return sent.select(
         *CAM, "track_id", "emit_ord", "finish_wall_time", "bib_number", "racer_name"
     )
@@ -423,7 +441,7 @@ def valid_box(spark, sf):
 SELECT * FROM c WHERE cx2 > cx1 AND cy2 > cy1""",
 )
 def pad_crop(spark, sf):
-    cropped = detections.crops(split(spark, sf)[1], F.lit(W), F.lit(700))
+    cropped = detections.crops(split(decoded(spark, sf))[1], F.lit(W), F.lit(700))
     return cropped.select(
         *CAM, "frame_ord", "det_seq", *[F.col(f"crop.{c}").alias(f"c{c}") for c in geo.BOX]
     )
@@ -457,9 +475,8 @@ def sample_frames(spark, sf):
 WHERE cls = 0 AND conf >= 0.97::DOUBLE AND (x1 + x2) / 2 >= 1920 * 0.5""",
 )
 def roi_frames(spark, sf):
-    return frames.frames_with_person_in_roi(
-        v.v_frames(spark, sf), v.v_det(spark, sf), F.lit(W), 0.97
-    )
+    det = decoded(spark, sf)
+    return frames.frames_with_person_in_roi(frames_of(det), det, F.lit(W), 0.97)
 
 
 @query(

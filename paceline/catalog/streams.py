@@ -55,8 +55,8 @@ def run(df: DataFrame, writer=None) -> DataFrame:
 
 def frame_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Frame feed from the detection view: boxes and reads nested per frame."""
-    d = v.v_det(spark, sf)
-    persons, _ = det.split(spark, sf)
+    d = det.decoded(spark, sf)
+    persons, _ = det.split(d)
     reads = det.person_reads(persons).groupBy("race_id", "camera_id", "frame_ord").agg(
         F.collect_list(F.struct("track_id", "det_seq", "bib_read", "ocr_conf")).alias("reads")
     )

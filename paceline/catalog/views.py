@@ -198,15 +198,6 @@ v_det AS (
   FROM v_det0)"""
 
 
-def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per frame of ``v_det``."""
-    return v_det(spark, sf_dir).select("race_id", "camera_id", "frame_ord").distinct()
-
-
-V_FRAMES = V_DET + """, v_frames AS (
-  SELECT DISTINCT race_id, camera_id, frame_ord FROM v_det)"""
-
-
 def v_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event, about one in ten with a person."""
     e = table(spark, sf_dir, "events")

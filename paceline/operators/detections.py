@@ -29,14 +29,24 @@ def last_box_per_track(persons: DataFrame) -> DataFrame:
     return persons.groupBy(*key).agg(last).select(*key, "_last.*").select(*persons.columns)
 
 
+def persons_in_view(
+    df: DataFrame, width: Column, height: Column, opts: Options = DEFAULT
+) -> DataFrame:
+    """Tracked persons inside the corridor, repeated boxes included.
+
+    A pure filter.  Presence of a track (islands, emission) needs no more than
+    this, so those operators skip the shuffle of ``last_box_per_track``.
+    """
+    inside = geo.in_corridor(geo.box_columns(), width, height, opts.geometry)
+    return drop_untracked(df).where((F.col("cls") == PERSON) & inside)
+
+
 def split_classes(
     df: DataFrame, width: Column, height: Column, opts: Options = DEFAULT
 ) -> tuple[DataFrame, DataFrame]:
     """Persons inside the corridor (one box per track) and all bibs."""
-    tracked = drop_untracked(df)
-    inside = geo.in_corridor(geo.box_columns(), width, height, opts.geometry)
-    persons = last_box_per_track(tracked.where((F.col("cls") == PERSON) & inside))
-    return persons, tracked.where(F.col("cls") == BIB)
+    persons = last_box_per_track(persons_in_view(df, width, height, opts))
+    return persons, drop_untracked(df).where(F.col("cls") == BIB)
 
 
 def conf_gate(df: DataFrame, threshold: float = DEFAULT.bib_conf) -> DataFrame:
