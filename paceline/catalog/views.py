@@ -180,7 +180,7 @@ def v_det(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 V_DET = f"""v_det0 AS (
   SELECT (event_id // 20) % 3 % 2 AS race_id, 'cam' || ((event_id // 20) % 3) AS camera_id,
-         (event_id // 20) // 3 AS frame_ord, event_id % 20 AS det_seq,
+         (event_id // 20) // 3 AS frame_ord, CAST(event_id % 20 AS INTEGER) AS det_seq,
          CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS cls, user_id % 16 AS u,
          {K_SQL} AS k, CAST(round(value * 100) AS BIGINT) AS v
   FROM events),

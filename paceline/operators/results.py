@@ -99,7 +99,14 @@ def merge_roster(
         *KEY, *[F.col(c).alias(f"_{c}") for c in ("racer_name", "gender", "team", "age")],
         "row_num",
     )
-    both = base.withColumn("_old", F.lit(True)).join(new, KEY, "full_outer")
+    base = base.withColumn("_old", F.lit(True))
+    if keep_duplicates:
+        # A bib may hold many rows here.  A left join can split such a bib, a
+        # full outer join cannot.
+        added = new.join(base.select(*KEY).distinct(), KEY, "left_anti")
+        both = base.join(new, KEY, "left").unionByName(added, allowMissingColumns=True)
+    else:
+        both = base.join(new, KEY, "full_outer")
     old, listed = F.col("_old").isNotNull(), F.col("row_num").isNotNull()
     pick = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
     op = (
@@ -266,7 +273,9 @@ def quick_add(typed: DataFrame, clock_state: DataFrame, counts: DataFrame) -> Da
     ``typed`` has race_id, bib_number and now_s; ``clock_state`` one row per
     race, ``counts`` the finisher count per race.
     """
-    joined = typed.join(clock_state, "race_id", "left").join(counts, "race_id", "left")
+    # One row per race each; written, they have a known size and split hot races.
+    state, total = materialize(clock_state, "state"), materialize(counts, "counts")
+    joined = typed.join(state, "race_id", "left").join(total, "race_id", "left")
     ms = times.quick_add_ms(
         F.col("now_s"), F.col("race_start_s"), F.col("offset_ms"), F.col("status")
     )
@@ -281,85 +290,92 @@ def quick_add(typed: DataFrame, clock_state: DataFrame, counts: DataFrame) -> Da
 # --- edits, deletes, reorder -------------------------------------------------
 
 
-def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> DataFrame:
-    """Apply one edit per id (a map of field name to text); adds ``edit_status``.
+def _resolve_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> DataFrame:
+    """Edits with what they do: rejected or not, the new bib, and its roster row.
 
-    A changed bib found in the roster takes the roster's name, gender and team,
-    then the edit's non-null fields (a name only if not blank); age is dropped.
-    A changed bib not in the roster is renamed after its bib.  Without a roster
-    hit, fields given as NULL are written as NULL.  A bad time rejects the edit.
+    Works on as many rows as there are edits.  Edits that need no roster row get
+    a key of their own that matches nothing, so they do not pile up on NULL.
     """
     fields = F.col("fields")
-    given = lambda k: F.array_contains(F.map_keys(fields), k)
-    value = lambda k: F.try_element_at(fields, F.lit(k))
-
-    time_text = value("finishTime")
-    bad_time = time_text.isNotNull() & times.parse_edit_time(time_text).isNull()
-    new_bib = F.when(given("bibNumber"), value("bibNumber")).otherwise(F.col("bib_number"))
-
-    edit = edits.select("race_id", "id", "fields")
-    rows = results.join(edit, ["race_id", "id"], "left").withColumns(
-        {
-            "_live": fields.isNotNull() & F.coalesce(~bad_time, F.lit(True)),
-            "_bad": fields.isNotNull() & F.coalesce(bad_time, F.lit(False)),
-        }
-    )
-    rows = rows.withColumn("_new_bib", F.when(F.col("_live"), new_bib))
-    # Only edited rows with another bib look the roster up.
-    changed = F.col("_live") & ~F.col("_new_bib").eqNullSafe(F.col("bib_number"))
-    rows = rows.withColumn("_look", F.when(changed, F.col("_new_bib")))
+    time_text = _value("finishTime")
+    bad = time_text.isNotNull() & times.parse_edit_time(time_text).isNull()
+    old = results.select("race_id", "id", F.col("bib_number").alias("_old_bib"))
+    rows = edits.select("race_id", "id", "fields").join(old, ["race_id", "id"])
+    rows = rows.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    asked_bib = F.when(~F.col("_bad") & _given("bibNumber"), _value("bibNumber"))
+    rows = rows.withColumn("_new_bib", F.coalesce(asked_bib, F.col("_old_bib")))
+    changed = F.col("_new_bib") != F.col("_old_bib")
+    rows = rows.withColumn("_changed", F.coalesce(changed, F.col("_new_bib").isNotNull()))
+    own_key = F.concat(F.lit("\u0000"), F.col("id"))
+    rows = rows.withColumn("_look", F.when(F.col("_changed"), F.col("_new_bib")).otherwise(own_key))
     known = roster.select(
         "race_id",
         F.col("bib_number").alias("_look"),
         *[F.col(c).alias(f"_{c}") for c in ("racer_name", "gender", "team")],
         F.lit(True).alias("_hit"),
     )
-    rows = rows.join(known, ["race_id", "_look"], "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    resolved = rows.join(known, ["race_id", "_look"], "left")
+    return resolved.drop("_look", "_old_bib").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
-    gender = clean.norm_gender(F.coalesce(value("gender"), F.lit("NONE")))
-    team = F.when(clean.filled(value("team")).isNotNull(), times.strip(value("team"))).otherwise(
-        value("team")
-    )
+
+def _given(name: str) -> Column:
+    return F.array_contains(F.map_keys(F.col("fields")), name)
+
+
+def _value(name: str) -> Column:
+    return F.try_element_at(F.col("fields"), F.lit(name))
+
+
+def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> DataFrame:
+    """Apply one edit per id (a map of field name to text); adds ``edit_status``.
+
+    A changed bib found in the roster takes the roster's name, gender and team,
+    then the edit's non-null fields (a name only if not blank); age is dropped.
+    A changed bib not in the roster is renamed after its bib.  Without a roster
+    hit, fields given as NULL are written as NULL.  A bad time rejects the edit.
+    """
+    what = materialize(_resolve_edits(results, edits, roster), "edits")
+    rows = results.join(what, ["race_id", "id"], "left")
+    bad = F.coalesce(F.col("_bad"), F.lit(False))
+    live = F.col("_bad").isNotNull() & ~bad
+    hit = live & F.col("_hit")
+    team_text = _value("team")
+    gender = clean.norm_gender(F.coalesce(_value("gender"), F.lit("NONE")))
     asked = {
+        TIME: times.parse_edit_time(_value("finishTime")),
+        "rank": _value("rank").try_cast("bigint"),
         "gender": F.coalesce(gender, F.lit("")),
-        "team": team,
-        "age": value("age"),
-        TIME: times.parse_edit_time(time_text),
-        "rank": value("rank").try_cast("bigint"),
+        "team": F.coalesce(times.strip(clean.filled(team_text)), team_text),
+        "age": _value("age"),
     }
     from_roster = {
+        TIME: F.col(TIME),
+        "rank": F.col("rank"),
         "gender": clean.filled(F.col("_gender")),
         "team": clean.filled(F.col("_team")),
         "age": F.lit(None).cast("string"),
-        TIME: F.col(TIME),
-        "rank": F.col("rank"),
     }
     key_of = {TIME: "finishTime"}
 
     def edited(c: str) -> Column:
-        said = given(key_of.get(c, c))
+        said = _given(key_of.get(c, c))
         merged = F.when(said, F.coalesce(asked[c], from_roster[c])).otherwise(from_roster[c])
         plain = F.when(said, asked[c]).otherwise(F.col(c))
-        return F.when(hit, merged).when(F.col("_live"), plain).otherwise(F.col(c))
+        return F.when(hit, merged).when(live, plain).otherwise(F.col(c)).alias(c)
 
-    name_text = value("racerName")
+    name_text = _value("racerName")
     typed_name = F.when(times.strip(name_text) != "", name_text)
     name = (
         F.when(hit, F.coalesce(typed_name, F.col("_racer_name")))
-        .when(F.col("_look").isNotNull(), clean.bib_name(F.col("_new_bib")))
-        .when(F.col("_live") & given("racerName"), name_text)
+        .when(live & F.col("_changed"), clean.bib_name(F.col("_new_bib")))
+        .when(live & _given("racerName"), name_text)
         .otherwise(F.col("racer_name"))
     )
-    bib = F.when(F.col("_live"), F.col("_new_bib")).otherwise(F.col("bib_number"))
-    status = (
-        F.when(F.col("_bad"), F.lit(MSG_BAD_TIME)).when(F.col("_live"), F.lit("edited"))
-    )
-    out = {c: edited(c) for c in asked}
+    bib = F.when(live, F.col("_new_bib")).otherwise(F.col("bib_number"))
+    status = F.when(bad, F.lit(MSG_BAD_TIME)).when(live, F.lit("edited"))
     return rows.select(
         "race_id", "id", bib.alias("bib_number"), name.alias("racer_name"),
-        *[out[c].alias(c) for c in (TIME, "rank", "gender", "team", "age")],
-        "seq", status.alias("edit_status"),
+        *[edited(c) for c in asked], "seq", status.alias("edit_status"),
     )
 
 

@@ -59,15 +59,16 @@ def lost_tracks(islands: DataFrame, crossings: DataFrame) -> DataFrame:
 def set_changed(persons: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames whose set of tracks differs from the previous frame's.
 
-    A row leaves or enters iff its track is absent in the frame before or after,
-    which two equi-joins tell without gathering sets.
+    Each sighting counts for its own frame and, shifted, for the next one.  A
+    track seen on one side only has entered or left; one partial aggregate tells.
     """
-    seen = persons.select(*TRACK, "frame_ord").distinct()
-    before = seen.withColumn("frame_ord", F.col("frame_ord") + 1)
     key = [*TRACK, "frame_ord"]
-    entered = seen.join(before, key, "left_anti")
-    left = before.join(seen, key, "left_anti")
-    moved = entered.unionByName(left).select(*FRAME).distinct()
+    now = persons.select(*key, F.lit(1).alias("_side"))
+    before = persons.select(*TRACK, (F.col("frame_ord") + 1).alias("frame_ord"), F.lit(0).alias("_side"))
+    sides = now.unionByName(before).groupBy(*key).agg(
+        F.min("_side").alias("_lo"), F.max("_side").alias("_hi")
+    )
+    moved = sides.where("_lo = _hi").select(*FRAME).distinct()
     return frames.select(*FRAME).join(moved, FRAME, "left_semi")
 
 
