@@ -41,15 +41,18 @@ def write_results_export(results: DataFrame, folder: str, day: date | None = Non
     day = day or date.today()
     path = f"{folder.rstrip('/')}/race_results_{day.isoformat()}.csv"
     rows = boards.export_rows(results).orderBy("race_id", "Rank")
-    quoted = {c: _quoted(c) for c in ("Racer Name", "Team")}
-    guarded = {c: _guarded(c) for c in ("Bib Number", "Gender")}
-    rows = rows.withColumns({**quoted, **guarded}).select("race_id", *EXPORT)
-    # The text is quoted already, so the writer must not quote again.
+    cells = [
+        _quoted(c) if c in ("Racer Name", "Team") else _guarded(c) for c in EXPORT
+    ]
+    # Quoting differs by column, so a row is one finished line under a one-cell
+    # header, written with a separator and a quote that no line contains.
+    line = F.concat_ws(",", *cells).alias(",".join(EXPORT))
     (
-        rows.write.mode("overwrite")
+        rows.select("race_id", line)
+        .write.mode("overwrite")
         .option("header", True)
+        .option("sep", "\u0001")
         .option("quote", "\u0000")
-        .option("emptyValue", "")
         .partitionBy("race_id")
         .csv(path)
     )
@@ -57,12 +60,15 @@ def write_results_export(results: DataFrame, folder: str, day: date | None = Non
 
 
 def _quoted(c: str):
-    return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    """Always quoted; inner quotes doubled, line breaks turned into blanks."""
+    flat = F.translate(F.col(c), "\r\n", "  ")
+    return F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
 def _guarded(c: str):
     """Quote other text only where the file format needs it."""
-    return F.when(F.col(c).rlike('[",\r\n]'), _quoted(c)).otherwise(F.col(c))
+    text = F.col(c).cast("string")
+    return F.when(text.rlike('[",\r\n]'), _quoted(c)).otherwise(text)
 
 
 def write_starter_list(df: DataFrame, path: str) -> None:
