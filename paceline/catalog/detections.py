@@ -198,38 +198,27 @@ def emission(spark, sf):
     return emitted(decoded(spark, sf))
 
 
-@query(
-    "q_track_board",
-    CROSSED
-    + """SELECT race_id, camera_id, track_id, finish_time_ms, 'No Bib' AS bib_number,
-  row_number() OVER (PARTITION BY race_id, camera_id ORDER BY finish_time_ms, track_id)
-  AS position FROM crossing""",
-)
-def track_board(spark, sf):
-    reads = v.v_read(spark, sf).where("track_id < 0")
-    board = tracks.track_board(crossings(split(decoded(spark, sf))[0]), votes.vote(reads))
-    return board.select(*CAM, "track_id", "finish_time_ms", "bib_number", "position")
-
-
 # Reads of a track in view: the assigned bib is read as the person's box number.
-FINISHERS = (
-    EMITTED
-    + """, read AS (SELECT race_id, camera_id, track_id, frame_ord, det_seq,
+READS = """, read AS (SELECT race_id, camera_id, track_id, frame_ord, det_seq,
     CAST(10 + det_seq // 4 AS VARCHAR) AS bib, CAST(40 + (frame_ord + det_seq) % 61 AS BIGINT) AS c
-  FROM persons),
-early AS (SELECT r.*, e.emit_ord FROM read r JOIN emitted e USING (race_id, camera_id, track_id)
-  WHERE frame_ord < emit_ord),
-lock AS (SELECT race_id, camera_id, track_id, arg_min(bib, frame_ord * 100 + det_seq) AS bib
+  FROM persons)"""
+NAMED = """, lock AS (SELECT race_id, camera_id, track_id, arg_min(bib, frame_ord * 100 + det_seq) AS bib
   FROM early WHERE c > 99 GROUP BY ALL),
 score AS (SELECT race_id, camera_id, track_id, bib, sum(c) AS s,
     min(frame_ord * 100 + det_seq) AS t0 FROM early WHERE c > 40 GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY race_id, camera_id, track_id
-    ORDER BY s DESC, t0) AS rn FROM score)
-SELECT e.race_id, e.camera_id, e.track_id, emit_ord, finish_wall_time,
-  coalesce(l.bib, b.bib, 'Unknown-' || e.track_id) AS bib_number,
-  'Racer ' || e.track_id AS racer_name
-FROM emitted e LEFT JOIN lock l USING (race_id, camera_id, track_id)
-LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (race_id, camera_id, track_id)"""
+    ORDER BY s DESC, t0) AS rn FROM score),
+named AS (SELECT race_id, camera_id, track_id, coalesce(l.bib, b.bib) AS bib
+  FROM lock l FULL JOIN (SELECT * FROM best WHERE rn = 1) b USING (race_id, camera_id, track_id)) """
+FINISHERS = (
+    EMITTED
+    + READS
+    + """, early AS (SELECT r.*, e.emit_ord FROM read r
+    JOIN emitted e USING (race_id, camera_id, track_id) WHERE frame_ord < emit_ord)"""
+    + NAMED
+    + """SELECT e.race_id, e.camera_id, e.track_id, emit_ord, finish_wall_time,
+  coalesce(n.bib, 'Unknown-' || e.track_id) AS bib_number, 'Racer ' || e.track_id AS racer_name
+FROM emitted e LEFT JOIN named n USING (race_id, camera_id, track_id)"""
 )
 
 
@@ -246,6 +235,22 @@ def person_reads(persons):
     )
 
 
+@query(
+    "q_track_board",
+    CROSSED
+    + READS
+    + ", early AS (SELECT * FROM read)"
+    + NAMED
+    + """SELECT race_id, camera_id, track_id, finish_time_ms, coalesce(n.bib, 'No Bib') AS bib_number,
+  row_number() OVER (PARTITION BY race_id, camera_id ORDER BY finish_time_ms, track_id)
+  AS position FROM crossing LEFT JOIN named n USING (race_id, camera_id, track_id)""",
+)
+def track_board(spark, sf):
+    persons, _ = split(decoded(spark, sf))
+    board = tracks.track_board(crossings(persons), votes.vote(person_reads(persons)))
+    return board.select(*CAM, "track_id", "finish_time_ms", "bib_number", "position")
+
+
 @query("q_finisher_events", FINISHERS)
 def finisher_events(spark, sf):
     det = decoded(spark, sf)
@@ -271,7 +276,7 @@ m AS (SELECT race_id, camera_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS f
 SELECT race_id, camera_id, frame_ord FROM m WHERE kept""",
 )
 def idle_skip(spark, sf):
-    return tracks.idle_skip(v.v_idle(spark, sf), block_rows=5000)
+    return tracks.idle_skip(v.v_idle(spark, sf))
 
 
 @query(
@@ -460,10 +465,10 @@ def _event_frames(spark, sf):
     "q_sample_frames",
     """SELECT event_id AS frame_ord, printf('frame_%06d_t%.3fs.jpg', event_id, event_id / 25.0::DOUBLE)
   AS name FROM events
-WHERE event_id >= 50 AND event_id < 900 AND (event_id - 50) % 7 = 0""",
+WHERE event_id >= 50 AND (event_id - 50) % 7 = 0""",
 )
 def sample_frames(spark, sf):
-    kept = frames.sample_frames(_event_frames(spark, sf), 7, 10**12, 25.0, 2.0, 36.0)
+    kept = frames.sample_frames(_event_frames(spark, sf), 7, 1 << 62, 25.0, 2.0)
     name = frames.frame_name(F.col("frame_ord"), F.lit(25.0))
     return kept.select("frame_ord", name.alias("name"))
 

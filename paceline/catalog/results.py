@@ -87,10 +87,11 @@ def roster_clean(spark, sf):
     return res.roster_quarantine(raw_roster(spark, sf))[0]
 
 
-# Results to merge into: only two of three bibs, so the file adds new ones.
+# Results to merge into: every fourth bib is unknown to the file, which adds it anew.
 MERGED = (
     f"WITH {v.V_RESULTS}, {RAW}"
-    + """, base AS (SELECT * FROM v_results WHERE CAST(bib_number AS BIGINT) % 4 <> 1),
+    + """, base AS (SELECT * REPLACE (CASE WHEN CAST(bib_number AS BIGINT) % 4 = 1
+    THEN 'Unknown-' || bib_number ELSE bib_number END AS bib_number) FROM v_results),
 last AS (SELECT *, row_number() OVER (PARTITION BY race_id, bib_number ORDER BY seq DESC) AS rn,
            min(seq) OVER (PARTITION BY race_id, bib_number) AS first_seq FROM base),
 col AS (SELECT * FROM last WHERE rn = 1),
@@ -107,7 +108,9 @@ merged AS (
 
 
 def _base(spark, sf):
-    return v.v_results(spark, sf).where(F.col("bib_number").cast("bigint") % 4 != 1)
+    bib = F.col("bib_number")
+    unread = F.when(bib.cast("bigint") % 4 == 1, clean.unknown_bib(bib)).otherwise(bib)
+    return v.v_results(spark, sf).withColumn("bib_number", unread)
 
 
 @query("q_roster_merge", MERGED + "SELECT * FROM merged")

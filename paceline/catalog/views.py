@@ -63,7 +63,7 @@ V_FINISH = f"""v_finish AS (
 
 
 def v_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roster from customers; every fifth is missing, every eleventh has no team."""
+    """Roster from customers; every fifth bib is foreign, every eleventh has no team."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     gender = (
         F.when(F.col("c_nationkey") % 3 == 0, F.lit("male"))
@@ -73,9 +73,10 @@ def v_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = F.when(key % 11 == 0, F.lit("")).otherwise(
         F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit("\t"))
     )
-    return c.where(key % 5 != 0).select(
+    bib = F.when(key % 5 == 0, F.concat(F.lit("G"), key.cast("string")))
+    return c.select(
         race_of(key).alias("race_id"),
-        key.cast("string").alias("bib_number"),
+        bib.otherwise(key.cast("string")).alias("bib_number"),
         F.col("c_name").alias("racer_name"),
         gender.alias("gender"),
         team.alias("team"),
@@ -84,12 +85,14 @@ def v_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_ROSTER = f"""v_roster AS (
-  SELECT {RACE_SQL.format('c_custkey')} AS race_id, CAST(c_custkey AS VARCHAR) AS bib_number,
+  SELECT {RACE_SQL.format('c_custkey')} AS race_id,
+         CASE WHEN c_custkey % 5 = 0 THEN 'G' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END
+           AS bib_number,
          c_name AS racer_name,
          CASE c_nationkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'F' ELSE 'x' END AS gender,
          CASE WHEN c_custkey % 11 = 0 THEN '' ELSE '  ' || c_mktsegment || chr(9) END AS team,
          CAST(c_nationkey AS VARCHAR) AS age
-  FROM customer WHERE c_custkey % 5 <> 0)"""
+  FROM customer)"""
 
 # Normalised gender and trimmed team, as the operators produce them.
 GENDER_SQL = """CASE WHEN upper({0}) IN ('M','MALE','MAN') THEN 'M'

@@ -52,7 +52,7 @@ def frames_with_person_in_roi(
     hits = detections.where(
         (F.col("cls") == PERSON) & (F.col("conf") >= conf) & (centre >= width * roi_from)
     )
-    return frames.join(hits.select(*FRAME), FRAME, "left_semi")
+    return frames.join(hits.select(*FRAME).distinct(), FRAME, "left_semi")
 
 
 def frame_name(frame_ord: Column, fps: Column, extension: str = "jpg") -> Column:

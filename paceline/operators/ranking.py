@@ -116,41 +116,49 @@ def finish_counts(results: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
 
 
 def _heads(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Everything about a key that needs no order: one partial aggregate."""
     t = F.col(TIME)
-    return materialize(
-        placed.groupBy(*keys).agg(
-            F.min(t).alias("winner_ms"),
-            F.count(t).alias("finishers"),
-            F.count(F.when(t < 0, t)).alias("_neg"),
-            F.count(F.when(t > 0, t)).alias("_pos_n"),
-        ),
-        "heads",
+    return placed.groupBy(*keys).agg(
+        F.min(t).alias("winner_ms"),
+        F.count(t).alias("finishers"),
+        F.count(F.when(t < 0, t)).alias("_n_neg"),
+        F.count(F.when(t > 0, t)).alias("_n_pos"),
+        F.sum(F.when(t != 0, 1 / t)).alias("_inverse"),
     )
 
 
 def stats_of_placed(placed: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     """Winner, mean and exact median of winner/time, one row per key.
 
-    Rows already carry ``place``, so the median needs no second sort: over rows
-    with a non-zero time, winner/time is monotone in place except that with a
-    negative winner the negative times move behind the positive ones.  The two
-    middle places follow from the counts alone.
+    The mean is winner * mean(1/time).  The median needs no second sort: over
+    rows with a non-zero time, winner/time is monotone in ``place``, except that
+    with a negative winner the negative times move behind the positive ones.  So
+    the counts give the one or two middle places, and an equi-join on (key,
+    place) fetches just those rows; no race is gathered or broadcast.
     """
-    t, place = F.col(TIME), F.col("place")
-    n = F.col("_neg") + F.col("_pos_n")
+    heads = materialize(_heads(placed, keys), "heads")
+    neg, pos = F.col("_n_neg"), F.col("_n_pos")
+    n = neg + pos
+
+    def place_of(nth: Column) -> Column:
+        rotated = F.when(nth <= pos, nth + neg).otherwise(nth - pos)
+        return F.when(F.col("winner_ms") < 0, rotated).otherwise(nth)
+
     lo, hi = middle_rows(n)
-    rotated = F.when(place > F.col("_neg"), place - F.col("_neg")).otherwise(
-        place + F.col("_pos_n")
+    wanted = heads.where(n > 0).select(
+        *keys,
+        "winner_ms",
+        F.explode(F.array_distinct(F.array(place_of(lo), place_of(hi)))).alias("place"),
     )
-    nth = F.when(F.col("winner_ms") < 0, rotated).otherwise(place)
-    heads = _heads(placed, keys)
-    winning = F.try_divide(F.col("winner_ms"), F.when(t != 0, t))
-    rows = placed.select(*keys, TIME, "place").join(heads, list(keys))
-    return rows.groupBy(*keys).agg(
-        F.first("winner_ms").alias("winner_ms"),
-        F.first("finishers").alias("finishers"),
-        F.avg(winning).alias("mean_winning"),
-        F.avg(F.when((nth == lo) | (nth == hi), winning)).alias("median_winning"),
+    ratio = F.col("winner_ms") / F.col(TIME)
+    middle = placed.select(*keys, TIME, "place").join(wanted, [*keys, "place"])
+    medians = middle.groupBy(*keys).agg(F.avg(ratio).alias("median_winning"))
+    return heads.join(medians, list(keys), "left").select(
+        *keys,
+        "winner_ms",
+        "finishers",
+        F.try_divide(F.col("winner_ms") * F.col("_inverse"), n).alias("mean_winning"),
+        "median_winning",
     )
 
 

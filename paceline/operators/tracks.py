@@ -9,6 +9,7 @@ from ..functions import clean
 from ..functions import geometry as geo
 from ..options import Options
 from ..plans.ordered import ordered_index
+from ..plans.skew import spread_join
 from ..plans.tables import materialize
 from . import idle
 from . import votes as vote_ops
@@ -51,7 +52,8 @@ def track_islands(persons: DataFrame) -> DataFrame:
 
 def lost_tracks(islands: DataFrame, crossings: DataFrame) -> DataFrame:
     """Tracks that had crossed when they went missing, with the frame they were missed in."""
-    seen = islands.join(crossings.select(*TRACK, "cross_ord"), TRACK)
+    crossed = crossings.select(*TRACK, "cross_ord")
+    seen = spread_join(islands, crossed, TRACK, F.col("island_start"))
     gone = seen.where(F.col("island_end") >= F.col("cross_ord"))
     return gone.groupBy(*TRACK).agg((F.min("island_end") + 1).alias("lost_ord"))
 
@@ -87,10 +89,17 @@ def emissions(
     frame lies beyond the input are not sent, unless ``flush_at_end``.
     """
     crossed = materialize(crossings, "crossings")
-    offset = (F.col("frame_ord") - F.col("cross_ord")).cast("int")
+    # The hold touches two buckets of ``hold`` frames, so (track, bucket) is an
+    # equality key, and even a track that fills the table spreads over buckets.
+    bucket = lambda at: F.floor(at / hold).alias("_bucket")
+    cross = F.col("cross_ord")
+    holds = crossed.select(
+        *TRACK, "cross_ord", F.explode(F.array(bucket(cross), bucket(cross) + 1)).alias("_bucket")
+    )
+    seen = persons.select(*TRACK, "frame_ord", bucket(F.col("frame_ord")))
+    offset = (F.col("frame_ord") - cross).cast("int")
     near = (
-        persons.select(*TRACK, "frame_ord")
-        .join(crossed.select(*TRACK, "cross_ord"), TRACK)
+        seen.join(holds, [*TRACK, "_bucket"])
         .where(offset.between(0, hold - 1))
         .groupBy(*TRACK)
         .agg(F.collect_set(offset).alias("_seen"))
@@ -110,7 +119,8 @@ def emissions(
 def finishers(emitted: DataFrame, reads: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Emission events with the bib voted from the reads before the emission frame."""
     sent = materialize(emitted, "emitted")
-    early = reads.join(sent.select(*TRACK, "emit_ord"), TRACK).where("frame_ord < emit_ord")
+    until = sent.select(*TRACK, "emit_ord")
+    early = spread_join(reads, until, TRACK, F.col("frame_ord")).where("frame_ord < emit_ord")
     named = vote_ops.with_bib(sent, vote_ops.vote(early.drop("emit_ord"), opts))
     return named.withColumn("racer_name", clean.track_name(F.col("track_id")))
 
