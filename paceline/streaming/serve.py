@@ -7,7 +7,8 @@ is idempotent.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +23,38 @@ from ..sources import feeds, sinks
 Batch = Callable[[DataFrame, int], None]
 
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, most: int | None = None) -> Iterator[None]:
+    """Start queries with no more state partitions than cores.
+
+    A query fixes its number of state stores when it first starts.  Keys are
+    cameras or races, so stores beyond the cores would be opened and committed
+    in every batch for nothing.
+    """
+    before = spark.conf.get(SHUFFLE)
+    most = most or spark.sparkContext.defaultParallelism
+    spark.conf.set(SHUFFLE, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE, before)
+
+
 def run_available(
     df: DataFrame, writer: Batch, checkpoint: str, output_mode: str = "append"
 ) -> StreamingQuery:
     """Process everything available now, batch by batch, and return the query."""
-    return (
+    stream = (
         df.writeStream.outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(writer)
-        .start()
     )
+    with state_partitions(df.sparkSession):
+        return stream.start()
 
 
 def on_finisher(fn: Batch) -> Batch:
