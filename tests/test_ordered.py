@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paceline.operators import ranking
 from paceline.plans.ordered import CHUNK, fill_forward, middle_rows, ordered_index, sorted_chunks
+from paceline.plans.sizing import shuffle_settings
+from paceline.plans.skew import spread_join
 from paceline.plans.tables import materialize, release, shared_folder
 
 
@@ -86,3 +88,16 @@ def test_tables_live_in_the_session_folder(spark):
         shared_folder(spark)
     )
     assert release(spark) > 0
+
+
+def test_spread_join(spark):
+    _, big = hot_rows(spark)
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k bigint, name string")
+    got = spread_join(big, small, ["k"], F.col("seq"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").select(*got.columns).collect()))
+
+
+def test_shuffle_settings(spark):
+    small, large = shuffle_settings(10**9, 8), shuffle_settings(100 * 10**12, 8000)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert (small[key], large[key]) == ("16", "100000")

@@ -37,7 +37,8 @@ def test_first_bib_decides_before_the_gate(rows_of):
     assert got == {(2, 7): 2, (2, 8): 2}
 
 
-def test_assign_bibs_brute_force(spark, rows_of):
+@pytest.mark.parametrize("block", [2, 10, 512])
+def test_assign_bibs_brute_force(rows_of, block):
     rng = random.Random(3)
     rows = []
     for f in range(30):
@@ -49,7 +50,9 @@ def test_assign_bibs_brute_force(spark, rows_of):
     det = boxes(rows_of, *rows)
     got = {
         (r.frame_ord, r.track_id): r.det_seq
-        for r in detections.assign_bibs(det.where("cls = 0"), det.where("cls = 1")).collect()
+        for r in detections.assign_bibs(
+            det.where("cls = 0"), det.where("cls = 1"), block=block
+        ).collect()
     }
     want = {}
     for f, _, t, cls, _, x1, y1, x2, y2 in rows:
