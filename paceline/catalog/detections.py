@@ -202,14 +202,16 @@ def emission(spark, sf):
 READS = """, read AS (SELECT race_id, camera_id, track_id, frame_ord, det_seq,
     CAST(10 + det_seq // 4 AS VARCHAR) AS bib, CAST(40 + (frame_ord + det_seq) % 61 AS BIGINT) AS c
   FROM persons)"""
-NAMED = """, lock AS (SELECT race_id, camera_id, track_id, arg_min(bib, frame_ord * 100 + det_seq) AS bib
+NAMED = """, lock AS (SELECT race_id, camera_id, track_id,
+    arg_min(bib, frame_ord * 100 + det_seq) AS bib
   FROM early WHERE c > 99 GROUP BY ALL),
 score AS (SELECT race_id, camera_id, track_id, bib, sum(c) AS s,
     min(frame_ord * 100 + det_seq) AS t0 FROM early WHERE c > 40 GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY race_id, camera_id, track_id
     ORDER BY s DESC, t0) AS rn FROM score),
 named AS (SELECT race_id, camera_id, track_id, coalesce(l.bib, b.bib) AS bib
-  FROM lock l FULL JOIN (SELECT * FROM best WHERE rn = 1) b USING (race_id, camera_id, track_id)) """
+  FROM lock l FULL JOIN (SELECT * FROM best WHERE rn = 1) b
+    USING (race_id, camera_id, track_id)) """
 FINISHERS = (
     EMITTED
     + READS
@@ -241,7 +243,8 @@ def person_reads(persons):
     + READS
     + ", early AS (SELECT * FROM read)"
     + NAMED
-    + """SELECT race_id, camera_id, track_id, finish_time_ms, coalesce(n.bib, 'No Bib') AS bib_number,
+    + """SELECT race_id, camera_id, track_id, finish_time_ms,
+  coalesce(n.bib, 'No Bib') AS bib_number,
   row_number() OVER (PARTITION BY race_id, camera_id ORDER BY finish_time_ms, track_id)
   AS position FROM crossing LEFT JOIN named n USING (race_id, camera_id, track_id)""",
 )
@@ -387,8 +390,8 @@ def with_bib(spark, sf):
 
 @query(
     "q_best_candidate",
-    """WITH c AS (SELECT l_orderkey AS crop_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000
-    + l_suppkey AS cand_seq, CASE WHEN l_suppkey % 5 = 0 THEN '  ' ELSE ' ' || l_suppkey END
+    """WITH c AS (SELECT l_orderkey AS crop_id, CAST(l_linenumber AS BIGINT) * 1000000000
+    + l_partkey * 10000 + l_suppkey AS cand_seq, CASE WHEN l_suppkey % 5 = 0 THEN '  ' ELSE ' ' || l_suppkey END
     AS text, l_discount AS confidence FROM lineitem),
 b AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY confidence DESC, cand_seq) AS rn
   FROM c)
@@ -463,7 +466,8 @@ def _event_frames(spark, sf):
 
 @query(
     "q_sample_frames",
-    """SELECT event_id AS frame_ord, printf('frame_%06d_t%.3fs.jpg', event_id, event_id / 25.0::DOUBLE)
+    """SELECT event_id AS frame_ord,
+  printf('frame_%06d_t%.3fs.jpg', event_id, event_id / 25.0::DOUBLE)
   AS name FROM events
 WHERE event_id >= 50 AND (event_id - 50) % 7 = 0""",
 )

@@ -119,7 +119,8 @@ def finish_counts(spark, sf):
 
 STATS = (
     FINISH
-    + """, w AS (SELECT *, min(finish_time_ms) OVER (PARTITION BY race_id) AS winner_ms FROM v_finish),
+    + """, w AS (SELECT *, min(finish_time_ms) OVER (PARTITION BY race_id) AS winner_ms
+  FROM v_finish),
 p AS (SELECT *, winner_ms / nullif(finish_time_ms, 0) AS pw FROM w),
 s AS (SELECT race_id, min(winner_ms) AS winner_ms, count(finish_time_ms) AS finishers,
         avg(pw) AS mean_winning, median(pw) AS median_winning FROM p GROUP BY race_id) """

@@ -439,7 +439,9 @@ SELECT stage, round(s, 4) AS seconds, round(s / sum(s) OVER () * 100, 6) AS perc
 )
 def timing_report(spark, sf):
     r = report.timing_report(v.v_stage(spark, sf))
-    return r.select("stage", F.round("seconds", 4).alias("seconds"), F.round("percent", 6).alias("percent"))
+    return r.select(
+        "stage", F.round("seconds", 4).alias("seconds"), F.round("percent", 6).alias("percent")
+    )
 
 
 @query(
@@ -487,7 +489,8 @@ def placeholders(spark, sf):
     """SELECT event_id, strftime(ts, '%I:%M:%S %p') AS wall FROM events""",
 )
 def clock_text(spark, sf):
-    return v.table(spark, sf, "events").select("event_id", times.fmt_clock(F.col("ts")).alias("wall"))
+    wall = times.fmt_clock(F.col("ts"))
+    return v.table(spark, sf, "events").select("event_id", wall.alias("wall"))
 
 
 @query(

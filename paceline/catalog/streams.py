@@ -117,7 +117,8 @@ def stream_changelog(spark, sf):
 
 @query(
     "q_latest_frame",
-    f"WITH {v.V_IDLE} SELECT race_id, camera_id, max(frame_ord) AS frame_ord FROM v_idle GROUP BY ALL",
+    f"WITH {v.V_IDLE}"
+    + " SELECT race_id, camera_id, max(frame_ord) AS frame_ord FROM v_idle GROUP BY ALL",
 )
 def latest_frame(spark, sf):
     return serve.latest_only(v.v_idle(spark, sf)).drop("has_person")

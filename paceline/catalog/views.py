@@ -279,7 +279,10 @@ def v_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     kind = n % 5
     text = F.when(k % 7 == 0, F.lit("bad")).otherwise(
-        F.concat(k.cast("string"), F.lit(":"), (n % 60).cast("string"), F.lit("."), (k % 10).cast("string"))
+        F.concat(
+            k.cast("string"), F.lit(":"), (n % 60).cast("string"),
+            F.lit("."), (k % 10).cast("string"),
+        )
     )
     return e.where(F.col("event_type").isin("view", "click")).select(
         (F.col("user_id") % 3).alias("race_id"),

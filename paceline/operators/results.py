@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -429,6 +427,3 @@ def require_columns(df: DataFrame, columns: set[str]) -> None:
     if missing:
         raise ValueError(f"CSV must contain headers: {', '.join(missing)}")
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

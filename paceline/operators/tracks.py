@@ -66,7 +66,8 @@ def set_changed(persons: DataFrame, frames: DataFrame) -> DataFrame:
     """
     key = [*TRACK, "frame_ord"]
     now = persons.select(*key, F.lit(1).alias("_side"))
-    before = persons.select(*TRACK, (F.col("frame_ord") + 1).alias("frame_ord"), F.lit(0).alias("_side"))
+    after = (F.col("frame_ord") + 1).alias("frame_ord")
+    before = persons.select(*TRACK, after, F.lit(0).alias("_side"))
     sides = now.unionByName(before).groupBy(*key).agg(
         F.min("_side").alias("_lo"), F.max("_side").alias("_hi")
     )

@@ -29,6 +29,30 @@ def _batch(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+_PERSON = ("track_id", "det_seq", "crossed")
+_READ = ("track_id", "det_seq", "bib_read", "ocr_conf")
+
+
+def _frames(batch: pd.DataFrame) -> Iterator[dict]:
+    """Rows as plain values, which survive JSON unchanged."""
+    for row in batch.itertuples(index=False):
+        yield {
+            "frame_ord": int(row.frame_ord),
+            "video_ms": float(row.video_ms),
+            "wall_ts": float(row.wall_ts),
+            "persons": _structs(row.persons, _PERSON),
+            "reads": _structs(row.reads, _READ),
+        }
+
+
+def _structs(values, names: tuple[str, ...]) -> list[dict]:
+    return [] if values is None else [{n: v[n] for n in names} for v in values]
+
+
+def _det_seq(item: dict) -> int:
+    return item["det_seq"]
+
+
 class TrackProcessor(StatefulProcessor):
     """Tracks of one camera: crossing, hold, emission, and the bib tally.
 
@@ -76,9 +100,7 @@ class TrackProcessor(StatefulProcessor):
             yield done
 
     def _ready(self, rows) -> Iterator[dict]:
-        columns = ["frame_ord", "video_ms", "wall_ts", "persons", "reads"]
-        batch = _batch(rows, ["frame_ord"])[columns]
-        frames = (json.loads(line) for line in batch.to_json(orient="records", lines=True).splitlines())
+        frames = _frames(_batch(rows, ["frame_ord"]))
         if not self.dense:
             yield from frames
             return
@@ -105,7 +127,8 @@ class TrackProcessor(StatefulProcessor):
 
     def _frame(self, frame: dict, tracks: dict, out: list) -> None:
         at = frame["frame_ord"]
-        seen = {p["track_id"]: p for p in sorted(frame["persons"] or [], key=lambda p: p["det_seq"])}
+        # A track seen twice in one frame keeps its last box.
+        seen = {p["track_id"]: p for p in sorted(frame["persons"], key=_det_seq)}
         for track in [t for t, s in tracks.items() if s[0] is not None]:
             if track not in seen or at >= tracks[track][0] + self.hold:
                 self._send(track, at, tracks, out)
@@ -116,7 +139,7 @@ class TrackProcessor(StatefulProcessor):
                 tracks[track] = [None, None, None, {"lock": None, "votes": {}}]
             if tracks[track][0] is None and person["crossed"]:
                 tracks[track][:3] = [at, frame["video_ms"], frame["wall_ts"]]
-        for read in sorted(frame["reads"] or [], key=lambda r: r["det_seq"]):
+        for read in sorted(frame["reads"], key=_det_seq):
             if read["track_id"] in tracks:
                 self._read(tracks[read["track_id"]][3], read["bib_read"], read["ocr_conf"])
 

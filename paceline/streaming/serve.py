@@ -176,10 +176,6 @@ def track_board_writer(path: str, board_path: str) -> Batch:
     return write
 
 
-def fold_writer(path: str) -> Batch:
-    """Change log kept by batch; ``folded`` reads the table after all of them."""
-    return table_writer(path)
-
-
 def folded(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Table after all batches of a change log kept by ``table_writer``."""
     return boards.fold_changes(_earlier(spark, path, schema, 1 << 62))

@@ -50,8 +50,9 @@ def feed_persons(feed: DataFrame, opts: Options = DEFAULT) -> DataFrame:
         ),
     )
     return feed.select(
-        "race_id", "camera_id", "frame_ord", "video_ms", "wall_ts", persons.alias("persons"), "reads"
-    )
+        "race_id", "camera_id", "frame_ord", "video_ms", "wall_ts",
+        persons.alias("persons"), "reads",
+    )
 
 
 def stream_emissions(
