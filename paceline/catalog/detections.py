@@ -21,6 +21,30 @@ def in_view(det):
     return detections.persons_in_view(det, *_size())
 
 
+@query(
+    "q_camera_config",
+    """SELECT p_partkey, width, height,
+  (height * 0.78::DOUBLE - height * 1.09::DOUBLE) / CAST(width AS DOUBLE) AS m,
+  height * 1.09::DOUBLE AS b, CAST(trunc(width * 0.285::DOUBLE) AS INTEGER) AS crop_x1,
+  CAST(trunc(height * 0.49::DOUBLE * 0.9::DOUBLE) AS INTEGER) AS crop_y1,
+  width AS crop_x2, height AS crop_y2,
+  width * 0.31::DOUBLE AS gl_x1, CAST(height AS DOUBLE) AS gl_y1,
+  width * 0.285::DOUBLE AS gl_x2, height * 0.49::DOUBLE AS gl_y2,
+  CAST(width AS DOUBLE) AS gr_x1, height * 0.78::DOUBLE AS gr_y1,
+  width * 0.32::DOUBLE AS gr_x2, height * 0.49::DOUBLE AS gr_y2
+FROM (SELECT p_partkey, CAST(640 + p_size * 16 AS INTEGER) AS width,
+        CAST(360 + p_size * 9 AS INTEGER) AS height FROM part)""",
+)
+def camera_config(spark, sf):
+    size = F.col("p_size")
+    cameras = v.table(spark, sf, "part").select(
+        "p_partkey",
+        (size * 16 + 640).cast("int").alias("width"),
+        (size * 9 + 360).cast("int").alias("height"),
+    )
+    return geo.camera_config(cameras)
+
+
 # SQL text of the geometry, with the same order of operations as the Columns.
 D = "CAST({} AS DOUBLE)".format
 LINE_M = f"(({D(H)} * 0.78::DOUBLE - {D(H)} * 1.09::DOUBLE) / {D(W)})"

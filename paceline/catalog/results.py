@@ -7,6 +7,7 @@ from ..operators import clock as clk
 from ..operators import ranking
 from ..operators import report
 from ..operators import results as res
+from ..sources import feeds
 from . import views as v
 from .registry import query
 
@@ -218,7 +219,8 @@ def _edits(spark, sf):
   CASE WHEN live AND n % 32 = 0 THEN 't' WHEN hit THEN nullif(rt, '') ELSE team END AS team,
   CASE WHEN hit THEN NULL ELSE age END AS age, seq,
   CASE WHEN bad THEN 'Invalid time format. Use MM:SS.ms' WHEN live THEN 'edited' END
-    AS edit_status
+    AS edit_status,
+  CASE WHEN hit THEN 'reload' WHEN live THEN 'update' END AS notify
 FROM j""",
 )
 def edit_apply(spark, sf):
@@ -279,6 +281,59 @@ def quick_add(spark, sf):
 
 # --- clock -----------------------------------------------------------------------
 
+@query(
+    "q_edit_messages",
+    EDITS
+    + """SELECT race_id, CASE WHEN hit THEN 'reload' ELSE 'update' END AS kind,
+  CASE WHEN NOT hit THEN id END AS id FROM j WHERE live""",
+)
+def edit_messages(spark, sf):
+    edited = res.apply_edits(v.v_results(spark, sf), _edits(spark, sf), v.v_roster(spark, sf))
+    message = feeds.from_message(F.col("value"))
+    kind = F.coalesce(message["type"], message["action"])
+    return feeds.edit_messages(edited).select(
+        "race_id", kind.alias("kind"), message["data"]["id"].alias("id")
+    )
+
+
+@query(
+    "q_clock_log",
+    """WITH t AS (SELECT o_orderkey, o_custkey % 3 AS race_id,
+  CASE o_orderkey % 4 WHEN 0 THEN 'start' ELSE 'edit' END AS action,
+  CASE WHEN o_orderkey % 4 = 1 THEN o_custkey || '.5'
+       WHEN o_orderkey % 4 = 2 THEN (o_custkey % 50) || ':' || (o_orderkey % 60) || '.7'
+       WHEN o_orderkey % 8 = 3 THEN '1:2' END AS arg FROM orders)
+SELECT race_id, o_orderkey AS seq, action, CASE o_orderkey % 4
+    WHEN 1 THEN CAST(arg AS DOUBLE)
+    WHEN 2 THEN CAST(split_part(arg, ':', 1) AS DOUBLE) * 60000 + (o_orderkey % 60) * 1000 + 70
+  END AS arg_ms,
+  CASE WHEN o_orderkey % 8 = 3 THEN 'Invalid time format. Use MM:SS.ms'
+       WHEN o_orderkey % 8 = 7 THEN 'Time is required' END AS error FROM t""",
+)
+def clock_log(spark, sf):
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    arg = (
+        F.when(n % 4 == 1, F.concat(c.cast("string"), F.lit(".5")))
+        .when(
+            n % 4 == 2,
+            F.concat(
+                (c % 50).cast("string"), F.lit(":"), (n % 60).cast("string"), F.lit(".7")
+            ),
+        )
+        .when(n % 8 == 3, F.lit("1:2"))
+    )
+    raw = v.table(spark, sf, "orders").select(
+        (c % 3).alias("race_id"),
+        n.cast("double").alias("ts_s"),
+        n.alias("seq"),
+        F.when(n % 4 == 0, F.lit("start")).otherwise(F.lit("edit")).alias("action"),
+        arg.alias("arg"),
+    )
+    good, bad = clk.clock_log(raw)
+    both = good.unionByName(bad, allowMissingColumns=True)
+    return both.select("race_id", "seq", "action", "arg_ms", "error")
+
+
 FOLD = (
     f"WITH {v.V_CLOCK}"
     + """, w AS (SELECT *, count(*) FILTER (WHERE action IN ('start', 'reset'))

@@ -40,6 +40,22 @@ def finish_line(width: Column, height: Column, geo: Geometry = DEFAULT) -> Colum
     return F.struct(m.alias("m"), left.alias("b"))
 
 
+def camera_config(cameras: DataFrame, geo: Geometry = DEFAULT) -> DataFrame:
+    """Add line, guide and crop columns to a table of cameras (width, height).
+
+    One row per camera; join it to detections and use its columns in the
+    predicates below.
+    """
+    w, h = F.col("width"), F.col("height")
+    line, roi = finish_line(w, h, geo), roi_bounds(w, h, geo)
+    added = {"m": line["m"], "b": line["b"]}
+    added.update({f"crop_{c}": roi[c] for c in BOX})
+    for name, ends in zip(("gl", "gr"), guides(w, h, geo), strict=True):
+        for i, (x, y) in enumerate(ends, 1):
+            added.update({f"{name}_x{i}": x, f"{name}_y{i}": y})
+    return cameras.withColumns(added)
+
+
 def to_frame_coords(
     df: DataFrame, width: Column, height: Column, geo: Geometry = DEFAULT
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Accepted time text, and the epoch cut-off of the boards.
 MMSS_PATTERN = r"^\s*([+-]?\d+)\s*:\s*([+-]?\d+)\s*\.\s*([+-]?\d+)\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 INT_PREFIX = r"^\s*([+-]?\d+)"
 FLOAT_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 EPOCH_CUTOFF_MS = 1e12
@@ -103,7 +104,8 @@ def parse_edit_time(text: Column) -> Column:
     Text of neither shape and negative ``MM:SS.cc`` give NULL (rejected).
     """
     parsed = parse_mmss(text)
-    return F.coalesce(_num(text), F.when(parsed >= 0, parsed))
+    number = F.when(text.rlike(NUMBER_PATTERN), _num(text))
+    return F.coalesce(number, F.when(parsed >= 0, parsed))
 
 
 def parse_cell(text: Column) -> Column:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..plans.ordered import CHUNK, POS, fill_forward, sorted_chunks
 
 RACE = ["race_id"]
 STATE = ["race_start_s", "status", "offset_ms"]
+# Message texts.
+MSG_NO_TIME = "Time is required"
+MSG_BAD_TIME = "Invalid time format. Use MM:SS.ms"
 
 
 def _clock_states(rows: DataFrame) -> DataFrame:
@@ -41,6 +45,24 @@ def _clock_states(rows: DataFrame) -> DataFrame:
     ).drop("_start", "_status", "_offset", CHUNK, POS)
 
 
+def clock_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clock rows from commands (race_id, ts_s, seq, action, arg text), and rejected ones.
+
+    Only edits carry an argument: plain ms, or ``MM:SS.cc``.
+    """
+    ms = times.parse_edit_time(F.col("arg"))
+    edit = F.col("action") == "edit"
+    error = F.when(edit & F.col("arg").isNull(), F.lit(MSG_NO_TIME)).when(
+        edit & ms.isNull(), F.lit(MSG_BAD_TIME)
+    )
+    rows = raw.withColumns({"arg_ms": F.when(edit, ms), "error": error})
+    good = rows.where(F.col("error").isNull())
+    return (
+        good.select(*RACE, "ts_s", "seq", "action", "arg_ms"),
+        rows.where(F.col("error").isNotNull()).drop("arg_ms"),
+    )
+
+
 def fold_clock(events: DataFrame) -> DataFrame:
     """Clock state after every event of the log (race_id, ts_s, seq, action, arg_ms)."""
     order = [F.col("ts_s").asc(), F.col("seq").asc()]

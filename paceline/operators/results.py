@@ -325,7 +325,10 @@ def _value(name: str) -> Column:
 
 
 def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> DataFrame:
-    """Apply one edit per id (a map of field name to text); adds ``edit_status``.
+    """Apply one edit per id (a map of field name to text); adds two columns.
+
+    ``edit_status`` is "edited" or the rejection, ``notify`` what subscribers are
+    told: an update of the row, or to reload after a roster hit.
 
     A changed bib found in the roster takes the roster's name, gender and team,
     then the edit's non-null fields (a name only if not blank); age is dropped.
@@ -371,9 +374,11 @@ def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> Data
     )
     bib = F.when(live, F.col("_new_bib")).otherwise(F.col("bib_number"))
     status = F.when(bad, F.lit(MSG_BAD_TIME)).when(live, F.lit("edited"))
+    notify = F.when(hit, F.lit("reload")).when(live, F.lit("update"))
     return rows.select(
         "race_id", "id", bib.alias("bib_number"), name.alias("racer_name"),
         *[edited(c) for c in asked], "seq", status.alias("edit_status"),
+        notify.alias("notify"),
     )
 
 

@@ -113,6 +113,18 @@ def add_messages(rows: DataFrame) -> DataFrame:
     return rows.select("race_id", result_message("add").alias("value"))
 
 
+def edit_messages(edited: DataFrame) -> DataFrame:
+    """One message per applied edit (from the ``notify`` column)."""
+    kind = F.col("notify")
+    text = F.when(kind == "reload", reload_message()).otherwise(result_message("update"))
+    return edited.where(kind.isNotNull()).select("race_id", text.alias("value"))
+
+
+def reload_messages(changed: DataFrame) -> DataFrame:
+    """One reload per race: after an upload, a delete or a reorder."""
+    return changed.select("race_id").distinct().select("race_id", reload_message().alias("value"))
+
+
 MESSAGE = (
     "type string, action string, data struct<id:string, bibNumber:string, racerName:string, "
     "finishTime:double, rank:bigint, gender:string, team:string, age:string, "

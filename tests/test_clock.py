@@ -40,6 +40,19 @@ def test_fold(rows_of):
     assert now == {race: plain_fold(log)[-1] for race, log in logs.items()}
 
 
+def test_clock_log(rows_of):
+    raw = rows_of(
+        "race_id bigint, ts_s double, seq bigint, action string, arg string",
+        (0, 1.0, 1, "start", None), (0, 2.0, 2, "edit", "1:2.5"), (0, 3.0, 3, "edit", "250"),
+        (0, 4.0, 4, "edit", "x"), (0, 5.0, 5, "edit", None), (0, 6.0, 6, "edit", "-1:0.0"),
+    )
+    good, bad = clock.clock_log(raw)
+    assert {r.seq: r.arg_ms for r in good.collect()} == {1: None, 2: 62050.0, 3: 250.0}
+    assert {r.seq: r.error for r in bad.collect()} == {
+        4: clock.MSG_BAD_TIME, 5: clock.MSG_NO_TIME, 6: clock.MSG_BAD_TIME,
+    }
+
+
 def test_as_of(rows_of):
     log = rows_of(
         schemas.CLOCK_EVENT,

@@ -26,8 +26,8 @@ def test_parse_mmss(spark):
 
 
 def test_parse_edit_time(spark):
-    got = evaluate(spark, times.parse_edit_time, "string", ["1:2.5", "1234.5", "-1:0.0", "x", None])
-    assert got == [62050.0, 1234.5, None, None, None]
+    got = evaluate(spark, times.parse_edit_time, "string", ["1:2.5", "1234.5", "-1:0.0", "x", None, "NaN", "5d", " 7 "])
+    assert got == [62050.0, 1234.5, None, None, None, None, None, 7.0]
 
 
 def test_parse_cell(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paceline import schemas
 from paceline.operators import boards, ranking, report
 from paceline.operators import results as res
+from paceline.sources import feeds
 
 RAW = "race_id bigint, row_num bigint, bib_number string, racer_name string, gender string, team string, age string"
 
@@ -139,6 +140,11 @@ def test_edits(rows_of, results):
         "c": ("101", "Cee", 62050.0, 3, "M", None, None, "edited"),
         "d": ("9", "Nine", None, None, None, None, None, res.MSG_BAD_TIME),
     }
+    told = res.apply_edits(results, edits, roster)
+    assert by(told, "id", "notify") == {"a": "reload", "b": "update", "c": "update", "d": None}
+    texts = [r.value for r in feeds.edit_messages(told).collect()]
+    assert len(texts) == 3 and texts.count('{"action":"reload"}') == 1
+    assert feeds.reload_messages(results).collect()[0].value == '{"action":"reload"}'
     assert [r.id for r in res.unknown_ids(results, edits).collect()] == ["zz"]
 
 
