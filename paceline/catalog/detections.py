@@ -184,7 +184,7 @@ WHERE island_end >= cross_ord GROUP BY ALL""",
 )
 def lost_tracks(spark, sf):
     det = decoded(spark, sf)
-    return tracks.lost_tracks(tracks.track_islands(in_view(det)), crossings(split(det)[0]))
+    return tracks.lost_tracks(in_view(det), crossings(split(det)[0]))
 
 
 @query(

@@ -38,40 +38,49 @@ def line_crossings(
     return first_crossing(persons, geo.crosses(geo.box_columns(), line["m"], line["b"]))
 
 
+def entries_and_exits(persons: DataFrame) -> DataFrame:
+    """Where runs of consecutive frames begin (``enters``) and where they are missed first.
+
+    Each sighting counts for its own frame and, shifted, for the next one; a
+    track found on one side only has entered or left.  The two sides of a run
+    cancel in the partial aggregate, before the shuffle.
+    """
+    key = [*TRACK, "frame_ord"]
+    after = (F.col("frame_ord") + 1).alias("frame_ord")
+    now = persons.select(*key, F.lit(True).alias("enters"))
+    before = persons.select(*TRACK, after, F.lit(False).alias("enters"))
+    sides = now.unionByName(before).groupBy(*key).agg(
+        F.min("enters").alias("enters"), F.max("enters").alias("_max")
+    )
+    return sides.where(F.col("enters") == F.col("_max")).drop("_max")
+
+
 def track_islands(persons: DataFrame) -> DataFrame:
-    """Runs of consecutive frames per track: first frame, last frame, length."""
-    seen = persons.select(*TRACK, "frame_ord").distinct()
-    numbered = ordered_index(seen, TRACK, [F.col("frame_ord").asc()], "_n")
-    runs = numbered.groupBy(*TRACK, (F.col("frame_ord") - F.col("_n")).alias("_run")).agg(
-        F.min("frame_ord").alias("island_start"),
-        F.max("frame_ord").alias("island_end"),
-        F.count(F.lit(1)).alias("n_frames"),
+    """Runs of consecutive frames per track: first frame, last frame, length.
+
+    Only the ends of runs are sorted; they alternate, so each pair is one run.
+    """
+    ends = ordered_index(entries_and_exits(persons), TRACK, [F.col("frame_ord").asc()], "_n")
+    pair = F.floor((F.col("_n") + 1) / 2).alias("_pair")
+    runs = ends.groupBy(*TRACK, pair).agg(
+        F.min("frame_ord").alias("island_start"), (F.max("frame_ord") - 1).alias("island_end")
     )
-    return runs.drop("_run")
+    length = F.col("island_end") - F.col("island_start") + 1
+    return runs.drop("_pair").withColumn("n_frames", length)
 
 
-def lost_tracks(islands: DataFrame, crossings: DataFrame) -> DataFrame:
-    """Tracks that had crossed when they went missing, with the frame they were missed in."""
+def lost_tracks(persons: DataFrame, crossings: DataFrame) -> DataFrame:
+    """Crossed tracks that went missing, with the first frame they were missed in."""
+    gone = entries_and_exits(persons).where(~F.col("enters"))
     crossed = crossings.select(*TRACK, "cross_ord")
-    seen = spread_join(islands, crossed, TRACK, F.col("island_start"))
-    gone = seen.where(F.col("island_end") >= F.col("cross_ord"))
-    return gone.groupBy(*TRACK).agg((F.min("island_end") + 1).alias("lost_ord"))
+    missed = spread_join(gone, crossed, TRACK, F.col("frame_ord"))
+    later = missed.where(F.col("frame_ord") > F.col("cross_ord"))
+    return later.groupBy(*TRACK).agg(F.min("frame_ord").alias("lost_ord"))
 
 
 def set_changed(persons: DataFrame, frames: DataFrame) -> DataFrame:
-    """Frames whose set of tracks differs from the previous frame's.
-
-    Each sighting counts for its own frame and, shifted, for the next one.  A
-    track seen on one side only has entered or left; one partial aggregate tells.
-    """
-    key = [*TRACK, "frame_ord"]
-    now = persons.select(*key, F.lit(1).alias("_side"))
-    after = (F.col("frame_ord") + 1).alias("frame_ord")
-    before = persons.select(*TRACK, after, F.lit(0).alias("_side"))
-    sides = now.unionByName(before).groupBy(*key).agg(
-        F.min("_side").alias("_lo"), F.max("_side").alias("_hi")
-    )
-    moved = sides.where("_lo = _hi").select(*FRAME).distinct()
+    """Frames whose set of tracks differs from the previous frame's."""
+    moved = entries_and_exits(persons).select(*FRAME).distinct()
     return frames.select(*FRAME).join(moved, FRAME, "left_semi")
 
 
