@@ -400,6 +400,27 @@ def clock_asof(spark, sf):
     )
 
 
+def _small_races(text: str) -> str:
+    return text.replace("user_id % 3 AS race_id", "event_id // 40 AS race_id")
+
+
+# Races of 40 events each: few clock commands per race, many races.
+@query(
+    "q_clock_asof_races",
+    _small_races(ASOF)
+    + """SELECT race_id, seq, round(race_start_s, 3) AS race_start_s, status,
+  round(offset_ms, 3) AS offset_ms FROM in_force""",
+)
+def clock_asof_races(spark, sf):
+    race = F.floor(F.col("seq") / 40).cast("bigint")
+    events = v.v_arrival(spark, sf).withColumn("race_id", race)
+    rows = clk.apply_clock(events, v.v_clock(spark, sf).withColumn("race_id", race))
+    return rows.select(
+        "race_id", "seq", F.round("race_start_s", 3).alias("race_start_s"), "status",
+        F.round("offset_ms", 3).alias("offset_ms"),
+    )
+
+
 TIMED = (
     ASOF
     + r""", parsed AS (SELECT *, CASE WHEN finish_time_str = 'bad' THEN CAST(-1 AS DOUBLE)

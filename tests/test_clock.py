@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from paceline import schemas
 from paceline.operators import clock
 
@@ -53,7 +55,19 @@ def test_clock_log(rows_of):
     }
 
 
-def test_as_of(rows_of):
+def test_both_forms_agree(rows_of):
+    rng = random.Random(11)
+    log = [(race, *e) for race in range(5) for e in random_log(rng, 40)]
+    events = [(rng.randint(0, 6), rng.choice([e[1] for e in log]) + rng.choice([0, 0, 0.5, -1]), i) for i in range(500)]
+    clock_rows = rows_of(schemas.CLOCK_EVENT, *log)
+    event_rows = rows_of("race_id bigint, ts_s double, seq bigint", *events)
+    forms = [clock.apply_clock(event_rows, clock_rows, few) for few in (64, 0)]
+    got = [sorted(map(tuple, f.select("seq", *clock.STATE).collect())) for f in forms]
+    assert got[0] == got[1] and len(got[0]) == 500
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_as_of(rows_of, few):
     log = rows_of(
         schemas.CLOCK_EVENT,
         (0, 5.0, 1, "edit", 3000.0),
@@ -64,7 +78,7 @@ def test_as_of(rows_of):
         (0, 50.0, 6, "reset", None),
     )
     events = rows_of("race_id bigint, ts_s double, seq bigint", *[(0, float(t), t) for t in (1, 5, 10, 25, 30, 45, 60)], (9, 1.0, 99))
-    got = {r.seq: (r.race_start_s, r.status, r.offset_ms) for r in clock.apply_clock(events, log).collect()}
+    got = {r.seq: (r.race_start_s, r.status, r.offset_ms) for r in clock.apply_clock(events, log, few).collect()}
     assert got == {
         1: (None, "stopped", 0.0),
         5: (None, "stopped", 3000.0),
