@@ -64,5 +64,25 @@ def test_query_matches_sql(name, spark, duck, sf_dir, plans):
     assert _sorted(got) == _sorted(want)
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["q_relative_stats", "q_clock_asof", "q_clock_asof_races", "q_finisher_events", "q_edit_apply",
+     "q_team_top3_first6", "q_dup_flag", "q_idle_skip"],
+)
+def test_without_broadcast(name, spark, duck, sf_dir, plans):
+    """The way beyond the broadcast threshold gives the same rows."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        test_query_matches_sql(name, spark, duck, sf_dir, plans)
+        assert not any("BroadcastHashJoin" in plan for plan in plans)
+        assert any("SortMergeJoin" in plan for plan in plans)
+    finally:
+        for key, value in zip(keys, before, strict=True):
+            spark.conf.set(key, value)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

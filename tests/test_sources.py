@@ -111,6 +111,21 @@ def test_export_and_board(spark, rows_of, tmp_path):
     assert [(r.Place, r.Name) for r in board.orderBy("Place").collect()] == [("1", 'Ann "Ace" Lee'), ("2", None)]
 
 
+def test_board_parts_are_in_order(spark, tmp_path):
+    rows = spark.range(5000).select(
+        (F.col("id") % 3).alias("race_id"), F.col("id").cast("string").alias("id"),
+        F.col("id").cast("string").alias("bib_number"), F.lit("A B").alias("racer_name"),
+        ((F.col("id") * 7919) % 5000).cast("double").alias("finish_time_ms"),
+        *[F.lit(None).cast("string").alias(c) for c in ("gender", "team", "age")],
+        F.col("id").alias("seq"),
+    )
+    sinks.write_leaderboard(rows, str(tmp_path / "board"))
+    for race in range(3):
+        lines = [x for p in text_files(tmp_path / "board" / f"race_id={race}") for x in p.read_text().splitlines()]
+        places = [int(x.split(",")[0]) for x in lines if not x.startswith("Place")]
+        assert places == list(range(1, len(places) + 1)) and len(places) > 1600
+
+
 def test_messages_round_trip(rows_of):
     rows = rows_of(schemas.RESULT, (0, "a", "1", "Ann", 5.0, 2, "W", "T", None, 9))
     sent = rows.select("race_id", F.col("seq").alias("change_seq"), feeds.result_message("update").alias("value"))
