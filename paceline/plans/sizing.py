@@ -6,16 +6,19 @@ from pyspark.sql import SparkSession
 
 MIB = 1024**2
 PARTITION_BYTES = 128 * MIB
-MAX_PARTITIONS = 100_000
+MAX_PARTITIONS = 50_000
+MAX_SCAN_TASKS = 100_000
 
 
 def shuffle_settings(input_bytes: int, cores: int) -> dict[str, str]:
     """Adaptive settings that keep a shuffle partition near 128 MB.
 
     AQE can only merge partitions, so the initial number must suit the whole
-    input; 100 TB start with 100 000 partitions of about 1 GB, which spill but
-    fit.  Skewed join partitions are split from 256 MB on.
+    input.  Blocks grow as map times reduce tasks, hence the two limits: 100 TB
+    are scanned by 100 000 tasks of 1 GB and shuffled into 50 000 partitions of
+    2 GB, which spill but fit.  Skewed join partitions are split further.
     """
+    scan = max(2 * PARTITION_BYTES, input_bytes // MAX_SCAN_TASKS)
     wanted = -(-input_bytes // PARTITION_BYTES)
     initial = min(max(wanted, 2 * cores), MAX_PARTITIONS)
     return {
@@ -24,7 +27,7 @@ def shuffle_settings(input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(2 * PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(scan),
     }
 
 

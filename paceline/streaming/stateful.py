@@ -62,7 +62,11 @@ def stream_emissions(
     dense: bool = True,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Finisher events from a stream of frames with persons and reads."""
+    """Finisher events from a stream of frames with persons and reads.
+
+    ``ttl_ms`` lets the notes of sent tracks expire.  It is for queries that run
+    on: with processing time in play an available-now run does not end.
+    """
     use_rocksdb(persons.sparkSession)
     processor = TrackProcessor(
         opts.hold_frames, opts.read_len, opts.read_conf, opts.lock_conf, first_ord, dense, ttl_ms

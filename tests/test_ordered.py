@@ -100,4 +100,4 @@ def test_spread_join(spark):
 def test_shuffle_settings(spark):
     small, large = shuffle_settings(10**9, 8), shuffle_settings(100 * 10**12, 8000)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert (small[key], large[key]) == ("16", "100000")
+    assert (small[key], large[key]) == ("16", "50000")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paceline import schemas
 from paceline.catalog.streams import folder
 from paceline.operators import clock, tracks
+from paceline.options import Options
 from paceline.sources import feeds
 from paceline.streaming import serve, stateful
 from tests.machine import emissions, kept_frames, random_frames
@@ -66,6 +67,21 @@ def test_emissions(spark, shuffled):
     assert got == want and want
 
 
+def test_in_order_source(spark):
+    rng = random.Random(5)
+    sequence = random_frames(rng, 80, 4, 0.9)
+    # Frame numbers with gaps; the batch is taken in order as it is.
+    rows = [(0, "c0", 3 * at, *rest) for _, _, at, *rest in feed_rows([sequence])]
+    source, out, checkpoint = Files(spark, PERSONS), folder(spark, "out"), folder(spark, "ck")
+    opts = Options(hold_frames=90)
+    for part in (rows[:33], rows[33:]):
+        source.add(part)
+        sent = stateful.stream_emissions(source.stream(), opts, dense=False)
+        drain(sent, serve.table_writer(out), checkpoint)
+    got = {r.track_id: (r.cross_ord // 3, r.emit_ord // 3) for r in spark.read.parquet(out).collect()}
+    assert got == emissions(sequence) and got
+
+
 def test_emission_votes_match_batch(spark, rows_of):
     rng = random.Random(8)
     rows = feed_rows([random_frames(rng, 60, 4, 0.95)])
