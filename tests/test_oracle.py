@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as contract
+from paceline.catalog import all_queries, all_sql
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,7 @@ def _sorted(rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 # Plans that would not scale.  A single partition is right only for a handful of
