@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from ..plans.tables import shared_folder
+from . import bpe, minhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,22 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    return tokenfile.digests(tokenfile.read_tokens(spark, path))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -44,5 +62,9 @@ SELECT n.doc_id, n.n AS n_shingles, c.root AS component_id, n.doc_id = c.root AS
 FROM n JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) c ON c.id = n.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_minhash_forest": op1_minhash_forest}
+QUERIES: dict[str, Query] = {
+    "op1_minhash_forest": op1_minhash_forest,
+    "op2_token_output": op2_token_output,
+    "op5_bpe": op5_bpe,
+}
 SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL}
