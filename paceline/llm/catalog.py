@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, minhash, tokenfile
+from . import bpe, decontam, minhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs, items).drop("items", "spans")
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -62,9 +67,35 @@ SELECT n.doc_id, n.n AS n_shingles, c.root AS component_id, n.doc_id = c.root AS
 FROM n JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) c ON c.id = n.doc_id
 """
 
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2),
+    lambda p: array_to_string(w[p : p + least(len(w), 13) - 1], ' '))) AS x
+  FROM i WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p,
+    unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p : p + n - 1], ' '))) AS x
+  FROM d, sizes WHERE len(w) >= n
+),
+hits AS (SELECT DISTINCT doc_id, p, n, item_id FROM dw JOIN iw USING (n, x)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_token_output": op2_token_output,
     "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_decontamination": OP6_SQL}
