@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, minhash, tokenfile
+from . import bpe, decontam, langid, minhash, quality, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(tokenfile.read_tokens(spark, path))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
 
@@ -42,6 +46,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, items).drop("items", "spans")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -95,7 +103,9 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_token_output": op2_token_output,
+    "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
 }
 SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_decontamination": OP6_SQL}
