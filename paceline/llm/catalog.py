@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, langid, minhash, quality, tokenfile
+from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(tokenfile.read_tokens(spark, path))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_token_output": op2_token_output,
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
