@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity
+from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -104,6 +108,27 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM v
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, v.vec_id = c.root AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id
+JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) c ON c.id = v.vec_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_token_output": op2_token_output,
@@ -112,5 +137,6 @@ QUERIES: dict[str, Query] = {
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op9_vector_near_dedup": op9_vector_near_dedup,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_decontamination": OP6_SQL, "op9_vector_near_dedup": OP9_SQL}
