@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity, vectors
+from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    warc.write_index(warc.read_archives(spark, path), path)
+    records = warc.indexed_records(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -108,6 +116,20 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * k + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
+    for k in range(8)
+    for s in (15, 10, 5, 0)
+)
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
 OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e,
@@ -137,6 +159,12 @@ QUERIES: dict[str, Query] = {
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_vector_near_dedup": op9_vector_near_dedup,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_decontamination": OP6_SQL, "op9_vector_near_dedup": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_minhash_forest": OP1_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op8_warc": OP8_SQL,
+    "op9_vector_near_dedup": OP9_SQL,
+}
