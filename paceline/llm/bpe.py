@@ -6,9 +6,8 @@ the leftmost pair of lowest rank.  A merge changes three leaves, each by one wal
 to the root; merging ends when the root holds no rank.  Short pieces run through
 their trees side by side as numpy arrays, a long piece through a tree of its own.
 
-Texts are cut at ASCII spaces and line ends, which no token crosses, and every
-distinct chunk is encoded once while it stays in the worker's memo; the memo is
-bounded and only saves time.  Whole texts are processed, of any length.
+Texts are cut into units that no token crosses, and every distinct unit is encoded
+once while it stays in the worker's memo; the memo is bounded and only saves time.  Whole texts are processed, of any length.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .shipping import ship
+from .units import Memo, spread
 
-MEMO = 400_000  # chunks a worker remembers
 LOCKSTEP = 64  # symbols up to which pieces run side by side
 _NONE = np.int64(1) << np.int64(40)
 _loaded: dict[str, Vocabulary] = {}
@@ -52,7 +51,10 @@ class Vocabulary:
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in (vocab | self.special).items()}
-        self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
+        text = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.name_bytes = np.frombuffer(b"".join(text), np.uint8)
+        self.name_size = np.array([len(t) for t in text])
+        self.name_start = np.cumsum(self.name_size) - self.name_size
         alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.inner = np.array([vocab[c] for c in alphabet], np.int64)
@@ -69,7 +71,7 @@ class Vocabulary:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         # Characters whose normal form is their lower case, one for one.
         self.plain = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-įı-ž]*")
-        self.memo: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+        self.memo = Memo(self.encode)
 
     def pieces(self, chunk: str) -> list[bytes | int]:
         """Pre-tokens of a chunk without blanks, as bytes; special tokens as ids."""
@@ -218,48 +220,31 @@ class Vocabulary:
             out[np.repeat(starts[part], n) + inside] = ids
         return out, counts
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks and keep (ids as little-endian unsigned 32 bits, decoded text)."""
-        if len(self.memo) + len(chunks) > MEMO:
-            self.memo = {"": (b"", b"")}
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and each unit's number of ids."""
         todo: list[bytes] = []
-        of: list[tuple[str, int]] = []
-        for chunk in chunks:
-            if chunk.isascii() and chunk.isalpha():
-                todo.append(chunk.lower().encode())
+        ends, special = [], []
+        for unit in units:
+            if unit.isascii() and unit.isalpha():
+                todo.append(unit.lower().encode())
             else:
-                found = self.pieces(chunk)
-                if int in map(type, found):
-                    self._with_special(chunk, found)
-                    continue
-                todo += found
-            of.append((chunk, len(todo)))
+                for piece in self.pieces(unit):
+                    if isinstance(piece, int):
+                        special.append((len(todo), piece))
+                        piece = b"x"  # holds the place
+                    todo.append(piece)
+            ends.append(len(todo))
         ids, counts = self.encode_pieces(todo)
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        raw, names = ids.astype("<u4").tobytes(), self.names[ids].tolist()
-        start, memo = 0, self.memo
-        for (chunk, _), end in zip(of, ends[[n for _, n in of]].tolist(), strict=True):
-            memo[chunk] = raw[4 * start : 4 * end], " ".join(names[start:end]).encode()
-            start = end
-
-    def _with_special(self, chunk: str, found: list[bytes | int]) -> None:
-        ids: list[int] = []
-        for p in found:
-            ids += [p] if isinstance(p, int) else self.encode_pieces([p])[0].tolist()
-        text = " ".join(self.names[ids].tolist()).encode()
-        self.memo[chunk] = np.array(ids, "<u4").tobytes(), text
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded text) of whole texts."""
-        split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        need: set[str] = set()
-        for chunks in split:
-            need.update(chunks)
-        self.learn(need) if len(self.memo) + len(need) > MEMO else self.learn(need.difference(self.memo))
-        memo = self.memo
-        for chunks in split:
-            found = [memo[c] for c in chunks]
-            yield b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+        first = np.concatenate(([0], np.cumsum(counts)))
+        for at, name in special:
+            ids[first[at]] = name
+        return ids, np.diff(first[np.array([0, *ends])])
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Texts of runs of ids, each token followed by a blank; and their byte bounds."""
+        size = self.name_size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))[bounds]
+        return self.name_bytes[spread(self.name_start[ids], size)].tobytes(), ends
 
 
 def vocabulary(source: str) -> Vocabulary:
@@ -273,21 +258,22 @@ def _run(source, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(source.value)
         for batch in batches:
-            _, bounds = vectext.flatten(batch.column(1))
-            for i, j in vectext.blocks(bounds):
-                texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
-                n, ids, sha, text, plain = [], [], [], [], []
-                for raw, decoded in v.texts(texts):
-                    n.append(len(raw) // 4)
-                    if with_ids:
-                        ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
-                        plain.append(decoded.decode())
-                    sha.append(hashlib.sha256(raw).hexdigest())
-                    text.append(hashlib.sha256(decoded).hexdigest())
-                columns = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(n, pa.int64())}
+            for i, j, data, bounds in vectext.text_blocks(batch.column(1)):
+                ids, at = v.memo.texts(data, bounds)
+                text, ends = v.decode(ids, at)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                runs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                # A text's last token has no blank after it.
+                parts = [(a, max(a, b - 1)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                view = memoryview(text)
+                columns = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(np.diff(at))}
                 if with_ids:
-                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(plain, pa.string())}
-                columns |= {"ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(text, pa.string())}
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                    columns |= {"ids": lists, "decoded": pa.array([text[a:b].decode() for a, b in parts], pa.string())}
+                columns |= {
+                    "ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in runs], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in parts], pa.string()),
+                }
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run

@@ -12,10 +12,10 @@ counts and starts never touch the id pages.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .shipping import ship
+from .units import Memo
 
-MEMO = 400_000  # chunks a worker remembers
-PUNCTUATION = ".,;:!?|()[]\"#&$%*"
 PARQUET = {
     "parquet.block.size": 32 << 20,
     "parquet.page.size": 64 << 10,
@@ -41,67 +40,33 @@ _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct chunk of text.
+    """The tokenizers library, asked once for each distinct unit of text.
 
-    Chunks end at ASCII spaces and line ends, which this kind of tokenizer drops, so
-    the ids of a text are those of its chunks in order.  A word of letters goes to the
-    library in lower case with its punctuation apart, which are the library's own
-    pre-tokens; anything else is encoded by the library as it stands.
+    Runs of plain letters go to the library's BPE in lower case, which is what its
+    normalizer and pre-tokenizer would hand on; any other unit is encoded as it stands.
     """
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(source)
-        kinds = [p["type"] for p in (json.loads(source).get("normalizer") or {}).get("normalizers", [])]
-        self.parts = "Lowercase" in kinds
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = re.compile(r"[A-Za-zà-öø-ÿßÀ-ÖØ-Þ]+")
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _ids(self, model, texts: list[str]) -> list[bytes]:
-        found = model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, chunks: set[str]) -> None:
-        memo, split, cores, rest = self.memo, [], set(), set()
-        for chunk in chunks:
-            core = chunk.strip(PUNCTUATION) if self.parts else ""
-            if core and self.plain.fullmatch(core):
-                at = chunk.index(core)
-                head, core, tail = chunk[:at], core.lower(), chunk[at + len(core) :]
-                split.append((chunk, head, core, tail))
-                cores.add(core)
-                rest.update((head, tail))
-            else:
-                rest.add(chunk)
-        rest -= memo.keys()
-        rest = list(rest)
-        for i in range(0, len(rest), 20_000):
-            memo.update(zip(rest[i : i + 20_000], self._ids(self.whole, rest[i : i + 20_000]), strict=True))
-        cores = list(cores - memo.keys())
-        for i in range(0, len(cores), 20_000):
-            memo.update(zip(cores[i : i + 20_000], self._ids(self.letters, cores[i : i + 20_000]), strict=True))
-        for chunk, head, core, tail in split:
-            memo[chunk] = memo[head] + memo[core] + memo[tail]
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of whole texts as little-endian unsigned 32 bits."""
-        split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        need: set[str] = set()
-        for chunks in split:
-            need.update(chunks)
-        new = need - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {"": b""}, need
-        self.learn(new)
-        get = self.memo.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
+        self.memo = Memo(self.encode)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [u.isalpha() and (u.isascii() or all(c < "\x80" or "\xc0" <= c <= "\xff" for c in u)) for u in units]
+        found: list = [None] * len(units)
+        for model, pick in ((self.letters, True), (self.whole, False)):
+            of = [i for i, p in enumerate(plain) if p is pick]
+            for k in range(0, len(of), 20_000):
+                part = of[k : k + 20_000]
+                texts = [units[i].lower() if pick else units[i] for i in part]
+                for i, e in zip(part, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    found[i] = e.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
 
 def _encode(source, end: int):
@@ -109,25 +74,20 @@ def _encode(source, end: int):
         key = hashlib.sha1(source.value.encode()).hexdigest()
         if key not in _loaded:
             _loaded[key] = Encoder(source.value)
-        encoder, part, before = _loaded[key], TaskContext.get().partitionId(), 0
-        stop = np.array([end], "<u4").tobytes()
+        memo, part, before = _loaded[key].memo, TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, bounds = vectext.flatten(batch.column(1))
-            for i, j in vectext.blocks(bounds):
-                texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
-                raw = [ids + stop for ids in encoder.texts(texts)]
-                n = np.array([len(x) // 4 for x in raw])
-                offsets = np.concatenate(([0], np.cumsum(n)))
-                ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+            for i, j, data, bounds in vectext.text_blocks(batch.column(1)):
+                ids, at = memo.texts(data, bounds)
+                ids = np.insert(ids, at[1:], end).astype(np.int32)
+                at = at + np.arange(len(at))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(n, pa.int64()),
-                        "part": pa.array(np.full(len(n), part, np.int32)),
-                        "before": pa.array(before + offsets[:-1], pa.int64()),
-                        "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids),
+                        "doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(np.diff(at)),
+                        "part": pa.array(np.full(j - i, part, np.int32)), "before": pa.array(before + at[:-1]),
+                        "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
                     }
                 )
-                before += int(offsets[-1])
+                before += int(at[-1])
 
     return run
 

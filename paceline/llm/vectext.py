@@ -19,7 +19,7 @@ BLOCK = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _table(pattern_excluded: range | list[range]) -> np.ndarray:
@@ -36,7 +36,7 @@ ALNUM = _table([range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 ALNUM_FOLDED = ALNUM[LOWER]
-LOWER_BYTE = _BYTE[LOWER]
+LOWER_BYTE = BYTE[LOWER]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def word_hashes(
 ) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased if ``fold``, and word bounds."""
     starts, ends, per_doc = words(data, bounds, table)
-    sums = prefix_hash((LOWER_BYTE if fold else _BYTE)[data])
+    sums = prefix_hash((LOWER_BYTE if fold else BYTE)[data])
     return mix(span_hash(sums, starts, ends)), per_doc
 
 
