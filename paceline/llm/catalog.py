@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, langid, minhash, quality, tokenfile, toxicity, vectors, warc
+from . import bpe, decontam, langid, minhash, quality, suffixes, tokenfile, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -161,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_vector_near_dedup": op9_vector_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op1_minhash_forest": OP1_SQL,
