@@ -1,15 +1,82 @@
-"""From raw documents to token ids: five stages over the operators of ``paceline.llm``."""
+"""From raw documents to token ids: five stages over the operators of ``paceline.llm``.
+
+Each stage takes the documents its predecessor kept; all but the last return them with
+the columns of ``documents``.  ``run`` writes each stage's result as Parquet in the
+shared folder and rereads it, so a lost executor repeats a stage's last step at most.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paceline.llm import bpe, decontam, langid, minhash, suffixes
+from paceline.plans.tables import shared_folder
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# SQL has neither the trained network nor the tokenizer.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without any language: null texts and texts without a letter.
+
+    With no labelled document there is nothing to learn from; letters alone decide then.
+    """
+    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNDETERMINED)
+    if found.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return _keep(docs, found)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the smallest ``doc_id``, of each group of near-duplicates."""
+    return _keep(docs, minhash.near_duplicates(docs).where("kept"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 100 bytes or more that start earlier as well out of the texts."""
+    cut = suffixes.repeated_spans(docs, with_text=True, carry=["lang", "source"])
+    out = cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    return out.select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark windows in at least one word of twenty."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _keep(docs, decontam.contamination(docs, benchmark).where("NOT contaminated"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts that are left, and digests of ids and decoded texts."""
+    import public_tokenizers
+
+    ids = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return ids.drop("decoded")
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id, null included, is among ``kept``."""
+    ids = kept.select(F.col("doc_id").alias("_kept"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
