@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialize
-from .shipping import ship
+from .shipping import ship, worker
 
 RECORDS_PER_FILE, BLOCK = 2048, 3000
 DATE = "2024-01-01T00:00:00Z"
@@ -179,7 +179,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """All records under ``path``/archives; response payloads on request."""
     ship(spark)
     files = spark.read.format("binaryFile").load(f"{path}/archives").select("path", "content")
-    return files.mapInArrow(_parse(payloads), RECORD)
+    return files.mapInArrow(worker(_parse(payloads)), RECORD)
 
 
 BLOCKS = "part int, block int, first_key string, last_key string, n int, lines binary"
@@ -212,7 +212,7 @@ def write_index(records: DataFrame, path: str) -> None:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Captures of one URL may be many: the place in the archives spreads them.
     ordered = rows.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    ordered.mapInArrow(_blocks, BLOCKS).write.parquet(f"{path}/index")
+    ordered.mapInArrow(worker(_blocks), BLOCKS).write.parquet(f"{path}/index")
     directory = rows.sparkSession.read.schema(BLOCKS).parquet(f"{path}/index").drop("lines")
     directory.write.parquet(f"{path}/directory")
 
@@ -233,7 +233,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """All captures of the index."""
     ship(spark)
-    return spark.read.schema(BLOCKS).parquet(f"{path}/index").select("lines").mapInArrow(_lines, CAPTURE)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/index").select("lines").mapInArrow(worker(_lines), CAPTURE)
 
 
 def lookup(spark: SparkSession, path: str, urls: Sequence[str]) -> list[tuple]:
@@ -256,7 +256,7 @@ def read_captures(spark: SparkSession, path: str, captures: Sequence[tuple]) ->
     wanted: dict[str, list] = {}
     for _, file, offset, length in captures:
         wanted.setdefault(file, []).append((offset, length))
-    files = spark.read.format("binaryFile").load([f"{path}/archives/{f}" for f in wanted]) if wanted else None
+    files = spark.read.format("binaryFile").load([f"{path}/archives/{f}" for f in wanted]).select("path", "content") if wanted else None
     name = F.element_at(F.split("path", "/"), -1)
     ranges = spark.createDataFrame([(f, o, n) for f, v in wanted.items() for o, n in v], "file string, offset long, length long")
     if files is None:
