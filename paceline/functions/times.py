@@ -43,11 +43,12 @@ def _scaled_units(x: Column, scale: int) -> Column:
     product = size * scale
     error = (high * scale - product) + (size - high) * scale
     tie = (product - F.floor(product)) == 0.5
-    return (
-        F.when(tie & (error != 0), F.floor(product) + (error > 0).cast("int"))
-        .otherwise(F.rint(product))
-        .cast("bigint")
+    # From 2**53 on every double is whole, and a cast could overflow.
+    exact = product < float(1 << 53)
+    rounded = F.when(tie & (error != 0), F.floor(product) + (error > 0).cast("int")).otherwise(
+        F.rint(product)
     )
+    return F.when(exact, rounded.cast("bigint"))
 
 
 def fixed(x: Column, digits: int) -> Column:
@@ -69,7 +70,9 @@ def fixed(x: Column, digits: int) -> Column:
                 F.lpad((n % scale).cast("string"), digits, "0"),
             ),
         )
-        return F.when(v.isNotNull(), F.concat(sign, number))
+        large = F.format_string(f"%.{digits}f", v)
+        odd = F.when(F.isnan(v), F.lit("nan")).when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf")))
+        return F.when(v.isNotNull(), F.coalesce(F.concat(sign, number), odd, large))
 
     return _let(x, text)
 

@@ -20,11 +20,33 @@ def valid_images(docs: DataFrame) -> DataFrame:
 
 
 def rectangles(docs: DataFrame) -> DataFrame:
-    """Keep rectangles only; a document with a non-integer class is dropped whole."""
+    """Keep rectangles only; a malformed document is dropped whole.
+
+    Malformed: a rectangle whose class is no integer, or that lacks two points of
+    two coordinates.  ``malformed`` lists those documents.
+    """
+    return _rectangles(docs).where(_well_formed())
+
+
+def malformed(docs: DataFrame) -> DataFrame:
+    """Documents that ``rectangles`` drops."""
+    return _rectangles(docs).where(~F.coalesce(_well_formed(), F.lit(False)))
+
+
+def _rectangles(docs: DataFrame) -> DataFrame:
     only = F.filter("shapes", lambda s: s["shape_type"] == RECTANGLE)
-    kept = docs.withColumn("shapes", only)
-    return kept.where(
-        F.forall("shapes", lambda s: F.trim(s["label"]).try_cast("int").isNotNull())
+    return docs.withColumn("shapes", only)
+
+
+def _well_formed() -> Column:
+    def corner(shape: Column, i: int) -> Column:
+        point = F.get(shape["points"], F.lit(i))
+        return F.get(point, F.lit(0)).isNotNull() & F.get(point, F.lit(1)).isNotNull()
+
+    return F.forall(
+        "shapes",
+        lambda s: F.trim(s["label"]).try_cast("int").isNotNull()
+        & F.coalesce(corner(s, 0) & corner(s, 1), F.lit(False)),
     )
 
 

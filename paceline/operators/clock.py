@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..plans.ordered import CHUNK, POS, fill_forward, sorted_chunks
-from ..plans.tables import materialize
 
 RACE = ["race_id"]
 STATE = ["race_start_s", "status", "offset_ms"]
-# Most clock commands per race for the interval form of the as-of join.
-FEW_ROWS = 64
 # Message texts.
 MSG_NO_TIME = "Time is required"
 MSG_BAD_TIME = "Invalid time format. Use MM:SS.ms"
@@ -78,39 +75,22 @@ def clock_status(events: DataFrame) -> DataFrame:
     return fold_clock(events).groupBy(*RACE).agg(last).select(*RACE, "s.*")
 
 
-def apply_clock(events: DataFrame, clock: DataFrame, few: int = FEW_ROWS) -> DataFrame:
+def apply_clock(events: DataFrame, clock: DataFrame) -> DataFrame:
     """As-of join: each event gets the state in force at its ``ts_s``.
 
-    At equal times the clock goes first.  A race rarely sees more than a few
-    clock commands; then each command becomes an interval and events, however
-    many, are joined to them without being sorted.  Beyond ``few`` commands in
-    some race, where that would compare every event with every interval, the
-    union of both inputs is sorted once and states are filled forward.
+    At equal times the clock goes first; a null time comes before all others, on
+    both sides.  The clock log is folded on its own, then one sort of events and
+    folded states fills the last state forward: the same plan and the same rows
+    for any number of commands, in any race.
     """
-    most = clock.groupBy(*RACE).count().agg(F.max("count")).first()[0] or 0
-    if most <= few:
-        return _join_intervals(events, clock)
-    log = clock.select(*RACE, "ts_s", "seq", "action", "arg_ms", F.lit(0).alias("_kind"))
+    state = F.struct(*STATE).alias("_state")
+    log = fold_clock(clock).select(*RACE, "ts_s", "seq", state, F.lit(0).alias("_kind"))
     rows = events.withColumn("_kind", F.lit(1)).unionByName(log, allowMissingColumns=True)
     order = [F.col("ts_s").asc(), F.col("_kind").asc(), F.col("seq").asc()]
-    states = _clock_states(sorted_chunks(rows, RACE, order))
-    return states.where(F.col("_kind") == 1).select(*events.columns, *STATE)
-
-
-def _join_intervals(events: DataFrame, clock: DataFrame) -> DataFrame:
-    # At most ``few`` rows per race, so this window is bounded.
-    later = Window.partitionBy(*RACE).orderBy("ts_s", "seq")
-    spans = fold_clock(clock).select(
-        *RACE, F.col("ts_s").alias("_from"), F.lead("ts_s").over(later).alias("_until"), *STATE
-    )
-    spans = materialize(spans.where("_until IS NULL OR _from < _until"), "spans")
-    at = F.col("e.ts_s")
-    within = (at >= F.col("_from")) & (F.col("_until").isNull() | (at < F.col("_until")))
-    same = F.col("e.race_id").eqNullSafe(F.col("c.race_id"))
-    joined = events.alias("e").join(spans.alias("c"), same & within, "left")
-    return joined.select(
-        "e.*",
-        "race_start_s",
-        F.coalesce("c.status", F.lit("stopped")).alias("status"),
-        F.coalesce("c.offset_ms", F.lit(0.0)).alias("offset_ms"),
+    filled = fill_forward(sorted_chunks(rows, RACE, order), RACE, {"_now": F.col("_state")})
+    return filled.where(F.col("_kind") == 1).select(
+        *events.columns,
+        F.col("_now.race_start_s").alias("race_start_s"),
+        F.coalesce("_now.status", F.lit("stopped")).alias("status"),
+        F.coalesce("_now.offset_ms", F.lit(0.0)).alias("offset_ms"),
     )

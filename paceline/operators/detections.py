@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.times import strip
 from ..options import Options
-from ..plans.tables import materialize
 
 DEFAULT = Options()
 FRAME = ["race_id", "camera_id", "frame_ord"]
@@ -18,8 +15,6 @@ TRACK = ["race_id", "camera_id", "track_id"]
 PERSON, BIB = 0, 1
 # Grid of the position join: cell side in pixels, and the last cell index.
 CELL, LAST_CELL = 512, 63
-# Bibs of a crowded frame are tried in blocks of det_seq, each this much larger.
-SEQ_BLOCK, SEQ_GROWTH = 512, 16
 
 
 def drop_untracked(df: DataFrame) -> DataFrame:
@@ -80,12 +75,13 @@ def _first_hits(who: DataFrame, what: DataFrame) -> DataFrame:
     covered = who.withColumn("_gx", _cells(F.col("x1"), F.col("x2")))
     covered = covered.withColumn("_gy", _cells(F.col("y1"), F.col("y2")))
     pairs = covered.join(what, [*FRAME, "_gx", "_gy"]).where(inside)
-    first = F.min(F.struct("det_seq", "_bib")).alias("_first")
+    place = F.struct(F.col("det_seq").isNull().alias("_last"), "det_seq")
+    first = F.min(F.struct(place.alias("_place"), "_bib")).alias("_first")
     return pairs.groupBy(*FRAME, "track_id").agg(first)
 
 
 def assign_bibs(
-    persons: DataFrame, bibs: DataFrame, gate: float | None = None, block: int = SEQ_BLOCK
+    persons: DataFrame, bibs: DataFrame, gate: float | None = None
 ) -> DataFrame:
     """First bib (by ``det_seq``) whose centre lies strictly inside each person box.
 
@@ -93,11 +89,7 @@ def assign_bibs(
     ones.  Bibs sit in one grid cell and persons in the cells they cover; joining
     on frame and cell keeps candidates local.
 
-    A detector lists a few hundred boxes per image, and one pass does.  Should a
-    frame hold more, its bibs are tried in growing blocks of ``det_seq``, each
-    only on the persons still without a hit: the first hit is final, so a crowded
-    frame costs about persons * block pairs rather than persons * bibs, and the
-    result stays exact.
+    One pass over any frame; a bib without ``det_seq`` comes after all others.
     """
     gate = DEFAULT.bib_conf if gate is None else gate
     who = persons.select(*FRAME, "track_id", *geo.BOX)
@@ -109,40 +101,19 @@ def assign_bibs(
         _cell(cx).alias("_gx"),
         _cell(cy).alias("_gy"),
         "det_seq",
-        F.struct("conf", *geo.BOX).alias("_bib"),
+        F.struct("det_seq", "conf", *geo.BOX).alias("_bib"),
     )
-    last = bibs.agg(F.max("det_seq")).first()[0]
-    if last is None or last < block:
-        hits = _first_hits(who, what)
-    else:
-        hits = _hits_by_block(who, what, last, block)
+    hits = _first_hits(who, what)
     named = hits.select(
         *FRAME,
         "track_id",
-        F.col("_first.det_seq").alias("det_seq"),
+        F.col("_first._bib.det_seq").alias("det_seq"),
         F.col("_first._bib.conf").alias("yolo_conf"),
         *[F.col(f"_first._bib.{c}").alias(c) for c in geo.BOX],
     )
     return named.where(F.col("yolo_conf") > gate)
 
 
-def _hits_by_block(who: DataFrame, what: DataFrame, last: int, block: int) -> DataFrame:
-    waiting, found, low, high = materialize(who, "persons"), [], None, block
-    while True:
-        part = what.where(F.col("det_seq") < high)
-        if low is not None:
-            part = part.where(F.col("det_seq") >= low)
-        hits = materialize(_first_hits(waiting, part), "hits")
-        found.append(hits)
-        if high > last:
-            return reduce(DataFrame.unionByName, found)
-        done = hits.select(*FRAME, "track_id")
-        waiting = materialize(waiting.join(done, [*FRAME, "track_id"], "left_anti"), "persons")
-        if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        low, high = high, high * SEQ_GROWTH
-
-
 def crops(
     bibs: DataFrame, width: Column, height: Column, padding: int = DEFAULT.crop_padding
 ) -> DataFrame:

@@ -22,6 +22,8 @@ MSG_MISSING = "Missing bibNumber or racerName"
 MSG_DONE = "Successfully processed roster: "
 # New roster rows queue behind every existing row.
 ROSTER_SEQ_BASE = 1 << 52
+# A roster of several files: each file's number takes the bits above its rows.
+FILE, FILE_BITS = ["file_no"], 32
 
 
 # --- roster intake ---------------------------------------------------------
@@ -32,8 +34,9 @@ def validate_roster(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = clean.filled(F.col("bib_number")).isNotNull() & clean.filled(
         F.col("racer_name")
     ).isNotNull()
+    at = [*[c for c in FILE if c in rows.columns], "row_num"]
     errors = rows.where(~ok).select(
-        "race_id", "row_num", "bib_number", _row_error(F.lit(MSG_MISSING))
+        "race_id", *at, "bib_number", _row_error(F.lit(MSG_MISSING))
     )
     return rows.where(ok), errors
 
@@ -47,16 +50,21 @@ def _row_error(text: Column) -> Column:
 def dedupe_file(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First row per bib, and the later ones as errors.
 
-    The first row numbers come from a partial aggregate; rows are then matched
-    on their own number, not on the bib, so a bib that fills a third of the file
-    never gathers in one task.
+    With a ``file_no`` column the rows are of several files, read one after the
+    other: a bib's first row is the first in the first file that lists it.  The
+    first places come from a partial aggregate; rows are then matched on their own
+    place, not on the bib, so a bib that fills a third of the files never gathers
+    in one task.
     """
-    firsts = rows.groupBy(*KEY).agg(F.min("row_num").alias("row_num"))
-    firsts = materialize(firsts.select("race_id", "row_num"), "first_rows")
-    at = ["race_id", "row_num"]
+    at = ["race_id", *[c for c in FILE if c in rows.columns], "row_num"]
+    place = F.min(F.struct(*at[1:])).alias("_at") if len(at) > 2 else F.min("row_num").alias("row_num")
+    firsts = rows.groupBy(*KEY).agg(place)
+    firsts = firsts.select("race_id", *(["_at.*"] if len(at) > 2 else ["row_num"]))
+    firsts = materialize(firsts, "first_rows").withColumn("_first", F.lit(True))
+    marked = materialize(rows.join(firsts, at, "left"), "marked_rows")
     text = F.concat(F.lit("Duplicate bib number "), F.col("bib_number"), F.lit(" in CSV file"))
-    errors = rows.join(firsts, at, "left_anti").select(*at, "bib_number", _row_error(text))
-    return rows.join(firsts, at, "left_semi"), errors
+    errors = marked.where("_first IS NULL").select(*at, "bib_number", _row_error(text))
+    return marked.where("_first").select(*rows.columns), errors
 
 
 def clean_roster(rows: DataFrame) -> DataFrame:
@@ -96,6 +104,7 @@ def merge_roster(
     new = roster.select(
         *KEY, *[F.col(c).alias(f"_{c}") for c in ("racer_name", "gender", "team", "age")],
         "row_num",
+        (F.col("file_no") if "file_no" in roster.columns else F.lit(0)).cast("bigint").alias("_file"),
     )
     base = base.withColumn("_old", F.lit(True))
     if keep_duplicates:
@@ -122,7 +131,7 @@ def merge_roster(
         pick("gender"),
         pick("team"),
         pick("age"),
-        F.coalesce("seq", F.lit(ROSTER_SEQ_BASE) + F.col("row_num")).alias("seq"),
+        F.coalesce("seq", F.shiftleft("_file", FILE_BITS) + ROSTER_SEQ_BASE + F.col("row_num")).alias("seq"),
         op.alias("op"),
     )
 
@@ -316,6 +325,26 @@ def _resolve_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> D
     return resolved.drop("_look", "_old_bib").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
+def fold_edits(edits: DataFrame) -> DataFrame:
+    """One edit per id: later fields, by ``edit_seq``, replace earlier ones.
+
+    An edit with a bad time counts only where its id has no other.  Without an
+    ``edit_seq`` column edits of one id follow each other by their text.
+    """
+    time_text = _value("finishTime")
+    bad = F.coalesce(time_text.isNotNull() & times.parse_edit_time(time_text).isNull(), F.lit(False))
+    seq = F.col("edit_seq") if "edit_seq" in edits.columns else F.lit(0)
+    step = F.struct(seq.alias("s"), F.to_json("fields").alias("t"), F.map_entries("fields").alias("f"))
+    good = F.array_sort(F.collect_list(F.when(~bad, step))).alias("_good")
+    folded = edits.groupBy("race_id", "id").agg(good, F.max_by("fields", F.when(bad, step["s"])).alias("_bad"))
+    entries = F.flatten(F.transform("_good", lambda g: g["f"]))
+    # map_from_entries keeps one value per key: the last one, found by key.
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+    merged = F.map_from_entries(F.transform(keys, last))
+    return folded.select("race_id", "id", F.when(F.size("_good") > 0, merged).otherwise(F.col("_bad")).alias("fields"))
+
+
 def _given(name: str) -> Column:
     return F.array_contains(F.map_keys(F.col("fields")), name)
 
@@ -325,7 +354,9 @@ def _value(name: str) -> Column:
 
 
 def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> DataFrame:
-    """Apply one edit per id (a map of field name to text); adds two columns.
+    """Apply edits (a map of field name to text); adds two columns.
+
+    Several edits of one id are folded in order, see ``fold_edits``.
 
     ``edit_status`` is "edited" or the rejection, ``notify`` what subscribers are
     told: an update of the row, or to reload after a roster hit.
@@ -335,7 +366,7 @@ def apply_edits(results: DataFrame, edits: DataFrame, roster: DataFrame) -> Data
     A changed bib not in the roster is renamed after its bib.  Without a roster
     hit, fields given as NULL are written as NULL.  A bad time rejects the edit.
     """
-    what = materialize(_resolve_edits(results, edits, roster), "edits")
+    what = materialize(_resolve_edits(results, fold_edits(edits), roster), "edits")
     rows = results.join(what, ["race_id", "id"], "left")
     bad = F.coalesce(F.col("_bad"), F.lit(False))
     live = F.col("_bad").isNotNull() & ~bad
@@ -400,7 +431,8 @@ def reorder(results: DataFrame, order: DataFrame, keep_unlisted: bool = False) -
     listed = order.select("race_id", "id", F.col("rank").alias("_rank"), F.col("pos"))
     how = "left" if keep_unlisted else "inner"
     joined = results.join(listed, ["race_id", "id"], how)
-    behind = F.lit(ROSTER_SEQ_BASE) + F.col("seq")
+    # Larger numbers are behind every position as they are.
+    behind = F.when(F.col("seq") < 1 << 62, F.lit(ROSTER_SEQ_BASE) + F.col("seq")).otherwise(F.col("seq"))
     return joined.withColumns(
         {
             "rank": F.when(F.col("pos").isNotNull(), F.col("_rank")).otherwise(F.col("rank")),

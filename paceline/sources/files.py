@@ -30,7 +30,7 @@ def _checked(c: Column) -> Column:
 def read_roster(
     spark: SparkSession, path: str, race_id: int = 0, multi_line: bool = True
 ) -> DataFrame:
-    """Roster CSV with row numbers from 2, counted per file.
+    """Roster CSV with row numbers from 2, counted per file, and ``file_no``.
 
     Header names match in any case.  ``multi_line`` allows line breaks inside
     quotes, and reads each file in one task; without it large files split, and
@@ -64,9 +64,11 @@ def read_roster(
 
 
 def with_row_num(rows: DataFrame) -> DataFrame:
-    """Number the rows of each file from 2 (the header is row 1)."""
+    """Number the files from 0, and the rows of each from 2 (the header is row 1)."""
     order = [F.col("_block").asc(), F.col("_at").asc()]
     numbered = ordered_index(rows, ["_file"], order, "_n")
+    files = ordered_index(rows.select("race_id", "_file").distinct(), ["race_id"], [F.col("_file")], "_f")
+    numbered = numbered.join(files.select("_file", (F.col("_f") - 1).alias("file_no")), "_file")
     return numbered.withColumn("row_num", F.col("_n") + 1).drop("_n", "_file", "_block", "_at")
 
 

@@ -73,6 +73,12 @@ def test_fixed_rounds_like_printf(spark):
         assert got == [f"{v:.{digits}f}" for v in values]
 
 
+def test_fixed_beyond_exact_integers(spark):
+    values = [1e13, 9.1e15, 1e20, -1e13, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(times.fixed(F.col("v"), 6).alias("t"))
+    assert [r.t for r in df.collect()] == [None if v is None else f"{v:.6f}" for v in values]
+
+
 def test_normalize_epoch(spark):
     def rule(c):
         return times.normalize_epoch(c, F.lit(1.6e9), F.lit(500.0))

@@ -148,6 +148,23 @@ def test_edits(rows_of, results):
     assert [r.id for r in res.unknown_ids(results, edits).collect()] == ["zz"]
 
 
+def test_edits_of_one_id_are_folded(rows_of):
+    edits = rows_of(
+        "race_id bigint, id string, fields map<string,string>, edit_seq bigint",
+        (0, "a", {"team": "T1", "age": "4"}, 1), (0, "a", {"finishTime": "bad", "team": "T9"}, 3), (0, "a", {"team": None}, 2),
+        (0, "b", {"finishTime": "bad"}, 1), (1, "a", {"age": "7"}, 1),
+    )
+    got = {(r.race_id, r.id): r.fields for r in res.fold_edits(edits).collect()}
+    assert got == {(0, "a"): {"team": None, "age": "4"}, (0, "b"): {"finishTime": "bad"}, (1, "a"): {"age": "7"}}
+
+
+def test_reorder_with_large_sequence_numbers(rows_of):
+    rows = rows_of("race_id bigint, id string, seq bigint", (0, "a", 5), (0, "b", (1 << 63) - 1), (0, "c", 1 << 52)).selectExpr("*", "1L AS rank")
+    order = rows_of("race_id bigint, id string, rank bigint, pos int", (0, "c", 1, 0))
+    got = {r.id: r.seq for r in res.reorder(rows, order, keep_unlisted=True).collect()}
+    assert got["c"] < got["a"] < got["b"]
+
+
 def test_delete_and_reorder(rows_of, results):
     gone = rows_of("race_id bigint, id string", (0, "a"))
     assert {r.id for r in res.apply_deletes(results, gone).collect()} == {"b", "c", "d"}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline import schemas
-from paceline.operators import annotate
+from paceline.operators import annotate, results
 from paceline.options import Options
 from paceline.sources import feeds, files, sinks
 
@@ -49,6 +49,16 @@ def test_rows_are_numbered_per_file(spark, tmp_path):
     assert all(r.row_num == int(r.bib_number) + 2 for r in rows) and len(rows) == 8
 
 
+def test_roster_over_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("bibNumber,racerName\n4,A\n5,First\n5,Again\n")
+    (tmp_path / "b.csv").write_text("bibNumber,racerName\n6,C\n5,Other file\n4,\n")
+    kept, errors = results.roster_quarantine(files.read_roster(spark, f"{tmp_path}/"))
+    assert {(r.bib_number, r.racer_name, r.file_no, r.row_num) for r in kept.collect()} == {
+        ("4", "A", 0, 2), ("5", "First", 0, 3), ("6", "C", 1, 2),
+    }
+    assert {(r.file_no, r.row_num, r.bib_number) for r in errors.collect()} == {(0, 4, "5"), (1, 3, "5"), (1, 4, "4")}
+
+
 def test_starter_list_round_trip(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Bib,First Name,Last Name,Gender,Age,Extra\n1,A,B,M,9,q\n,C,D,F,x,q\n")
     rows = files.read_starter_list(spark, str(tmp_path / "s.csv"))
@@ -57,6 +67,21 @@ def test_starter_list_round_trip(spark, tmp_path):
     assert files.read_starter_list(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_malformed_shapes_drop_the_document(spark):
+    schema = "stem string, imageWidth double, imageHeight double, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>"
+    two = [[1.0, 2.0], [3.0, 4.0]]
+    docs = spark.createDataFrame(
+        [
+            ("ok", 10.0, 10.0, [("0", "rectangle", two), ("0", "polygon", [])]), ("one", 10.0, 10.0, [("0", "rectangle", two[:1])]),
+            ("short", 10.0, 10.0, [("0", "rectangle", [[1.0], [2.0, 3.0]])]), ("none", 10.0, 10.0, [("0", "rectangle", None)]),
+            ("bib", 10.0, 10.0, [("bib", "rectangle", two)]), ("empty", 10.0, 10.0, []),
+        ],
+        schema,
+    )
+    assert {r.stem for r in annotate.label_text(docs).collect()} == {"ok", "empty"}
+    assert {r.stem for r in annotate.malformed(docs).collect()} == {"one", "short", "none", "bib"}
+
+
 def test_annotations_to_labels(spark, tmp_path):
     def doc(name, width, *shapes):
         body = {"imageWidth": width, "imageHeight": 100, "shapes": list(shapes)}

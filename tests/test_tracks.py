@@ -37,8 +37,7 @@ def test_first_bib_decides_before_the_gate(rows_of):
     assert got == {(2, 7): 2, (2, 8): 2}
 
 
-@pytest.mark.parametrize("block", [2, 10, 512])
-def test_assign_bibs_brute_force(rows_of, block):
+def test_assign_bibs_brute_force(rows_of):
     rng = random.Random(3)
     rows = []
     for f in range(30):
@@ -50,9 +49,7 @@ def test_assign_bibs_brute_force(rows_of, block):
     det = boxes(rows_of, *rows)
     got = {
         (r.frame_ord, r.track_id): r.det_seq
-        for r in detections.assign_bibs(
-            det.where("cls = 0"), det.where("cls = 1"), block=block
-        ).collect()
+        for r in detections.assign_bibs(det.where("cls = 0"), det.where("cls = 1")).collect()
     }
     want = {}
     for f, _, t, cls, _, x1, y1, x2, y2 in rows:
@@ -66,6 +63,19 @@ def test_assign_bibs_brute_force(rows_of, block):
     assert got == want and want
 
 
+def test_bib_without_sequence_comes_last(rows_of):
+    det = boxes(
+        rows_of,
+        (1, 0, 7, 0, 0.9, 700.0, 600.0, 800.0, 900.0),
+        (1, None, 20, 1, 0.99, 740.0, 650.0, 770.0, 690.0),
+        (1, 5, 21, 1, 0.95, 745.0, 655.0, 775.0, 695.0),
+        (2, 0, 7, 0, 0.9, 700.0, 600.0, 800.0, 900.0),
+        (2, None, 20, 1, 0.99, 740.0, 650.0, 770.0, 690.0),
+    )
+    got = detections.assign_bibs(det.where("cls = 0"), det.where("cls = 1")).collect()
+    assert {(r.frame_ord, r.det_seq, r.yolo_conf) for r in got} == {(1, 5, 0.95), (2, None, 0.99)}
+
+
 def test_split_and_crossing(rows_of):
     det = boxes(
         rows_of,
