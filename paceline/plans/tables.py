@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _written: list[str] = []
+_list: ContextVar[list[str]] = ContextVar("tables", default=_written)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,15 +41,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _list.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
+def release(spark: SparkSession, tables: list[str] | None = None) -> int:
     """Delete the tables this process has written; frames built on them end here."""
     conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    tables = _written if tables is None else tables
     gone = 0
-    while _written:
-        folder = path_of(_written.pop())
+    while tables:
+        folder = path_of(tables.pop())
         gone += folder.getFileSystem(conf).delete(folder, True)
     return gone
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside on leaving, as each micro-batch must."""
+    mine: list[str] = []
+    before = _list.set(mine)
+    try:
+        yield
+    finally:
+        _list.reset(before)
+        release(spark, mine)

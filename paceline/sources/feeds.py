@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.results import FILE_BITS
+from .files import numbered_lines
+
+# Kafka offsets are spread over this many partitions of a topic at most.
+KAFKA_PARTITIONS = 1024
 
 
 def read_detections(
@@ -35,18 +40,46 @@ def _reader(spark: SparkSession, streaming: bool):
 def read_finisher_events(
     spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """JSON lines with one finisher body each."""
+    """JSON lines with one finisher body each.
+
+    A line's place tells equal bodies apart.  Read as a batch, lines also get a
+    ``seq`` in their order: files by name, lines as they stand.  A stream of files
+    has no order of its own and cannot number lines; equal bodies of one file should
+    carry ``event_id`` or ``seq``, or come through Kafka.
+    """
     reader = _reader(spark, streaming).format("text")
     if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return parse_finisher(reader.load(path), F.col("value"))
+    file = F.col("_metadata.file_path").alias("_file")
+    block = F.col("_metadata.file_block_start").alias("_block")
+    if streaming:
+        lines = reader.load(path).select("value", F.concat_ws(":", file, block).alias("_place"))
+        lines = lines.withColumn("_seq", _positive_hash(F.concat_ws("\n", "_place", "value")))
+    else:
+        lines = reader.load(path).select("value", file, block, F.monotonically_increasing_id().alias("_at"))
+        lines = numbered_lines(lines)
+        seq = F.shiftleft("file_no", FILE_BITS) + F.col("_n")
+        lines = lines.withColumns({"_place": F.concat_ws(":", "_file", "_n"), "_seq": seq})
+    return parse_finisher(lines, F.col("value"))
+
+
+def _positive_hash(text: Column) -> Column:
+    """52 bits, below the numbers that roster rows start from."""
+    return F.shiftrightunsigned(F.xxhash64(text), 12)
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, streaming: bool = True) -> DataFrame:
-    """Message bodies of a topic as ``value`` text (needs the Kafka package)."""
+    """Message bodies of a topic as ``value`` text (needs the Kafka package).
+
+    With their place, for ``parse_finisher``: in order within each partition.
+    """
     reader = _reader(spark, streaming).format("kafka")
     rows = reader.option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return rows.select(F.col("value").cast("string").alias("value"))
+    return rows.select(
+        F.col("value").cast("string").alias("value"),
+        F.concat_ws(":", "partition", "offset").alias("_place"),
+        (F.col("offset") * KAFKA_PARTITIONS + F.col("partition")).alias("_seq"),
+    )
 
 
 # The body's finishTime is a number or a text; both arrive as text here, and the
@@ -59,12 +92,18 @@ BODY = (
 
 
 def parse_finisher(df: DataFrame, body: Column) -> DataFrame:
-    """Finisher columns from a JSON body."""
+    """Finisher columns from a JSON body.
+
+    Where the source adds ``_place`` and ``_seq``, equal bodies from two places are
+    two events, and arrive in the order of ``_seq``; a body's own id and ``seq`` win.
+    """
+    place = [c for c in ("_place",) if c in df.columns]
+    seq = F.col("_seq") if "_seq" in df.columns else _positive_hash(F.col("_body"))
     quoted = body.rlike(r'"finishTime"\s*:\s*"')
     raw = F.col("_b.finishTime")
     return df.withColumn("_body", body).withColumn("_b", F.from_json("_body", BODY)).select(
         F.coalesce("_b.race_id", F.lit(0).cast("bigint")).alias("race_id"),
-        F.coalesce(F.col("_b.event_id"), F.sha2("_body", 256)).alias("event_id"),
+        F.coalesce(F.col("_b.event_id"), F.sha2(F.concat_ws("\n", *place, "_body"), 256)).alias("event_id"),
         F.col("_b.bibNumber").alias("bib_number"),
         F.col("_b.wallClockTime").alias("wall_clock_s"),
         F.when(~quoted, raw.try_cast("double")).alias("finish_time_ms"),
@@ -72,11 +111,11 @@ def parse_finisher(df: DataFrame, body: Column) -> DataFrame:
         F.col("_b.racerName").alias("racer_name"),
         *[F.col(f"_b.{c}").alias(c) for c in ("gender", "team", "age")],
         F.coalesce("_b.arrival_ts", "_b.wallClockTime").alias("ts_s"),
-        F.coalesce("_b.seq", F.xxhash64("_body")).alias("seq"),
+        F.coalesce("_b.seq", seq).alias("seq"),
     )
 
 
-# Wire names of the result columns.
+# Wire names of the result columns.
 WIRE = {
     "id": "id",
     "bib_number": "bibNumber",

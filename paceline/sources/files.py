@@ -65,11 +65,21 @@ def read_roster(
 
 def with_row_num(rows: DataFrame) -> DataFrame:
     """Number the files from 0, and the rows of each from 2 (the header is row 1)."""
+    numbered = numbered_lines(rows)
+    return numbered.withColumn("row_num", F.col("_n") + 1).drop("_n", "_file", "_block", "_at")
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """Add ``file_no`` from 0, in the order of names, and ``_n`` from 1 in each file.
+
+    ``rows`` come with ``_file``, ``_block`` (where the part read began) and ``_at``
+    (a growing number within it).
+    """
     order = [F.col("_block").asc(), F.col("_at").asc()]
     numbered = ordered_index(rows, ["_file"], order, "_n")
-    files = ordered_index(rows.select("race_id", "_file").distinct(), ["race_id"], [F.col("_file")], "_f")
-    numbered = numbered.join(files.select("_file", (F.col("_f") - 1).alias("file_no")), "_file")
-    return numbered.withColumn("row_num", F.col("_n") + 1).drop("_n", "_file", "_block", "_at")
+    names = rows.select("_file").distinct().withColumn("_all", F.lit(0))
+    names = ordered_index(names, ["_all"], [F.col("_file").asc()], "_f")
+    return numbered.join(names.select("_file", (F.col("_f") - 1).alias("file_no")), "_file")
 
 
 def read_starter_list(spark: SparkSession, path: str) -> DataFrame:

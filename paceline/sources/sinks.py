@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boards, ranking
 
+# Headers of the two file formats.
 LEADERBOARD = (
     "Place", "Bib", "Name", "First name", "Last name", "Age", "Gender", "Time",
     "Difference", "% Back", "% Winning", "% Average", "% Median", "team",

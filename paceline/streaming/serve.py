@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from ..operators import boards, clock, ranking, results
-from ..plans.tables import materialize
+from ..plans.tables import materialize, scope
 from ..schemas import RESULT, RESULT_COLUMNS
 from ..sources import feeds, sinks
 
@@ -116,7 +116,8 @@ def official_times(clock_log: Callable[[], DataFrame], fn: Batch) -> Batch:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fn(results.validate_events(clock.apply_clock(batch, clock_log())), batch_id)
+        with scope(batch.sparkSession):
+            fn(results.validate_events(clock.apply_clock(batch, clock_log())), batch_id)
 
     return write
 
@@ -125,7 +126,8 @@ def snapshot_sink(path: str) -> Batch:
     """Leaderboard of the finished rows, rewritten after each change."""
 
     def write(table: DataFrame, batch_id: int) -> None:
-        sinks.write_leaderboard(ranking.finished(table), path)
+        with scope(table.sparkSession):
+            sinks.write_leaderboard(ranking.finished(table), path)
 
     return write
 
@@ -142,6 +144,10 @@ def results_writer(
     """
 
     def write(timed: DataFrame, batch_id: int) -> None:
+        with scope(timed.sparkSession):
+            serve(timed, batch_id)
+
+    def serve(timed: DataFrame, batch_id: int) -> None:
         spark = timed.sparkSession
         kept = materialize(timed, "events")
         valid, rejected = results.split_valid(kept)
@@ -170,8 +176,9 @@ def track_board_writer(path: str, board_path: str) -> Batch:
         _write_batch(batch, path, batch_id)
         seen = _earlier(batch.sparkSession, path, batch.schema, batch_id + 1)
         order = [F.col("finish_time_ms").asc(), F.col("track_id").asc()]
-        board = ranking.display_position(seen, order, ["race_id", "camera_id"])
-        board.write.mode("overwrite").parquet(board_path)
+        with scope(batch.sparkSession):
+            board = ranking.display_position(seen, order, ["race_id", "camera_id"])
+            board.write.mode("overwrite").parquet(board_path)
 
     return write
 

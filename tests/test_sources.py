@@ -1,6 +1,7 @@
 """Files in and out."""
 
 import json
+import os
 from datetime import date
 
 import pytest
@@ -67,6 +68,28 @@ def test_starter_list_round_trip(spark, tmp_path):
     assert files.read_starter_list(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_equal_bodies_are_two_events(spark, tmp_path):
+    body = '{"bibNumber": "5", "finishTime": 1000}'
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(f'{body}\n{{"bibNumber": "6"}}\n{body}\n')
+    rows = feeds.read_finisher_events(spark, f"{tmp_path}/").orderBy("seq").collect()
+    assert [r.bib_number for r in rows] == ["5", "6", "5"] * 2
+    assert len({r.event_id for r in rows}) == len({r.seq for r in rows}) == 6
+    again = feeds.read_finisher_events(spark, f"{tmp_path}/").orderBy("seq").collect()
+    assert rows == again
+
+
+def test_scope_deletes_its_tables(spark):
+    from paceline.plans import tables
+
+    kept = tables.materialize(spark.range(3), "kept")
+    with tables.scope(spark):
+        inner = tables.materialize(spark.range(4), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_malformed_shapes_drop_the_document(spark):
     schema = "stem string, imageWidth double, imageHeight double, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>"
     two = [[1.0, 2.0], [3.0, 4.0]]
