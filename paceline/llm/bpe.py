@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .units import Memo, spread
 
 LOCKSTEP = 64  # symbols up to which pieces run side by side
@@ -295,4 +295,4 @@ def encode_decode(documents: DataFrame, vocabulary_path: str, with_ids: bool = T
         source = documents.sparkSession.sparkContext.broadcast(file.read())
     schema = "doc_id long, n_tokens long, " + "ids array<int>, decoded string, " * with_ids
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_run(source, with_ids), schema + "ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(worker(_run(source, with_ids)), schema + "ids_sha256 string, decoded_sha256 string")

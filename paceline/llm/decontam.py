@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import materialize
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 
 SHINGLE = 3
 BLOCK_WINDOWS = 200_000  # about 30 MB in a task
@@ -209,7 +209,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id IS NOT NULL")
-    made = materialize(items.mapInArrow(_windows(window), WINDOWS).distinct(), "windows")
+    made = materialize(items.mapInArrow(worker(_windows(window)), WINDOWS).distinct(), "windows")
     n_windows = made.count()
     passes = max(1, -(-n_windows // BLOCK_WINDOWS))
     found = None
@@ -220,15 +220,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         for _, n, _, shingles in rows:
             kinds.setdefault(min(SHINGLE, n), set()).update(np.frombuffer(shingles, np.uint64).tolist())
         sieves = {s: np.array(sorted(v), np.uint64) for s, v in kinds.items()}
-        per_task = docs.mapInArrow(_count(spark.sparkContext.broadcast(sieves)), "k int, shingle long, n long")
+        per_task = docs.mapInArrow(worker(_count(spark.sparkContext.broadcast(sieves))), "k int, shingle long, n long")
         counts = per_task.groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect() if rows else []
         order = {(r["k"], r["shingle"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in counts}
         source = spark.sparkContext.broadcast(_prefixes(rows, order))
-        one = docs.mapInArrow(_match(source), "doc_id long, n_words long, spans binary, items array<long>")
+        one = docs.mapInArrow(worker(_match(source)), "doc_id long, n_words long, spans binary, items array<long>")
         found = one if found is None else found.union(one)
     if passes == 1:
         found = found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
         found = found.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    out = found.mapInArrow(_finish, FOUND)
+    out = found.mapInArrow(worker(_finish), FOUND)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .training import classes, held_out, sample
 
 WINDOW, EMBED, FILTERS, WIDTHS = 512, 8, 8, (2, 3, 4)
@@ -199,5 +199,5 @@ def identify(documents: DataFrame, parts: int = 5, part: int = 0, per_language:
 def predict(documents: DataFrame, net: dict | None, parts: int = 5, part: int = 0) -> DataFrame:
     """Apply a trained network (a few tens of kilobytes) to every whole text."""
     model = documents.sparkSession.sparkContext.broadcast(net)
-    scored = documents.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    scored = documents.select("doc_id", "text").mapInArrow(worker(_predict(model)), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", held_out(parts, part).alias("held_out"), "lang_pred", "score")

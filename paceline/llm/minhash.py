@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import materialize
 from . import vectext
 from .components import components
-from .shipping import ship
+from .shipping import ship, worker
 
 VALUES, TREES, DEPTH, REGION, OVERLAP = 64, 16, 3, 64, 8
 _STEP = VALUES // TREES
@@ -221,7 +221,7 @@ def _candidates(orders: DataFrame, comps: DataFrame | None, agree: int) -> DataF
     rows = rows.select("tree", "doc_id", "comp", "key")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "doc_id")
-    pairs = rows.mapInArrow(_pairs(agree, comps is None), "a long, b long, agree long")
+    pairs = rows.mapInArrow(worker(_pairs(agree, comps is None)), "a long, b long, agree long")
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -250,7 +250,7 @@ def near_duplicates(
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(_sign(shingle), SIGNED), "signed")
+    signed = materialize(texts.mapInArrow(worker(_sign(shingle)), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "set_a", "set_b"]
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
@@ -258,7 +258,7 @@ def near_duplicates(
     orders = materialize(_orders(classes), "orders")
     found = materialize(_candidates(orders, None, agree), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(texts.join(ends, "doc_id", "left_semi").mapInArrow(_hold(shingle), "doc_id long, items binary"), "sets")
+    held = materialize(texts.join(ends, "doc_id", "left_semi").mapInArrow(worker(_hold(shingle)), "doc_id long, items binary"), "sets")
     held = held.dropDuplicates(["doc_id"]) if _repeats(signed) else held
     comps = _link(found, held, orders, agree, percent)
     of_class = classes.select(*key, F.col("doc_id").alias("id")).join(comps, "id", "left")
@@ -279,7 +279,7 @@ def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, perc
 
     def confirm(pairs: DataFrame) -> DataFrame:
         rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "p", "q")
-        return materialize(rows.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
+        return materialize(rows.mapInArrow(worker(_confirm(percent)), "a long, b long, linked boolean"), "confirmed")
 
     # First each class with its best partner, then its three best, then all.
     tried, comps, left = None, None, found

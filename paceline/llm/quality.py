@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .training import classes, held_out, sample
 
 BITS, WIDTH, EPOCHS, RATE = 18, 8, 6, 0.5
@@ -125,6 +125,6 @@ def quality(
     known = known.where(~held_out(parts, part) & F.col("quality").isin(0, 1)).distinct()
     texts, y = sample(docs, classes(known, "quality", per_class), "quality", LONGEST)
     model = spark.sparkContext.broadcast(train(texts, y))  # one number per bucket: 1 MB
-    scored = docs.mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.mapInArrow(worker(_score(model)), "doc_id long, score double")
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out(parts, part).alias("held_out"), "score", predicted)

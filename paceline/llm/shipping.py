@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -27,3 +30,27 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(str(name))
     _sent.add(app)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer needs back to the machine.
+
+    Workers are reused, and what their allocators keep after a task would count
+    against the next one's executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
+def worker(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that leaves no spare memory behind."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy

@@ -37,14 +37,14 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.tables import materialize
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .units import spread
 
 # A perfect difference set.
 COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 BLOCKS = 4
-NAMES_PER_BUCKET = 4_000_000
+NAMES_PER_BUCKET = 2_000_000
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, body binary, carried binary"
 NAMES = "chunk long, bucket int, names binary"
 BITS = "chunk long, bucket int, bits binary"
@@ -340,32 +340,32 @@ def repeated_spans(
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    chunks = materialize(ordered.mapInArrow(_chunks, CHUNKS), "chunks")
+    chunks = materialize(ordered.mapInArrow(worker(_chunks), CHUNKS), "chunks")
     del ordered
     _let_go(spark)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(n, int(total * len(COVER) / PERIOD / NAMES_PER_BUCKET) + 1)
-    ranked = chunks.mapInArrow(_rank_samples(length, buckets), NAMES).groupBy("bucket").applyInPandas(_recurring, BITS)
+    ranked = chunks.mapInArrow(worker(_rank_samples(length, buckets)), NAMES).groupBy("bucket").applyInPandas(_recurring, BITS)
     ranked = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     ranked = materialize(ranked, "cover")
     _let_go(spark)
     met = chunks.drop("carried").join(ranked, "chunk", "left").select("chunk", "sizes", "body", "answers")
-    stretches = materialize(met.mapInArrow(_stretches(length, buckets), STRETCHES), "stretches")
+    stretches = materialize(met.mapInArrow(worker(_stretches(length, buckets)), STRETCHES), "stretches")
     del met
     _let_go(spark)
     found = None
     for block in range(BLOCKS):
-        sent = stretches.mapInArrow(_sort_block(length, block, BLOCKS, buckets), NAMES)
+        sent = stretches.mapInArrow(worker(_sort_block(length, block, BLOCKS, buckets)), NAMES)
         bits = sent.groupBy("bucket").applyInPandas(_earlier, BITS).withColumn("block", F.lit(block))
         bits = materialize(bits, "block")
         found = bits if found is None else found.union(bits)
         del sent
         _let_go(spark)
     answers = found.groupBy("chunk").agg(F.collect_list(F.struct("block", "bucket", "bits")).alias("answers"))
-    spans = materialize(stretches.join(answers, "chunk", "left").mapInArrow(_spans(length, BLOCKS, buckets), SPANS), "spans")
+    spans = materialize(stretches.join(answers, "chunk", "left").mapInArrow(worker(_spans(length, BLOCKS, buckets)), SPANS), "spans")
     out = chunks.join(spans, "chunk", "left")
     schema = _parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     for name in carry:
         schema = schema.add(docs.schema[name])
     schema = schema.add("kept", "string") if with_text else schema
-    return out.mapInArrow(_result(with_text), schema)
+    return out.mapInArrow(worker(_result(with_text)), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .units import Memo
 
 PARQUET = {
@@ -106,7 +106,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary_path: str, end_id:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encode(source, end_id), TOKENS).write.options(**PARQUET).parquet(f"{path}/tokens")
+    rows.mapInArrow(worker(_encode(source, end_id)), TOKENS).write.options(**PARQUET).parquet(f"{path}/tokens")
     parts = _tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row per written partition.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,4 +149,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the ids read back."""
     rows = tokens.select("doc_id", "start", "ids")
-    return rows.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(worker(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

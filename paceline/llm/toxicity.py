@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shipping import ship
+from .shipping import ship, worker
 from .training import classes, held_out, sample
 
 SPAN, WINDOW, DECAY = 7, 14, 0.6
@@ -293,6 +293,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 5, part: int
     known = known.where(~held_out(parts, part) & F.col("toxic").isin(0, 1)).distinct()
     texts, y = sample(docs, classes(known, "toxic", per_class), "toxic", LONGEST)
     model = spark.sparkContext.broadcast(train(texts, y))  # one number per subsequence: 4 MB
-    scored = docs.mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.mapInArrow(worker(_score(model)), "doc_id long, score double")
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out(parts, part).alias("held_out"), "score", predicted)

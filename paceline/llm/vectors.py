@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import materialize
 from .components import components
-from .shipping import ship
+from .shipping import ship, worker
 
 PROJECTIONS, ORDERS, WIDTH, MISS, BLOCK = 16, 4, 2.0, 1e-5, 1024
 UNITS = "vec_id long, label int, bytes binary, unit binary, cells array<long>, dims int"
@@ -172,7 +172,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    units = materialize(rows.mapInArrow(_prepare(cosine), UNITS), "units")
+    units = materialize(rows.mapInArrow(worker(_prepare(cosine)), UNITS), "units")
     live = units.where("unit IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
     same = ["label", "bytes"]
     kinds = live.groupBy(*same).agg(
