@@ -48,7 +48,7 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray
         out = []
         for i, j in zip(per_doc[:-1].tolist(), per_doc[1:].tolist(), strict=True):
             if j - i >= shingle:
-                out.append(np.unique(grams[i : j - shingle + 1]))
+                out.append(vectext.distinct(grams[i : j - shingle + 1]))
             else:
                 out.append(vectext.gram_hashes(h[i:j], j - i) if j > i else h[:0])
         yield first, out

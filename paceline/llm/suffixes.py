@@ -118,7 +118,7 @@ def _rank_samples(length: int, buckets: int):
         for batch in batches:
             for row in _rows(batch):
                 _, keys = _samples(*_open(row), length, buckets)
-                keys = np.unique(keys)
+                keys = vectext.distinct(keys)
                 edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
                 full = np.flatnonzero(np.diff(edges))
                 low = keys.astype(np.uint32)
@@ -216,7 +216,7 @@ def _suffixes(row: dict, length: int) -> np.ndarray:
 def _block(names: np.ndarray, block: int, blocks: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows are of a block; their distinct names by bucket; the bucket edges."""
     mine = np.flatnonzero(names % np.uint64(blocks) == block)
-    kinds = np.unique(names[mine])
+    kinds = vectext.distinct(names[mine])
     bucket = _bucket(kinds, blocks, buckets)
     order = np.argsort(bucket, kind="stable")
     return mine, kinds[order], np.searchsorted(bucket[order], np.arange(buckets + 1))

@@ -58,6 +58,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is several times faster than ``np.unique`` here."""
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def flatten(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: empty) and the n + 1 document bounds."""
     if texts.null_count:
