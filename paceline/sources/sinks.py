@@ -76,9 +76,20 @@ def write_starter_list(df: DataFrame, path: str) -> None:
     _csv(df).csv(path)
 
 
-def write_labels(texts: DataFrame, path: str) -> None:
-    """One text per image, in a folder named after its stem."""
-    texts.select("stem", "value").write.mode("overwrite").partitionBy("stem").text(path)
+LABEL_FOLDERS = 256
+
+
+def write_labels(texts: DataFrame, path: str, per_image: bool = False) -> None:
+    """Label texts as (stem, value) rows in few files, or one text file per image.
+
+    Files per image lie in folders named after their stems, those in ``LABEL_FOLDERS``
+    folders by the stem's hash: a file system holds few entries in one folder well.
+    """
+    if not per_image:
+        texts.select("stem", "value").write.mode("overwrite").parquet(path)
+        return
+    folder = F.pmod(F.xxhash64("stem"), F.lit(LABEL_FOLDERS)).alias("folder")
+    texts.select(folder, "stem", "value").write.mode("overwrite").partitionBy("folder", "stem").text(path)
 
 
 def write_changes(messages: DataFrame, path: str) -> None:

@@ -127,9 +127,11 @@ def test_annotations_to_labels(spark, tmp_path):
         "b": "",
     }
     assert annotate.converted_count(docs).first().converted == 2
-    sinks.write_labels(annotate.label_text(docs), str(tmp_path / "labels"))
-    assert (tmp_path / "labels" / "stem=a").is_dir()
-    assert text_files(tmp_path / "labels" / "stem=a")[0].read_text().split("\n")[0].startswith("1 0.2")
+    sinks.write_labels(annotate.label_text(docs), str(tmp_path / "rows"))
+    assert {r.stem: r.value for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == texts
+    sinks.write_labels(annotate.label_text(docs), str(tmp_path / "labels"), per_image=True)
+    (folder,) = (tmp_path / "labels").glob("folder=*/stem=a")
+    assert text_files(folder)[0].read_text().split("\n")[0].startswith("1 0.2")
 
 
 def test_pairs(spark, tmp_path):
