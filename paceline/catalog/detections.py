@@ -96,14 +96,19 @@ def frames_of(det):
 @query(
     "q_frame_coords",
     f"WITH {v.V_DET}"
-    + f""" SELECT race_id, camera_id, frame_ord, det_seq,
-  x1 / 0.5::DOUBLE + CAST(trunc({D(W)} * 0.285::DOUBLE) AS INTEGER) AS x1,
-  y1 / 0.5::DOUBLE + CAST(trunc({D(H)} * 0.49::DOUBLE * 0.9::DOUBLE) AS INTEGER) AS y1
-FROM v_det""",
+    + " SELECT race_id, camera_id, frame_ord, det_seq, "
+    + ", ".join(
+        f"{axis}{k} / 0.5::DOUBLE + CAST(trunc({shift}) AS INTEGER) AS {axis}{k}"
+        for axis, shift in (
+            ("x", f"{D(W)} * 0.285::DOUBLE"), ("y", f"{D(H)} * 0.49::DOUBLE * 0.9::DOUBLE"),
+        )
+        for k in (1, 2)
+    )
+    + " FROM v_det",
 )
 def frame_coords(spark, sf):
     moved = geo.to_frame_coords(v.v_det(spark, sf), *_size())
-    return moved.select(*CAM, "frame_ord", "det_seq", "x1", "y1")
+    return moved.select(*CAM, "frame_ord", "det_seq", *geo.BOX)
 
 
 @query(
@@ -514,11 +519,13 @@ def roi_frames(spark, sf):
 
 @query(
     "q_video_summary",
-    """SELECT CAST(user_id % 8 AS BIGINT) AS race_id, 'cam' || (user_id % 2) AS camera_id,
+    """SELECT *, lpad(CAST(floor(duration_s / 60) AS INTEGER)::VARCHAR, 2, '0') || ':' ||
+  lpad(CAST(trunc(duration_s % 60) AS INTEGER)::VARCHAR, 2, '0') AS duration
+FROM (SELECT CAST(user_id % 8 AS BIGINT) AS race_id, 'cam' || (user_id % 2) AS camera_id,
   count(*) AS frames, CAST(user_id % 8 AS DOUBLE) * 5 AS fps,
   CASE WHEN user_id % 8 > 0 THEN count(*) / (CAST(user_id % 8 AS DOUBLE) * 5) ELSE 0 END
     AS duration_s
-FROM events GROUP BY user_id % 8, user_id % 2""",
+FROM events GROUP BY user_id % 8, user_id % 2)""",
 )
 def video_summary(spark, sf):
     u = F.col("user_id")
@@ -527,7 +534,18 @@ def video_summary(spark, sf):
         F.concat(F.lit("cam"), (u % 2).cast("string")).alias("camera_id"),
         ((u % 8).cast("double") * 5).alias("fps"),
     )
-    return frames.video_summary(rows).drop("duration")
+    return frames.video_summary(rows)
+
+
+# Every seventh detection stands for one that the tracker gave no id.
+@query(
+    "q_untracked",
+    f"WITH {v.V_DET} SELECT race_id, camera_id, frame_ord, det_seq FROM v_det WHERE frame_ord % 7 <> 3",
+)
+def untracked(spark, sf):
+    lost = F.when(F.col("frame_ord") % 7 != 3, F.col("track_id"))
+    tracked = detections.drop_untracked(v.v_det(spark, sf).withColumn("track_id", lost))
+    return tracked.select(*CAM, "frame_ord", "det_seq")
 
 
 # --- annotations ------------------------------------------------------------------------

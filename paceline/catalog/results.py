@@ -88,6 +88,32 @@ def roster_clean(spark, sf):
     return res.roster_quarantine(raw_roster(spark, sf))[0]
 
 
+# The same rows as three files: rows are numbered per file, and bibs repeat across files.
+FILES_RAW = (
+    RAW.replace("o_orderkey + 2 AS row_num", "o_orderkey // 3 + 2 AS row_num, o_orderkey % 3 AS file_no")
+    .replace("ORDER BY row_num)", "ORDER BY file_no, row_num)")
+    .replace("race_id, row_num, bib_number, {", "race_id, file_no, row_num, bib_number, {")
+    .replace("SELECT race_id, row_num, bib_number", "SELECT race_id, file_no, row_num, bib_number")
+)
+
+
+def roster_files_rows(spark, sf):
+    at = F.col("row_num") - 2
+    rows = raw_roster(spark, sf).withColumn("file_no", at % 3)
+    return rows.withColumn("row_num", F.floor(at / 3) + 2)
+
+
+@query("q_roster_files", f"WITH {FILES_RAW} SELECT race_id, file_no, row_num, bib_number, racer_name FROM kept")
+def roster_files(spark, sf):
+    kept, _ = res.roster_quarantine(roster_files_rows(spark, sf))
+    return kept.select("race_id", "file_no", "row_num", "bib_number", "racer_name")
+
+
+@query("q_roster_files_errors", f"WITH {FILES_RAW} SELECT * FROM err")
+def roster_files_errors(spark, sf):
+    return res.roster_quarantine(roster_files_rows(spark, sf))[1]
+
+
 # Results to merge into: every fourth bib is unknown to the file, which adds it anew.
 MERGED = (
     f"WITH {v.V_RESULTS}, {RAW}"
