@@ -1,5 +1,7 @@
 """Roster, edits, deletes, reorder and race clock."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import clean, times
@@ -7,6 +9,7 @@ from ..operators import clock as clk
 from ..operators import ranking
 from ..operators import report
 from ..operators import results as res
+from ..plans.tables import shared_folder
 from ..sources import feeds
 from . import views as v
 from .registry import query
@@ -602,3 +605,26 @@ def clock_text(spark, sf):
 def finisher_id(spark, sf):
     made = clean.finisher_id(F.col("o_custkey"), F.col("o_orderkey"))
     return v.table(spark, sf, "orders").select("o_orderkey", made.alias("id"))
+
+
+# Bodies as posted, many of them equal; each line is an event of its own.
+@query(
+    "q_intake",
+    """SELECT CAST(user_id % 50 AS VARCHAR) AS bib_number,
+  CAST(user_id % 3 * 1000 AS DOUBLE) AS finish_time_ms, count(*) AS events,
+  count(*) AS ids, count(*) AS places, min(CAST(user_id % 3 AS VARCHAR)) AS team
+FROM events GROUP BY user_id % 50, user_id % 3""",
+)
+def intake(spark, sf):
+    u = F.col("user_id")
+    body = F.struct(
+        (u % 50).cast("string").alias("bibNumber"), (u % 3 * 1000).cast("double").alias("finishTime"),
+        (u % 3).cast("string").alias("team"),
+    )
+    path = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
+    v.table(spark, sf, "events").select(F.to_json(body).alias("value")).write.text(path)
+    rows = feeds.read_finisher_events(spark, path)
+    return rows.groupBy("bib_number", "finish_time_ms").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"),
+        F.countDistinct("seq").alias("places"), F.min("team").alias("team"),
+    )
