@@ -3,7 +3,7 @@ import random
 
 from paceline.llm import suffixes
 
-from .helpers import TEXTS, collected, documents, sentences
+from .helpers import TEXTS, collected, documents, same_as_sql, sentences
 
 
 def brute(rows, length=100):
@@ -28,6 +28,10 @@ def check(spark, rows, **options):
     assert sorted(got, key=order) == sorted(brute(rows, options.get("length", 100)), key=order)
 
 
+def test_sql(spark, sf_dir):
+    same_as_sql(spark, sf_dir, "op10_suffix_dedup")
+
+
 def test_edges(spark):
     rows = [r for r in TEXTS if r[1] is None or len(r[1]) < 1000]
     check(spark, [*rows, (30, "x" * 1000), (31, "x" * 101), (32, "é" * 80), (33, "aé" * 70), (34, "x" * 99), (35, "x" * 100)])
