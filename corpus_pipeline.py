@@ -25,10 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     With no labelled document there is nothing to learn from; letters alone decide then.
     """
-    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNDETERMINED)
-    if found.isEmpty():
+    network = langid.learn(docs)
+    if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return _keep(docs, found)
+    return _keep(docs, langid.predict(docs, network).where(F.col("lang_pred") != langid.UNDETERMINED))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,19 +185,23 @@ def identify(documents: DataFrame, parts: int = 5, part: int = 0, per_language:
     A null ``doc_id`` is predicted and counts as held out; repeated rows are each
     predicted; other columns are ignored.
     """
-    spark = documents.sparkSession
-    ship(spark)
+    return predict(documents, learn(documents, parts, part, per_language), parts, part)
+
+
+def learn(documents: DataFrame, parts: int = 5, part: int = 0, per_language: int = PER_LANGUAGE) -> dict | None:
+    """A network trained on a bounded sample; None where no document is labelled."""
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     )
     known = docs.where(~held_out(parts, part) & (F.length("text") <= LONGEST))
-    texts, y = sample(docs, classes(known, "lang", per_language).distinct(), "lang", LONGEST)
-    return predict(docs, train(texts, y), parts, part)
+    return train(*sample(docs, classes(known, "lang", per_language).distinct(), "lang", LONGEST))
 
 
 def predict(documents: DataFrame, net: dict | None, parts: int = 5, part: int = 0) -> DataFrame:
     """Apply a trained network (a few tens of kilobytes) to every whole text."""
+    ship(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(net)
-    scored = documents.select("doc_id", "text").mapInArrow(worker(_predict(model)), "doc_id long, lang_pred string, score double")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = docs.mapInArrow(worker(_predict(model)), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", held_out(parts, part).alias("held_out"), "lang_pred", "score")

@@ -14,9 +14,16 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def classes(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """Up to ``per_class`` ids of each value of ``label``, the same ids on every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Up to ``per_class`` ids of each value of ``label``, the same ids on every run.
+
+    A frequent label is thinned by its count first, to half as many again as are
+    wanted, so that no task gathers all rows of a label.
+    """
     few = rows.select("doc_id", label).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL")
+    counts = few.groupBy(label).agg(F.count(F.lit(1)).alias("_all"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    few = few.join(counts, label).where((F.col("_all") <= 2 * per_class) | (place * F.col("_all") < 1.5 * per_class))
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     few = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
     return few.select("doc_id", label)
 
