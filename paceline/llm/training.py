@@ -20,7 +20,8 @@ def classes(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     wanted, so that no task gathers all rows of a label.
     """
     few = rows.select("doc_id", label).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL")
-    counts = few.groupBy(label).agg(F.count(F.lit(1)).alias("_all"))
+    # Written, so that Catalyst knows it to be small and leaves the rows where they are.
+    counts = materialize(few.groupBy(label).agg(F.count(F.lit(1)).alias("_all")), "counts")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     few = few.join(counts, label).where((F.col("_all") <= 2 * per_class) | (place * F.col("_all") < 1.5 * per_class))
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
