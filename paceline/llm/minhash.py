@@ -14,13 +14,19 @@ partner, confirmed classes are contracted, and only pairs between different
 components are tried next.  The last round takes every pair that is left, so a
 group of copies costs about its size, and no candidate is dropped.
 
+Pieces of a cut region do not meet, so what is still in different components of such
+a region is compared whole afterwards: its classes are dealt to blocks and the blocks
+go pairwise to tasks, which check every pair that agrees enough on full sets.  A region
+that the rounds made one component costs nothing here; one that stays apart costs the
+square of its classes in signature comparisons, but only links leave a task.
+
 Nothing is broadcast by hand; a region in one order may run over several tasks
 (range partitions over the full key), a hot one too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ from .components import components
 from .shipping import ship, worker
 
 VALUES, TREES, DEPTH, REGION, OVERLAP = 64, 16, 3, 64, 8
+BLOCK, _UNIT = 512, 8192  # classes of a block, and the set bytes that count as one more
 _STEP = VALUES // TREES
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -199,28 +206,81 @@ def _confirm(percent: int):
     return run
 
 
+def _block_links(agree: int, percent: int):
+    """Links between the components of two blocks of a region (or inside one block).
+
+    A pair is looked at in the first order whose region it shares; ends that a link
+    found before has joined are not tried again.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        tree, ids = int(rows["tree"][0].as_py()), rows["doc_id"].to_numpy()
+        left, right = (np.flatnonzero(rows[c].to_numpy()) for c in ("is_i", "is_j"))
+        data, _ = vectext.flatten(rows["key"].combine_chunks())
+        x = data.reshape(-1, 4 * VALUES).copy().view(">u4").astype(np.uint32)
+        items, bounds = vectext.flatten(rows["items"].combine_chunks())
+        _, token = np.unique(items.copy().view(np.uint64), return_inverse=True)
+        bounds = bounds // 8
+        size = np.diff(bounds)
+        _, label = np.unique(rows["comp"].to_numpy(), return_inverse=True)
+        met = np.zeros(len(token) + 1, bool)
+        earlier = [np.arange(DEPTH) + (t - tree) * _STEP for t in range(tree)]
+        out = []
+        for k in left.tolist():
+            same = x[right] == x[k]
+            ok = (same.sum(1) >= agree) & (label[right] != label[k])
+            at, same = right[ok], same[ok]
+            for values in earlier:
+                fresh = ~same[:, values % VALUES].all(1)
+                at, same = at[fresh], same[fresh]
+            at = at[100 * np.minimum(size[at], size[k]) >= percent * np.maximum(size[at], size[k])]
+            if not len(at):
+                continue
+            own = token[bounds[k] : bounds[k + 1]]
+            met[own] = True
+            first = np.cumsum(size[at]) - size[at]
+            every = np.arange(size[at].sum()) + np.repeat(bounds[at] - first, size[at])
+            both = np.add.reduceat(met[token[every]], first, dtype=np.int64)
+            met[own] = False
+            for j in at[100 * both >= percent * (size[at] + size[k] - both)].tolist():
+                if label[j] != label[k]:
+                    out.append((ids[k], ids[j]))
+                    label[label == label[j]] = label[k]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
 def _orders(classes: DataFrame) -> DataFrame:
-    """(tree, doc_id, key) of the rows that share their first values with another row."""
+    """(tree, doc_id, region, n, key) of the rows that share their first values with another row."""
     prefix = lambda t: F.col("sig").substr(t * _STEP * 4 + 1, F.lit(DEPTH * 4))
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     keys = classes.select(
         "doc_id", F.posexplode(F.transform(trees, lambda t: F.xxhash64(t, prefix(t)))).alias("tree", "h")
     )
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    meeting = keys.join(shared, "h", "left_semi").select("doc_id", "tree")
+    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    meeting = keys.join(shared, "h").select("doc_id", "tree", F.col("h").alias("region"), "n")
     at = F.col("tree") * _STEP * 4
     key = F.concat(F.col("sig").substr(at + 1, F.lit(4 * VALUES)), F.col("sig").substr(F.lit(1), at))
-    return meeting.join(classes.select("doc_id", "sig"), "doc_id").select("tree", "doc_id", key.alias("key"))
+    return meeting.join(classes.select("doc_id", "sig"), "doc_id").select("tree", "doc_id", "region", "n", key.alias("key"))
+
+
+def _with_components(orders: DataFrame, comps: DataFrame) -> DataFrame:
+    rows = orders.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return rows.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
 def _candidates(orders: DataFrame, comps: DataFrame | None, agree: int) -> DataFrame:
     rows = orders.withColumn("comp", F.col("doc_id"))
     if comps is not None:
-        rows = orders.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        rows = rows.withColumn("comp", F.coalesce("component", "doc_id"))
-    rows = rows.select("tree", "doc_id", "comp", "key")
+        rows = _with_components(orders, comps)
+    # A region that is not cut stays in one task.
+    at = F.when(F.col("n") <= REGION, F.col("key").substr(1, 4 * DEPTH)).otherwise(F.col("key"))
+    rows = rows.select("tree", "doc_id", "comp", "key", at.alias("at"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "doc_id")
+    rows = rows.repartitionByRange(n, "tree", "at").sortWithinPartitions("tree", "key", "doc_id").drop("at")
     pairs = rows.mapInArrow(worker(_pairs(agree, comps is None)), "a long, b long, agree long")
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -257,10 +317,14 @@ def near_duplicates(
     classes = materialize(classes, "classes")
     orders = materialize(_orders(classes), "orders")
     found = materialize(_candidates(orders, None, agree), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(texts.join(ends, "doc_id", "left_semi").mapInArrow(worker(_hold(shingle)), "doc_id long, items binary"), "sets")
-    held = held.dropDuplicates(["doc_id"]) if _repeats(signed) else held
-    comps = _link(found, held, orders, agree, percent)
+    repeats = _repeats(signed)
+
+    def sets(ids: DataFrame) -> DataFrame:
+        held = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(worker(_hold(shingle)), "doc_id long, items binary"), "sets")
+        return held.dropDuplicates(["doc_id"]) if repeats else held
+
+    linked = _link(found, sets(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), orders, agree, percent)
+    comps = _link_regions(linked, sets, orders, agree, percent)
     of_class = classes.select(*key, F.col("doc_id").alias("id")).join(comps, "id", "left")
     of_class = of_class.select(*key, F.coalesce("component", "id").alias("component_id"))
     out = signed.where("n_shingles > 0").join(of_class, key, "left").select("doc_id", "n_shingles", "component_id")
@@ -297,3 +361,36 @@ def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, perc
         if best is not None:
             left = materialize(_between(left.join(tried, ["a", "b"], "left_anti"), comps), "left")
     return comps
+
+
+def _link_regions(comps: DataFrame, sets: Callable, orders: DataFrame, agree: int, percent: int) -> DataFrame:
+    """``comps`` joined further by all links inside the regions that were cut."""
+    rows = _with_components(orders.where(F.col("n") > REGION), comps)
+    mixed = rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rows = rows.join(mixed.where("lo < hi").select("region"), "region", "left_semi")
+    rows = materialize(rows.select("region", "tree", "doc_id", "comp", "key"), "mixed")
+    if not rows.limit(1).count():
+        return comps
+    held = sets(rows.select("doc_id").distinct())
+    rows = rows.join(held, "doc_id").withColumn("weight", 1 + F.floor(F.octet_length("items") / _UNIT))
+    # A large component has blocks of its own, which need not meet; the others share blocks.
+    parts = rows.groupBy("region", "comp").agg(F.sum("weight").alias("weight"))
+    parts = materialize(parts.withColumn("own", F.col("weight") > BLOCK // 2), "parts")
+    pools = parts.where("NOT own").groupBy("region").agg(F.ceil(F.sum("weight") / BLOCK).alias("pool"))
+    parts = parts.join(pools, "region", "left").select("region", "comp", "own", F.ceil(F.col("weight") / BLOCK).alias("slots"), "pool")
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.col("pool")))
+    alone = F.concat(F.lit("c"), F.col("comp"), F.lit(":"), F.pmod(F.xxhash64("doc_id"), F.col("slots")))
+    rows = rows.drop("weight").join(parts, ["region", "comp"]).withColumn("block", F.when(F.col("own"), alone).otherwise(shared))
+    rows = materialize(rows.drop("slots", "pool"), "dealt")
+    blocks = rows.select("region", "block", F.when(F.col("own"), F.col("comp")).alias("of")).distinct()
+    other = blocks.select("region", F.col("block").alias("j"), F.col("of").alias("of_j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(other, "region").where("i <= j AND coalesce(of <> of_j, true)")
+    ends = F.array_distinct(F.array("i", "j"))
+    pairs = pairs.select("region", "i", "j", F.explode(ends).alias("block"))
+    dealt = rows.join(pairs, ["region", "block"]).select(
+        "region", "i", "j", "tree", "doc_id", "comp", "key", "items",
+        (F.col("block") == F.col("i")).alias("is_i"), (F.col("block") == F.col("j")).alias("is_j"),
+    )
+    links = materialize(dealt.groupBy("region", "i", "j").applyInArrow(_block_links(agree, percent), "a long, b long"), "links")
+    stars = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.union(links)), "comps")

@@ -74,6 +74,21 @@ def test_large_group_of_near_copies(spark):
     check(spark, rows)
 
 
+def test_star_larger_than_a_region(spark):
+    """Copies that are close to the original, but not to each other."""
+    rng, base = random.Random(5), sentences(1, 200).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3001):
+        w = list(base)
+        for k in range(4):  # four edits a copy, 16 of 197 shingles
+            w[20 + 45 * k + rng.randrange(30)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    a, b = brute(rows[:2], 4, 80), brute(rows[1:3], 4, 80)
+    assert a[1][1] == 0 and b[2][1] == 2  # a copy links to the original, two copies do not
+    out = collected(minhash.near_duplicates(documents(spark, rows), shingle=4))
+    assert [r["doc_id"] for r in out if r["component_id"] != 0] == []
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (7, 7), (300, 100)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
