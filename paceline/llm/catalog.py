@@ -47,7 +47,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return decontam.contamination(docs, items).drop("items", "spans")
+    return decontam.contamination(docs, items, each_row=True).drop("items", "spans")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ length bound); the surviving places are verified word by word.
 
 Windows are worked on in blocks of a fixed number, so what a task keeps of the
 benchmark has a size bound however large the benchmark is; each block is a pass over
-the documents, and the blocks' hits are united per document.
+the documents, and the blocks' hits are united per row, by a number given to the rows once.
 """
 
 from __future__ import annotations
@@ -131,8 +131,9 @@ def _match(source):
                         batch.column(0).slice(first, last - first), pa.array(np.diff(per_doc), pa.int64()),
                         pa.array([np.array(sorted(set(x)), "<i8").tobytes() for x in spans], pa.binary()),
                         pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                        *(c.slice(first, last - first) for c in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]],
                 )
 
     return run
@@ -193,7 +194,9 @@ def _prefixes(windows: list, counts: dict) -> list:
     return out
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, each_row: bool = False
+) -> DataFrame:
     """Words of each document inside benchmark windows, and which items they are of.
 
     ``doc_id, n_words, n_hit, n_items, items_sha256, items, spans, contaminated`` per
@@ -201,8 +204,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     are runs of ASCII letters, digits and all characters beyond ASCII, A-Z lower-cased.
     Null and wordless texts have no words and no hits; null, empty and wordless items
     have no windows; items with a null id are left out.  Repeated items count once,
-    rows that share a ``doc_id`` are each judged (with several blocks of windows, as
-    the union of their hits).  Other columns are ignored.  Runs Spark jobs when called.
+    rows that share a ``doc_id`` are each judged.  With several blocks of windows, rows
+    equal in ``doc_id`` and text come back once, unless ``each_row`` asks for one row per
+    input row; that writes the texts once, numbered.  Other columns are ignored.  Runs
+    Spark jobs when called.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -212,7 +217,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     made = materialize(items.mapInArrow(worker(_windows(window)), WINDOWS).distinct(), "windows")
     n_windows = made.count()
     passes = max(1, -(-n_windows // BLOCK_WINDOWS))
-    found = None
+    found, row, schema = None, [], "doc_id long, n_words long, spans binary, items array<long>"
+    if passes > 1:
+        row, schema = ["row"], schema + ", row long"
+        number = F.monotonically_increasing_id() if each_row else F.xxhash64("doc_id", "text")
+        docs = docs.withColumn("row", number)
+        docs = materialize(docs, "rows") if each_row else docs
     for k in range(passes):
         mine = made if passes == 1 else made.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == k)
         rows = [tuple(r) for r in mine.collect()]  # at most about BLOCK_WINDOWS rows
@@ -224,11 +234,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         counts = per_task.groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect() if rows else []
         order = {(r["k"], r["shingle"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in counts}
         source = spark.sparkContext.broadcast(_prefixes(rows, order))
-        one = docs.mapInArrow(worker(_match(source)), "doc_id long, n_words long, spans binary, items array<long>")
+        one = docs.mapInArrow(worker(_match(source)), schema)
         found = one if found is None else found.union(one)
     if passes == 1:
         found = found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
-        found = found.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        found = found.groupBy("doc_id", "n_words", *row).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        found = found.drop("row")
     out = found.mapInArrow(worker(_finish), FOUND)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))

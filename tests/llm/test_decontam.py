@@ -57,6 +57,22 @@ def test_blocks_of_windows(spark, monkeypatch):
     assert got == unique
 
 
+def test_blocks_keep_rows_of_one_id_apart(spark, monkeypatch):
+    """Several blocks return what one block does, for repeated and null ids too."""
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 8)
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = sentences(9, 30)
+    rows = [(i, t) for i in (1, None) for t in (PASSAGE, clean, clean)]
+    want = sorted((str(i), *brute(t, ITEMS)) for i, t in rows)
+
+    def got(each_row):
+        out = collected(decontam.contamination(documents(spark, rows), benchmark, each_row=each_row))
+        return sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out)
+
+    assert got(True) == want
+    assert got(False) == sorted(set(want))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(documents(spark, []), none).count() == 0
