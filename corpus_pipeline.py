@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm import bpe, decontam, langid, minhash, suffixes
-from paceline.plans.tables import shared_folder
+from paceline.plans.tables import materialize, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # SQL has neither the trained network nor the tokenizer.
@@ -28,12 +28,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = langid.learn(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return _keep(docs, langid.predict(docs, network).where(F.col("lang_pred") != langid.UNDETERMINED))
+    scored = langid.predict(docs, network, carry=COLUMNS[1:])
+    return scored.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest ``doc_id``, of each group of near-duplicates."""
-    return _keep(docs, minhash.near_duplicates(docs).where("kept"))
+    """Keep one document, the smallest ``doc_id``, of each group of near-duplicates.
+
+    Rows that share this id are one document of the group: the smallest text stays.  Null
+    ids and texts without a word are in no group.
+    """
+    kept = minhash.near_duplicates(docs).where("kept")
+    grouped = kept.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count()
+    repeated = materialize(grouped.where("count > 1").select(F.col("doc_id").alias("_kept")), "repeated")
+    left = _keep(docs, kept)
+    if not repeated.limit(1).count():
+        return left
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    of_repeated = F.col("doc_id") == F.col("_kept")
+    many = left.where(worded).join(repeated, of_repeated, "left_semi")
+    one = many.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    rest = left.where(worded).join(repeated, of_repeated, "left_anti").union(left.where(~worded))
+    return rest.union(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +62,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark windows in at least one word of twenty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _keep(docs, decontam.contamination(docs, benchmark).where("NOT contaminated"))
+    judged = decontam.contamination(docs, benchmark, carry=COLUMNS[1:])
+    return judged.where("NOT contaminated").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,12 +16,13 @@ the documents, and the blocks' hits are united per row, by a number given to the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.tables import materialize
 from . import vectext
@@ -94,7 +95,7 @@ def _count(source):
     return run
 
 
-def _match(source):
+def _match(source, carry: tuple):
     """Word counts, hit spans and items of each document, for one block of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +132,9 @@ def _match(source):
                         batch.column(0).slice(first, last - first), pa.array(np.diff(per_doc), pa.int64()),
                         pa.array([np.array(sorted(set(x)), "<i8").tobytes() for x in spans], pa.binary()),
                         pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                        *(c.slice(first, last - first) for c in batch.columns[2:]),
+                        *(batch.column(c).slice(first, last - first) for c in carry),
                     ],
-                    names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]],
+                    names=["doc_id", "n_words", "spans", "items", *carry],
                 )
 
     return run
@@ -163,8 +164,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0), words, pa.array(hit, pa.int64()), pa.array(count, pa.int64()),
                 pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64())),
                 pa.array(runs, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))),
+                *batch.columns[4:],
             ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans"],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans", *batch.schema.names[4:]],
         )
 
 
@@ -195,7 +197,7 @@ def _prefixes(windows: list, counts: dict) -> list:
 
 
 def contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, each_row: bool = False
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, each_row: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Words of each document inside benchmark windows, and which items they are of.
 
@@ -206,23 +208,30 @@ def contamination(
     have no windows; items with a null id are left out.  Repeated items count once,
     rows that share a ``doc_id`` are each judged.  With several blocks of windows, rows
     equal in ``doc_id`` and text come back once, unless ``each_row`` asks for one row per
-    input row; that writes the texts once, numbered.  Other columns are ignored.  Runs
+    input row; that writes the texts once, numbered.  Columns named in ``carry``, the
+    text too, stay with their rows (each row then comes back); others are ignored.  Runs
     Spark jobs when called.
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")
+    )
+    schema = _parse_datatype_string("doc_id long, n_words long, spans binary, items array<long>")
+    kept, each_row = tuple(carry), each_row or bool(carry)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id IS NOT NULL")
     made = materialize(items.mapInArrow(worker(_windows(window)), WINDOWS).distinct(), "windows")
     n_windows = made.count()
     passes = max(1, -(-n_windows // BLOCK_WINDOWS))
-    found, row, schema = None, [], "doc_id long, n_words long, spans binary, items array<long>"
+    found = None
     if passes > 1:
-        row, schema = ["row"], schema + ", row long"
+        kept = ("row",)
         number = F.monotonically_increasing_id() if each_row else F.xxhash64("doc_id", "text")
         docs = docs.withColumn("row", number)
         docs = materialize(docs, "rows") if each_row else docs
+    for name in kept:
+        schema = schema.add(docs.schema[name])
     for k in range(passes):
         mine = made if passes == 1 else made.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == k)
         rows = [tuple(r) for r in mine.collect()]  # at most about BLOCK_WINDOWS rows
@@ -234,12 +243,17 @@ def contamination(
         counts = per_task.groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect() if rows else []
         order = {(r["k"], r["shingle"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in counts}
         source = spark.sparkContext.broadcast(_prefixes(rows, order))
-        one = docs.mapInArrow(worker(_match(source)), schema)
+        one = docs.mapInArrow(worker(_match(source, kept)), schema)
         found = one if found is None else found.union(one)
     if passes == 1:
-        found = found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+        found = found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"), *carry)
     else:
-        found = found.groupBy("doc_id", "n_words", *row).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-        found = found.drop("row")
-    out = found.mapInArrow(worker(_finish), FOUND)
+        found = found.groupBy("doc_id", "n_words", "row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        if carry:
+            found = found.join(docs.select("row", *carry), "row")
+        found = found.select("doc_id", "n_words", "spans", "items", *carry)
+    schema = _parse_datatype_string(FOUND)
+    for name in carry:
+        schema = schema.add(docs.schema[name])
+    out = found.mapInArrow(worker(_finish), schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))

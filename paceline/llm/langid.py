@@ -12,12 +12,13 @@ filters' responses to an embedded pair, so no text is embedded at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from . import vectext
 from .shipping import ship, worker
@@ -147,7 +148,7 @@ def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(model):
+def _predict(model, carry: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         tables = _tables(net) if net else None
@@ -168,8 +169,11 @@ def _predict(model):
                     name[of] = np.array(net["names"], object)[p.argmax(1)]
                     score[of] = p.max(1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(name, pa.string()), pa.array(score)],
-                    names=["doc_id", "lang_pred", "score"],
+                    [
+                        batch.column(0).slice(first, n), pa.array(name, pa.string()), pa.array(score),
+                        *(batch.column(c).slice(first, n) for c in carry),
+                    ],
+                    names=["doc_id", "lang_pred", "score", *carry],
                 )
 
     return run
@@ -198,10 +202,20 @@ def learn(documents: DataFrame, parts: int = 5, part: int = 0, per_language: int
     return train(*sample(docs, classes(known, "lang", per_language).distinct(), "lang", LONGEST))
 
 
-def predict(documents: DataFrame, net: dict | None, parts: int = 5, part: int = 0) -> DataFrame:
-    """Apply a trained network (a few tens of kilobytes) to every whole text."""
+def predict(
+    documents: DataFrame, net: dict | None, parts: int = 5, part: int = 0, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Apply a trained network (a few tens of kilobytes) to every whole text.
+
+    Columns named in ``carry``, the text too, stay with their rows.
+    """
     ship(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(net)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(worker(_predict(model)), "doc_id long, lang_pred string, score double")
-    return scored.select("doc_id", held_out(parts, part).alias("held_out"), "lang_pred", "score")
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")
+    )
+    schema = _parse_datatype_string("doc_id long, lang_pred string, score double")
+    for name in carry:
+        schema = schema.add(docs.schema[name])
+    scored = docs.mapInArrow(worker(_predict(model, tuple(carry))), schema)
+    return scored.select("doc_id", held_out(parts, part).alias("held_out"), "lang_pred", "score", *carry)

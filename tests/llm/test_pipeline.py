@@ -6,7 +6,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from .helpers import EXTRA, documents
+from paceline.llm import decontam
+
+from .helpers import EXTRA, documents, sentences
 from .test_decontam import brute as windows
 from .test_minhash import brute as groups
 
@@ -62,6 +64,23 @@ def test_stages_take_empty_tables(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_rows_of_one_id_are_judged_alone(spark, sf_dir, monkeypatch):
+    """Repeated and null ids: a row goes or stays for its own text, one row stays of a group."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    clean, none = sentences(7, 40), "..."
+    left = lambda stage, rows: sorted(map(str, ((r["doc_id"], r["text"]) for r in stage(spark, documents(spark, rows), sf_dir).collect())))
+    rows = [(i, t) for i in (1, None) for t in (clean, none)]
+    good = sorted(map(str, [(1, clean), (None, clean)]))
+    assert left(corpus_pipeline.language_id, rows) == good
+    rows = [(i, t) for i in (1, None) for t in (clean, item)]
+    assert left(corpus_pipeline.decontamination, rows) == good
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 40)
+    assert left(corpus_pipeline.decontamination, rows) == good
+    rows = [(1, clean), (1, clean), (2, clean), (3, item), (None, clean), (None, clean), (1, " ")]
+    want = [(1, clean), (3, item), (None, clean), (None, clean), (1, " ")]
+    assert left(corpus_pipeline.near_duplicates, rows) == sorted(map(str, want))
+
+
 def test_texts_without_labels_stay(spark, sf_dir):
     docs = spark.createDataFrame([(1, "a clean text", None, None, None), (2, "..", None, None, None)], documents(spark, [], extra=False).schema)
     out = corpus_pipeline.language_id(spark, docs, sf_dir).collect()
