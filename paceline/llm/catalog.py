@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import shared_folder
-from . import bpe, decontam, langid, minhash, quality, suffixes, tokenfile, toxicity, vectors, warc
+from . import audit, bpe, decontam, langid, minhash, packing, quality, suffixes, tokenfile, toxicity, trie, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -178,6 +192,87 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS m, good, toxic
+  FROM d LEFT JOIN l USING (doc_id)
+),
+g AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL
+),
+x AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS p FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+s AS (
+  SELECT array_to_string(list_transform(p, lambda k: substr('ABCDE', k + 1, 1)), '') AS filter_order, step::INT AS step,
+    1 << p[step] AS bit, coalesce(list_sum(list_transform(p[1 : step - 1], lambda k: 1 << k)), 0)::INT AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE m & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE m & before = 0 AND m & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE m & before <> 0 AND m & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE m = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE m & before = 0 AND m & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE m & before = 0 AND m & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+"""
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos, id, words FROM (
+    SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)
+),
+convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 4 AS h
+  FROM turns, crc
+),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, pos, id, words FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, id, words FROM turns JOIN convs USING (conv_id) WHERE pos > h
+),
+numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, id, words FROM rebuilt),
+keys AS (SELECT conv_id, string_agg(id, '' ORDER BY d) AS k FROM numbered GROUP BY 1),
+whole AS (SELECT conv_id, coalesce(k, '') AS k, length(coalesce(k, '')) // 64 AS n FROM convs LEFT JOIN keys USING (conv_id)),
+members AS (
+  SELECT conv_id, d, substr(k, 1, 64 * d) AS p, d = n AS ends FROM (SELECT *, unnest(range(n + 1)) AS d FROM whole)
+),
+nodes AS (
+  SELECT d, p, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(min(words), 0) AS saved,
+    coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (WHERE ends), '') AS ids
+  FROM members m LEFT JOIN numbered USING (conv_id, d) GROUP BY d, p
+),
+kids AS (SELECT substr(p, 1, 64 * (d - 1)) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+up AS (
+  SELECT substr(p, 1, 64 * a) AS p, sum(saved) AS saved, count(*) FILTER (WHERE n IS NULL) AS leaves
+  FROM (SELECT nodes.p, saved, kids.n, unnest(range(d + 1)) AS a FROM nodes LEFT JOIN kids ON kids.p = nodes.p) GROUP BY 1
+)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  up.leaves AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM nodes x JOIN up ON up.p = x.p LEFT JOIN kids ON kids.p = x.p
+LEFT JOIN nodes y ON x.d > 0 AND y.d = x.d - 1 AND y.p = substr(x.p, 1, 64 * y.d)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_token_output": op2_token_output,
@@ -189,6 +284,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_vector_near_dedup": op9_vector_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 SQL: dict[str, str] = {
     "op1_minhash_forest": OP1_SQL,
@@ -196,4 +294,6 @@ SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_vector_near_dedup": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }

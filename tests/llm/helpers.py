@@ -38,10 +38,10 @@ def same_as_sql(spark, sf_dir, name):
     from paceline.llm import catalog
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "embeddings"):
+    for table in ("documents", "benchmark", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     result = con.execute(catalog.SQL[name])
     names = [d[0] for d in result.description]
-    want = sorted(tuple(r) for r in result.fetchall())
-    got = sorted(tuple(r[c] for c in names) for r in catalog.QUERIES[name](spark, sf_dir).collect())
+    want = sorted((tuple(r) for r in result.fetchall()), key=repr)
+    got = sorted((tuple(r[c] for c in names) for r in catalog.QUERIES[name](spark, sf_dir).collect()), key=repr)
     assert got == want
