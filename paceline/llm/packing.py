@@ -40,7 +40,8 @@ _PLACED = "uid long, length int, bin long, offset long, open boolean"
 # How byte-level vocabularies of this kind split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Texts with other characters, special tokens or very long runs go through the library.
-_ODD = re.compile(r"<\||[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]|\S{400}|\s{400}")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]")
+_LONG = 100_000  # characters from which on a text's runs are looked at
 _loaded: dict[str, ByteEncoder] = {}
 
 
@@ -79,8 +80,13 @@ class ByteEncoder:
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
         return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def _odd(self, text: str) -> bool:
+        if self.ranks is None or "<|" in text or _ODD.search(text):
+            return True
+        return len(text) > _LONG and re.search(r"\S{400}|\s{400}", text) is not None
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        odd = [self.ranks is None or _ODD.search(t) is not None for t in texts]
+        odd = [self._odd(t) for t in texts]
         out = [[] if o else self.ranks.encode_ordinary(t) for t, o in zip(texts, odd, strict=True)]
         rest = [i for i, o in enumerate(odd) if o]
         for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):

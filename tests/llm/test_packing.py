@@ -56,7 +56,7 @@ def test_encoder_matches_the_library(library):
     letters = [*map(chr, range(32, 127)), *"\t\n\r  éèçüß×÷ñſĀ"]
     texts = ["".join(rng.choice(letters) for _ in range(80)) for _ in range(3000)] + [t or "" for _, t in TEXTS]
     texts += [f"a{c}b {c} {c}{c}  {c}1'{c}s" for c in map(chr, range(1, 0x250))]
-    texts += ["a" * 5000, " " * 5000 + "x", "<|endoftext|>", "'S'll I'LL", "日本 ½² x", "x­x"]
+    texts += ["a" * 5000, " " * 5000 + "x", "ab " * 40_000, "ab" * 60_000, " \n" * 60_000 + "x", "<|endoftext|>", "'S'll I'LL", "日本 ½² x", "x­x"]
     assert encoder.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
