@@ -197,7 +197,7 @@ def _prefixes(windows: list, counts: dict) -> list:
 
 
 def contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, each_row: bool = False, carry: Sequence[str] = ()
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Words of each document inside benchmark windows, and which items they are of.
 
@@ -206,11 +206,9 @@ def contamination(
     are runs of ASCII letters, digits and all characters beyond ASCII, A-Z lower-cased.
     Null and wordless texts have no words and no hits; null, empty and wordless items
     have no windows; items with a null id are left out.  Repeated items count once,
-    rows that share a ``doc_id`` are each judged.  With several blocks of windows, rows
-    equal in ``doc_id`` and text come back once, unless ``each_row`` asks for one row per
-    input row; that writes the texts once, numbered.  Columns named in ``carry``, the
-    text too, stay with their rows (each row then comes back); others are ignored.  Runs
-    Spark jobs when called.
+    rows that share a ``doc_id`` are each judged, one row per input row.  Columns named in
+    ``carry``, the text too, stay with their rows; others are ignored.  Several blocks of
+    windows write the texts once, numbered.  Runs Spark jobs when called.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -218,7 +216,7 @@ def contamination(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")
     )
     schema = _parse_datatype_string("doc_id long, n_words long, spans binary, items array<long>")
-    kept, each_row = tuple(carry), each_row or bool(carry)
+    kept = tuple(carry)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id IS NOT NULL")
     made = materialize(items.mapInArrow(worker(_windows(window)), WINDOWS).distinct(), "windows")
@@ -227,9 +225,7 @@ def contamination(
     found = None
     if passes > 1:
         kept = ("row",)
-        number = F.monotonically_increasing_id() if each_row else F.xxhash64("doc_id", "text")
-        docs = docs.withColumn("row", number)
-        docs = materialize(docs, "rows") if each_row else docs
+        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     for name in kept:
         schema = schema.add(docs.schema[name])
     for k in range(passes):

@@ -79,18 +79,17 @@ def _sign(shingle: int):
             for first, sets in _sets(batch.column(1), shingle):
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
-                a, b, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [b""] * len(n)
+                a, b, sig = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [b""] * len(n)
                 if len(full):
                     kept = [sets[i] for i in full]
                     rows = np.ascontiguousarray(_signatures(kept).T).astype(">u4")
                     for i, s, row in zip(full.tolist(), kept, rows, strict=True):
-                        a[i] = s.sum()
-                        b[i] = vectext.mix(s ^ np.uint64(0x5BD1E995)).sum()
+                        a[i], b[i] = _fold(s)
                         sig[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(n)), pa.array(n, pa.int64()),
-                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                        pa.array(a), pa.array(b),
                         pa.array(sig, pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
@@ -99,14 +98,23 @@ def _sign(shingle: int):
     return run
 
 
+def _fold(items: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set; with its size they name it."""
+    return int(items.sum().view(np.int64)), int(vectext.mix(items ^ np.uint64(0x5BD1E995)).sum().view(np.int64))
+
+
 def _hold(shingle: int):
+    """Sets of the texts that are of the class they were looked up for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True))
             for first, sets in _sets(batch.column(1), shingle):
+                mine = [i for i, s in enumerate(sets) if len(s) and (len(s), *_fold(s)) == keys[first + i]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(sets)),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        batch.column(0).take(pa.array([first + i for i in mine], pa.int64())),
+                        pa.array([sets[i].tobytes() for i in mine], pa.binary()),
                     ],
                     names=["doc_id", "items"],
                 )
@@ -294,18 +302,18 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, shingle: int = 5, percent: int = 80, agree: int = 40
+    documents: DataFrame, shingle: int = 5, percent: int = 80, agree: int = 36
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Documents are linked when their sets of distinct ``shingle``-word runs have a
     Jaccard similarity of at least ``percent`` / 100; candidates need ``agree`` of
-    64 equal minimum hashes (at similarity 0.8, 51 are expected, 40 is 3.5 standard
-    deviations below).  Words are separated by ASCII white space and A-Z is
+    64 equal minimum hashes (at similarity 0.8, 51 are expected; fewer than 36 have a
+    chance of 4e-6, less than the sixteen orders lose).  Words are separated by ASCII white space and A-Z is
     lower-cased.  A text with fewer words is one shingle; null, empty and blank
     texts have no shingle and stay alone.  Rows with a null ``doc_id`` stay alone
-    with a null component.  A repeated ``doc_id`` is one vertex, each row returned.
-    Other columns are ignored.  Runs Spark jobs when called.
+    with a null component.  A repeated ``doc_id`` is one vertex with the links of all
+    its texts, each row returned.  Other columns are ignored.  Runs Spark jobs when called.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -313,27 +321,45 @@ def near_duplicates(
     signed = materialize(texts.mapInArrow(worker(_sign(shingle)), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "set_a", "set_b"]
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
+    # From here on ``doc_id`` is the number of a class, whose smallest id is ``first``.
+    classes = materialize(classes.withColumn("doc_id", F.monotonically_increasing_id()), "classes")
     orders = materialize(_orders(classes), "orders")
     found = materialize(_candidates(orders, None, agree), "candidates")
     repeats = _repeats(signed)
 
     def sets(ids: DataFrame) -> DataFrame:
-        held = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(worker(_hold(shingle)), "doc_id long, items binary"), "sets")
+        wanted = classes.join(ids, "doc_id").select("doc_id", F.col("first").alias("_first"), *key)
+        rows = texts.withColumnRenamed("doc_id", "_first").join(wanted, "_first").select("doc_id", "text", *key)
+        held = materialize(rows.mapInArrow(worker(_hold(shingle)), "doc_id long, items binary"), "sets")
         return held.dropDuplicates(["doc_id"]) if repeats else held
 
     linked = _link(found, sets(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), orders, agree, percent)
     comps = _link_regions(linked, sets, orders, agree, percent)
-    of_class = classes.select(*key, F.col("doc_id").alias("id")).join(comps, "id", "left")
-    of_class = of_class.select(*key, F.coalesce("component", "id").alias("component_id"))
-    out = signed.where("n_shingles > 0").join(of_class, key, "left").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeats:
+        comps = _link_ids(comps, full, classes, key)
+    of_class = classes.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    of_class = of_class.select(*key, "first", F.coalesce("component", "doc_id").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = of_class.join(least, "component").select(*key, "component_id")
+    worded = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    out = worded.join(of_class, key).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _repeats(signed: DataFrame) -> bool:
-    return bool(signed.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return bool(signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def _link_ids(comps: DataFrame, full: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """``comps`` joined further: the classes of the texts that share an id are one."""
+    named = full.select(F.col("doc_id").alias("of"), *key).distinct().join(classes.select("doc_id", *key), key)
+    named = materialize(named.select("of", "doc_id"), "named")
+    first = named.groupBy("of").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
+    links = named.join(first.select("of", "b"), "of").select(F.col("doc_id").alias("a"), "b").where("a <> b")
+    stars = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.union(links)), "comps")
 
 
 def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, percent: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Document quality from supervised subword embeddings.
 
-Features of a text are its words, word pairs, byte n-grams of three and four, and the
+Features of a text are its words, word pairs, n-grams of three and four bytes, and the
 event that a word repeats one of the eight before it, all hashed into one table of
 learned vectors.  A document is the mean of its features' vectors; a softmax over two
 classes is trained with the vectors by stochastic gradient descent in numpy, on a
@@ -32,8 +32,11 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray
     """(buckets, document bounds among them) for each kind of feature."""
     h, per_doc = vectext.word_hashes(data, bounds, vectext.NOT_SPACE, fold=False)
     yield (h >> _SHIFT).astype(np.int64), per_doc
-    pairs = vectext.gram_hashes(np.append(h, h[:1]), 2) if len(h) else h
-    yield (pairs >> _SHIFT).astype(np.int64), per_doc
+    # Pairs and byte n-grams end with their document.
+    inner = np.ones(len(h), bool)
+    inner[per_doc[1:][np.diff(per_doc) > 0] - 1] = False
+    at = np.flatnonzero(inner)
+    yield (vectext.gram_hashes(h, 2)[at] >> _SHIFT).astype(np.int64), np.searchsorted(at, per_doc)
     # Only a repeat is a feature; its bucket says how far back.
     first = np.repeat(per_doc[:-1], np.diff(per_doc))
     lag = np.zeros(len(h), np.int64)
@@ -44,9 +47,11 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray
     yield lag[at], np.searchsorted(at, per_doc)
     wide = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.uint64)
     three = wide[:-3] | wide[1:-2] << np.uint64(8) | wide[2:-1] << np.uint64(16)
-    three, four = three[: len(data)], (three | wide[3:] << np.uint64(24))[: len(data)]
-    yield ((three + np.uint64(1)) * _ODD >> _SHIFT).astype(np.int64), bounds
-    yield ((four + np.uint64(1 << 40)) * _ODD >> _SHIFT).astype(np.int64), bounds
+    four = three | wide[3:] << np.uint64(24)
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
+    for n, grams, salt in ((3, three, 1), (4, four, 1 << 40)):
+        at = np.flatnonzero(left >= n)
+        yield ((grams[at] + np.uint64(salt)) * _ODD >> _SHIFT).astype(np.int64), np.searchsorted(at, bounds)
 
 
 def _rows(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,8 +100,9 @@ def _score(model):
             for first, last, data, bounds in vectext.text_blocks(batch.column(1)):
                 total, n = np.zeros(last - first), np.zeros(last - first)
                 for index, per_doc in _features(data, bounds):
-                    sums = np.concatenate(([0.0], np.cumsum(table[index], dtype=np.float64)))
-                    total += sums[per_doc[1:]] - sums[per_doc[:-1]]
+                    some = np.flatnonzero(np.diff(per_doc))
+                    if len(some):  # each text's own sum, whatever its neighbours
+                        total[some] += np.add.reduceat(table[index].astype(np.float64), per_doc[some])
                     n += np.diff(per_doc)
                 z = np.clip(total / np.maximum(n, 1) + bias, -30, 30)
                 yield pa.RecordBatch.from_arrays(

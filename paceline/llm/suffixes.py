@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +41,7 @@ from .units import spread
 
 # A perfect difference set.
 COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BLOCKS = 4
 NAMES_PER_BUCKET = 2_000_000
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, body binary, carried binary"
@@ -105,11 +104,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 def _samples(data: np.ndarray, bounds: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions that some window holds, and the short names at them (bucket, 32 bits)."""
     size = np.diff(bounds)
-    inside = np.arange(len(data)) - np.repeat(bounds[:-1], size)
-    left = np.repeat(size, size) - inside
     reach = length - PERIOD + 1
-    at = np.flatnonzero(_SAMPLED[inside % PERIOD] & (left >= reach) & (np.repeat(size, size) >= length))
-    h = vectext.mix(vectext.span_hash(vectext.prefix_hash(vectext.BYTE[data]), at, at + reach))
+    wide = np.flatnonzero(size >= length)
+    room = size[wide] - reach + 1  # places of a document where a sample fits
+    at = spread(np.zeros(len(wide), np.int64), room)
+    keep = _SAMPLED[at % PERIOD]
+    at = at[keep] + np.repeat(bounds[wide], room)[keep]
+    h = vectext.window_hash(data, at, reach)
     return at, (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
@@ -133,38 +134,45 @@ def _rank_samples(length: int, buckets: int):
     return run
 
 
-def _recurring(rows: pd.DataFrame) -> pd.DataFrame:
+def _recurring(rows: pa.Table) -> pa.Table:
     """For each chunk's names in a bucket, a bit: another chunk has it too."""
-    names = [np.frombuffer(b, np.uint32) for b in rows["names"]]
-    owner = np.repeat(np.arange(len(names)), [len(n) for n in names])
-    packed = np.concatenate(names).astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)
+    names, sizes = _names(rows, np.uint32)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    packed = names.astype(np.uint64) << np.uint64(32)
+    packed |= owner
     packed.sort()
-    value, owner = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    value = packed >> np.uint64(32)
     again = np.zeros(len(value), bool)
     same = value[1:] == value[:-1]
     again[1:] |= same
     again[:-1] |= same
+    del value
+    packed &= np.uint64(0xFFFFFFFF)
     # Names of a chunk are sorted, and stay so among themselves.
-    back = np.argsort(owner, kind="stable")
-    return _answers(rows, again[back], [len(n) for n in names])
+    back = np.argsort(packed, kind="stable")
+    return _answers(rows, again[back], sizes)
 
 
-def _answers(rows: pd.DataFrame, flags: np.ndarray, sizes: list[int]) -> pd.DataFrame:
+def _names(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All names of a bucket, chunk after chunk, and each chunk's number of them."""
+    data, bounds = vectext.flatten(rows.column("names").combine_chunks())
+    return np.frombuffer(data.tobytes(), kind), np.diff(bounds) // np.dtype(kind).itemsize
+
+
+def _answers(rows: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
     parts = np.split(flags, np.cumsum(sizes)[:-1])
-    return pd.DataFrame(
-        {"chunk": rows["chunk"], "bucket": rows["bucket"].astype(np.int32), "bits": [np.packbits(p).tobytes() for p in parts]}
-    )
+    bits = pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "bits": bits})
 
 
-def _earlier(rows: pd.DataFrame) -> pd.DataFrame:
+def _earlier(rows: pa.Table) -> pa.Table:
     """For each chunk's names in a bucket, a bit: an earlier chunk has it."""
-    rows = rows.sort_values("chunk", kind="stable").reset_index(drop=True)
-    names = [np.frombuffer(b, np.uint64) for b in rows["names"]]
-    value = np.concatenate(names)
+    rows = rows.sort_by("chunk")
+    value, sizes = _names(rows, np.uint64)
     order = np.argsort(value, kind="stable")  # chunks ascend among equals
     flags = np.zeros(len(value), bool)
     flags[order[1:]] = value[order[1:]] == value[order[:-1]]
-    return _answers(rows, flags, [len(n) for n in names])
+    return _answers(rows, flags, sizes)
 
 
 def _stretches(length: int, buckets: int):
@@ -210,7 +218,7 @@ def _suffixes(row: dict, length: int) -> np.ndarray:
     data, windows = _unpack(row["body"]), np.array(row["windows"].as_py(), np.int64)
     ends = np.cumsum(windows + length - 1)
     at = spread(ends - (windows + length - 1), windows)
-    return vectext.mix(vectext.span_hash(vectext.prefix_hash(vectext.BYTE[data]), at, at + length))
+    return vectext.window_hash(data, at, length)
 
 
 def _block(names: np.ndarray, block: int, blocks: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,7 +353,7 @@ def repeated_spans(
     _let_go(spark)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(n, int(total * len(COVER) / PERIOD / NAMES_PER_BUCKET) + 1)
-    ranked = chunks.mapInArrow(worker(_rank_samples(length, buckets)), NAMES).groupBy("bucket").applyInPandas(_recurring, BITS)
+    ranked = chunks.mapInArrow(worker(_rank_samples(length, buckets)), NAMES).groupBy("bucket").applyInArrow(_recurring, BITS)
     ranked = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     ranked = materialize(ranked, "cover")
     _let_go(spark)
@@ -356,7 +364,7 @@ def repeated_spans(
     found = None
     for block in range(BLOCKS):
         sent = stretches.mapInArrow(worker(_sort_block(length, block, BLOCKS, buckets)), NAMES)
-        bits = sent.groupBy("bucket").applyInPandas(_earlier, BITS).withColumn("block", F.lit(block))
+        bits = sent.groupBy("bucket").applyInArrow(_earlier, BITS).withColumn("block", F.lit(block))
         bits = materialize(bits, "block")
         found = bits if found is None else found.union(bits)
         del sent

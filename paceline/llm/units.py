@@ -62,11 +62,10 @@ def split(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends = at[:-1], at[1:]
     full = kind[starts] > 0
     starts, ends = starts[full], ends[full]
-    hashes = vectext.span_hash(vectext.prefix_hash(vectext.LOWER_BYTE[data]), starts, ends)
+    hashes = vectext.span_hash(vectext.LOWER[data], starts, ends)
     if odd.any() and len(starts):  # special tokens are matched before case is folded
         strange = np.flatnonzero(np.add.reduceat(odd, starts) > 0)
-        exact = vectext.prefix_hash(vectext.BYTE[data])
-        hashes[strange] = vectext.span_hash(exact, starts[strange], ends[strange]) ^ np.uint64(0x0DD)
+        hashes[strange] = vectext.span_hash(data, starts[strange], ends[strange]) ^ np.uint64(0x0DD)
     return starts, ends, vectext.mix(hashes), np.searchsorted(starts, bounds)
 
 

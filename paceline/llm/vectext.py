@@ -2,12 +2,13 @@
 
 A batch of texts is one byte array plus document starts and ends, taken from the
 Arrow buffers without making Python strings.  Words are found with a byte table
-and hashed by differences of one running polynomial, so a batch costs a few
-array passes whatever the number of its documents.
+and hashed eight bytes at a time side by side, so a batch costs a few array passes
+whatever the number of its documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ import pyarrow.compute as pc
 
 # Bytes worked on at a time; a longer document is a block of its own.
 BLOCK = 1_000_000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+# Spans longer than this are hashed one by one.
+LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _table(pattern_excluded: range | list[range]) -> np.ndarray:
@@ -36,17 +37,6 @@ ALNUM = _table([range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 ALNUM_FOLDED = ALNUM[LOWER]
-LOWER_BYTE = BYTE[LOWER]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(max(n, BLOCK + 1), base, np.uint64)
-            grown[0] = 1
-            _powers[k] = np.cumprod(grown)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,17 +88,65 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``span_hash`` reads the hash of any span off them."""
-    pw, _ = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * pw[:-1], out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = powers(len(sums))
-    return (sums[end] - sums[start]) * inverse[start]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number; zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes a step, mixed before the next.
+
+    No sum of the spans' bytes, so spans of repeating structure don't cancel out; of n
+    different spans about n * n / 2**65 pairs share a hash.
+    """
+    size, eight = ends - starts, _eights(data)
+    h = eight[starts] & _LOW[np.minimum(size, 8)]
+    h = mix(h ^ size.astype(np.uint64) * _STEP)
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        if at > 8:
+            live = live[size[live] > at]
+        if not len(live):
+            break
+        more = eight[starts[live] + at] & _LOW[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] ^ more)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in spans]
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two adjoining stretches from theirs; neither order nor sums are lost."""
+    out = a * _STEP
+    out ^= b
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def window_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the ``length`` (8 at least) bytes from each position in ``at``.
+
+    Stretches of 8, 16, 32, ... bytes are hashed at all positions, each from two halves,
+    and those that make up ``length`` are joined.
+    """
+    eight = _eights(data)
+    h, size, offset, out, left = mix(eight[: len(data)]), 8, 0, None, length // 8
+    while left:
+        if left & 1:
+            part = h[at + offset]
+            out = part if out is None else _join(out, part)
+            offset += size
+        left >>= 1
+        if left:
+            h = _join(h[:-size], h[size:]) if len(h) > size else h[:0]
+            size *= 2
+    return _join(out, eight[at + length - 8]) if length % 8 else out
 
 
 def words(
@@ -130,8 +168,7 @@ def word_hashes(
 ) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased if ``fold``, and word bounds."""
     starts, ends, per_doc = words(data, bounds, table)
-    sums = prefix_hash((LOWER_BYTE if fold else BYTE)[data])
-    return mix(span_hash(sums, starts, ends)), per_doc
+    return span_hash(LOWER[data] if fold else data, starts, ends), per_doc
 
 
 _COMBINE = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)

@@ -58,12 +58,11 @@ def _uuid(page: Column) -> Column:
 
 
 def _first_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, first): pages whose payload a smaller page_id has."""
-    seen = pages.where("page_id IS NOT NULL").select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("n"))
-    seen = materialize(seen, "digests")
+    """(page_id, sha, n, first): pages and payloads that a smaller page_id has as well."""
+    seen = materialize(pages.where("page_id IS NOT NULL").select("page_id", "sha", "n"), "digests")
     groups = seen.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = materialize(groups.where("copies > 1").drop("copies"), "payloads")
-    return materialize(seen.join(groups, ["sha", "n"]).where("page_id > first").select("page_id", "first").distinct(), "revisits")
+    return materialize(seen.join(groups, ["sha", "n"]).where("page_id > first").select("page_id", "sha", "n", "first").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
@@ -72,14 +71,15 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     The payload is ``html`` in UTF-8, empty if null.  Of equal payloads the smallest
     ``page_id`` is a response and the others revisit it, empty ones too.  A null
     ``page_id`` is a response without a page header; rows that repeat a ``page_id`` are
-    written each.  A null ``url`` becomes ``urn:page:<id>``; blanks and control
+    written each, as revisits only where a smaller id has the same payload.  A null ``url`` becomes ``urn:page:<id>``; blanks and control
     characters of a URL are percent-encoded.  Other columns are ignored.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    rows = rows.join(_first_pages(rows), "page_id", "left")
+    rows = rows.withColumns({"sha": F.unhex(F.sha1("html")), "n": F.octet_length("html")})
+    rows = rows.join(_first_pages(rows), ["page_id", "sha", "n"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     some = lambda test, text: F.when(test, text).otherwise(F.lit(""))
     revisit, named = F.col("first").isNotNull(), F.col("page_id").isNotNull()

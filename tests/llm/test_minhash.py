@@ -93,3 +93,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (7, 7), (300, 100)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_texts_of_one_id(spark):
+    """Texts that share an id share their links, whichever text is looked at."""
+    a, b, c = (sentences(s, 60).split() for s in (21, 22, 23))
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, " ".join(a)), (2, near(a)), (1, " ".join(b)), (4, near(b)), (5, " ".join(c)), (3, near(c)), (3, near(b)), (9, "alone"), (9, "")]
+    out = collected(minhash.near_duplicates(documents(spark, rows), shingle=4))
+    assert [(r["doc_id"], r["component_id"]) for r in out] == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 1), (9, 9), (9, 9)]
+    rows = [(8, " ".join(a)), (8, " ".join(a)), (8, " ".join(b)), (7, near(a)), (6, near(b))]
+    out = collected(minhash.near_duplicates(documents(spark, rows), shingle=4))
+    assert {r["component_id"] for r in out} == {6} and [r["kept"] for r in out] == [True, False, False, False, False]

@@ -59,3 +59,14 @@ def test_keys():
 def test_empty(spark, tmp_path):
     path = written(spark, tmp_path, [])
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_pages_that_repeat_an_id(spark, tmp_path):
+    """Each row is one record, and no payload is lost."""
+    pages = [(i, f"http://x.org/{i}", body) for i, body in ((3, "A"), (4, "B"), (5, "A"), (5, "B"), (6, "C"), (6, "A"), (6, "A"))]
+    path = written(spark, tmp_path, pages)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_digest"]) for r in warc.indexed_records(spark, path).collect())
+    sha = {b: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode() for b in "ABC"}
+    want = [(3, "response", 0, sha["A"]), (4, "response", 0, sha["B"]), (5, "revisit", 3, sha["A"]), (5, "revisit", 4, sha["B"])]
+    assert got == sorted([*want, (6, "response", 0, sha["C"]), (6, "revisit", 3, sha["A"]), (6, "revisit", 3, sha["A"])])
+    assert sorted(r["payload"] or b"" for r in warc.read_archives(spark, path, payloads=True).collect()) == [b""] * 4 + [b"A", b"B", b"C"]
