@@ -33,23 +33,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest ``doc_id``, of each group of near-duplicates.
+    """Keep one document of each group of near-duplicates, that of the smallest ``doc_id``.
 
-    Rows that share this id are one document of the group: the smallest text stays.  Null
-    ids and texts without a word are in no group.
+    Where ids are repeated, rows are numbered and judged by their number, so different
+    texts under one id are different documents; of a group's rows the one with the
+    smallest id, then number, stays.  Null ids and texts without a word are in no group.
     """
-    kept = minhash.near_duplicates(docs).where("kept")
-    grouped = kept.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count()
-    repeated = materialize(grouped.where("count > 1").select(F.col("doc_id").alias("_kept")), "repeated")
-    left = _keep(docs, kept)
-    if not repeated.limit(1).count():
-        return left
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    of_repeated = F.col("doc_id") == F.col("_kept")
-    many = left.where(worded).join(repeated, of_repeated, "left_semi")
-    one = many.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    rest = left.where(worded).join(repeated, of_repeated, "left_anti").union(left.where(~worded))
-    return rest.union(one)
+    named = docs.where("doc_id IS NOT NULL")
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = _keep(docs, "doc_id", minhash.near_duplicates(named).where("kept"))
+        return kept.union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    named = numbered.where("doc_id IS NOT NULL")
+    found = minhash.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.withColumnRenamed("doc_id", "_row").join(named.select("_row", "doc_id"), "_row")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select("f._row")
+    return _keep(numbered, "_row", first).union(numbered.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +73,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ids.drop("decoded")
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id, null included, is among ``kept``."""
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+def _keep(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, never null, is among ``kept``."""
+    return docs.join(kept.select(key), key, "left_semi").select(*COLUMNS)
 
 
 STAGES = [
