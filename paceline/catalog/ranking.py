@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import clean, times
-from ..operators import boards, ranking
+from ..operators import boards, feed, ranking
 from ..operators import results as res
 from . import views as v
 from .registry import query
@@ -342,6 +342,60 @@ def changelog_fold(spark, sf):
     return folded.select("race_id", "id", "seq", MS, "racer_name")
 
 
+# A feed with everything that can happen to a row: adds, updates that clear a field or
+# leave it out, deletes, and reloads of a race.
+FEED_COLUMNS = ["race_id", "id", "bib_number", "racer_name", MS, "team", "age", "seq", "version"]
+FEED = (
+    FINISH
+    + """, log AS (SELECT race_id, seq AS change_seq, seq % 997 AS k,
+    CASE WHEN seq % 1499 = 0 THEN 'reload' WHEN seq % 11 = 0 THEN 'delete' ELSE 'add' END AS type,
+    race_id || '-' || (seq % 700) AS id, bib_number, finish_time_ms, seq % 3 <> 0 AS has_time,
+    CASE WHEN seq % 8 <> 0 THEN 'name ' || seq END AS racer_name, seq % 4 = 0 AS has_name,
+    CASE WHEN seq % 14 <> 0 THEN 'team ' || seq % 5 END AS team, seq % 7 = 0 AS has_team,
+    CASE WHEN seq % 10 <> 0 THEN CAST(seq % 90 AS VARCHAR) END AS age, seq % 5 = 0 AS has_age
+  FROM v_finish),
+reloads AS (SELECT race_id, max(change_seq) AS reload FROM log WHERE type = 'reload' GROUP BY 1),
+deletes AS (SELECT race_id, id, max(change_seq) AS gone FROM log WHERE type = 'delete' GROUP BY 1, 2),
+live AS (SELECT log.* FROM log LEFT JOIN reloads USING (race_id) LEFT JOIN deletes USING (race_id, id)
+  WHERE type = 'add' AND change_seq > coalesce(reload, 0) AND change_seq > coalesce(gone, 0)) """
+)
+
+
+def change_feed(spark, sf):
+    n = F.col("seq")
+    row = {
+        "bib_number": F.col("bib_number"),
+        "racer_name": F.when(n % 8 != 0, F.concat(F.lit("name "), n.cast("string"))),
+        MS: F.col(MS),
+        "team": F.when(n % 14 != 0, F.concat(F.lit("team "), (n % 5).cast("string"))),
+        "age": F.when(n % 10 != 0, (n % 90).cast("string")),
+    }
+    given = {"racer_name": n % 4 == 0, MS: n % 3 != 0, "team": n % 7 == 0, "age": n % 5 == 0}
+    kind = F.when(n % 1499 == 0, F.lit("reload")).when(n % 11 == 0, F.lit("delete")).when(n % 2 == 0, F.lit("add"))
+    return v.v_finish(spark, sf).select(
+        "race_id",
+        n.alias("change_seq"),
+        kind.otherwise(F.lit("update")).alias("type"),
+        F.concat_ws("-", "race_id", (n % 700).cast("string")).alias("id"),
+        feed.fields_of(row, given).alias("fields"),
+    )
+
+
+def _last(column: str, given: str) -> str:
+    return f"(arg_max(struct_pack(v := {column}), change_seq) FILTER (WHERE {given})).v AS {column}"
+
+
+@query(
+    "q_feed_fold",
+    FEED
+    + f"""SELECT race_id, id, {_last('bib_number', 'true')}, {_last('racer_name', 'has_name')},
+  {_last('finish_time_ms', 'has_time')}, {_last('team', 'has_team')}, {_last('age', 'has_age')},
+  min(change_seq) AS seq, max(change_seq) AS version FROM live GROUP BY race_id, id""",
+)
+def feed_fold(spark, sf):
+    return feed.fold_feed(change_feed(spark, sf)).select(*FEED_COLUMNS)
+
+
 # --- scalar queries ------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boards
+from ..operators import boards, feed
 from ..plans.tables import shared_folder
 from ..sources.feeds import read_frame_feed
 from ..streaming import serve, stateful
@@ -16,41 +16,41 @@ from . import ranking as rank_queries
 from . import views as v
 from .registry import SQL, query
 
-FILES = 4
+BATCHES = 4
 
 
 def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, order: str) -> DataFrame:
-    """The rows as a stream of a few files, one per micro-batch, in ``order``.
-
-    The file source reads by modification time, so the ranges are written one
-    after the other.
-    """
-    spark = df.sparkSession
-    path = folder(spark, "stream-in")
-    cuts = df.approxQuantile(order, [i / FILES for i in range(1, FILES)], 0.05)
-    edges = [None, *cuts, None]
+def parts(df: DataFrame, order: str) -> list[DataFrame]:
+    """The rows in a few ranges of ``order``, each for one micro-batch."""
+    cuts = df.approxQuantile(order, [i / BATCHES for i in range(1, BATCHES)], 0.05)
+    out, edges = [], [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = df
         if low is not None:
             part = part.where(F.col(order) > low)
         if high is not None:
             part = part.where(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(path)
+        out.append(part)
+    return out
 
 
-def run(df: DataFrame, writer=None) -> DataFrame:
-    """Run the stream over all its input and read the resulting table."""
+def run(df: DataFrame, order: str, transform, writer=None) -> DataFrame:
+    """Feed the rows of ``df`` range by range through a stream; read the resulting table.
+
+    A range's rows are written by as many tasks as hold them and make one micro-batch;
+    the query starts anew from its checkpoint for each.
+    """
     spark = df.sparkSession
-    out = folder(spark, "stream-out")
-    writer = (writer or serve.table_writer)(out)
-    serve.run_available(df, writer, folder(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+    path, out, checkpoint = (folder(spark, f"stream-{n}") for n in ("in", "out", "checkpoint"))
+    for part in parts(df, order):
+        part.write.mode("append").parquet(path)
+        result = transform(spark.readStream.schema(df.schema).parquet(path))
+        query = serve.run_available(result, (writer or serve.table_writer)(out), checkpoint)
+        query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out).select(*result.columns)
 
 
 def frame_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,23 +74,27 @@ def frame_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_stream_emission", det.FINISHERS)
 def stream_emission(spark, sf):
+    # Frames are written once as a feed and read back, as a camera's files would be.
     path = folder(spark, "feed")
-    frame_feed(spark, sf).repartitionByRange(FILES, "frame_ord").write.parquet(path)
-    feed = read_frame_feed(spark, path, streaming=True, files_per_batch=1)
-    sent = run(stateful.stream_emissions(stateful.feed_persons(feed)))
+    frame_feed(spark, sf).write.parquet(path)
+    feed = read_frame_feed(spark, path)
+    sent = run(feed, "frame_ord", lambda f: stateful.stream_emissions(stateful.feed_persons(f)))
     return sent.drop("cross_ord", "finish_time_ms")
 
 
 @query("q_stream_clock", SQL["q_clock_asof"])
 def stream_clock(spark, sf):
-    # One file per time range holds both kinds of rows, as one ordered source does.
+    # One range holds both kinds of rows, as one ordered source does.
     events, log = v.v_arrival(spark, sf), v.v_clock(spark, sf)
     rows = events.withColumn("kind", F.lit(1)).unionByName(
         log.withColumn("kind", F.lit(0)), allowMissingColumns=True
     )
-    stream = as_stream(rows, "ts_s")
-    finishers = stream.where("kind = 1").select(*events.columns)
-    timed = run(stateful.stream_apply_clock(finishers, stream.where("kind = 0")))
+
+    def apply(stream):
+        finishers = stream.where("kind = 1").select(*events.columns)
+        return stateful.stream_apply_clock(finishers, stream.where("kind = 0"))
+
+    timed = run(rows, "ts_s", apply)
     return timed.select(
         "race_id", "seq", F.round("race_start_s", 3).alias("race_start_s"), "status",
         F.round("offset_ms", 3).alias("offset_ms"),
@@ -99,22 +103,28 @@ def stream_clock(spark, sf):
 
 @query("q_stream_dedupe", SQL["q_dedupe_first_arrival"])
 def stream_dedupe(spark, sf):
-    rows = as_stream(v.v_finish(spark, sf), "seq")
-    return run(rows, serve.first_arrival_writer).drop("seq")
+    rows = run(v.v_finish(spark, sf), "seq", lambda f: f, serve.first_arrival_writer)
+    return rows.drop("seq")
 
 
 @query("q_stream_idle_skip", SQL["q_idle_skip"])
 def stream_idle_skip(spark, sf):
-    return run(stateful.stream_idle_skip(as_stream(v.v_idle(spark, sf), "frame_ord")))
+    return run(v.v_idle(spark, sf), "frame_ord", stateful.stream_idle_skip)
 
 
 @query("q_stream_changelog", SQL["q_changelog_fold"])
 def stream_changelog(spark, sf):
-    log = rank_queries.change_log(spark, sf)
-    folded = boards.fold_changes(run(as_stream(log, "change_seq")))
+    log = run(rank_queries.change_log(spark, sf), "change_seq", lambda f: f)
+    folded = boards.fold_changes(log)
     return folded.select("race_id", "id", "seq", "finish_time_ms", "racer_name")
 
 
+@query("q_stream_feed", SQL["q_feed_fold"])
+def stream_feed(spark, sf):
+    sent = run(rank_queries.change_feed(spark, sf), "change_seq", stateful.stream_feed)
+    return feed.live_table(sent).select(*rank_queries.FEED_COLUMNS)
+
+
 @query(
     "q_latest_frame",
     f"WITH {v.V_IDLE}"

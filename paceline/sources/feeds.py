@@ -128,10 +128,14 @@ WIRE = {
 }
 
 
-def result_message(kind: str) -> Column:
-    """JSON of an add or update message from the result columns."""
+def result_message(kind: str, nulls: bool = False) -> Column:
+    """JSON of an add or update message from the result columns.
+
+    With ``nulls`` empty columns are sent too, so that a cleared field reaches subscribers.
+    """
     data = F.struct(*[F.col(c).alias(n) for c, n in WIRE.items()])
-    return F.to_json(F.struct(F.lit(kind).alias("type"), data.alias("data")))
+    keep = {"ignoreNullFields": str(not nulls).lower()}
+    return F.to_json(F.struct(F.lit(kind).alias("type"), data.alias("data")), keep)
 
 
 def reload_message() -> Column:
@@ -155,7 +159,7 @@ def add_messages(rows: DataFrame) -> DataFrame:
 def edit_messages(edited: DataFrame) -> DataFrame:
     """One message per applied edit (from the ``notify`` column)."""
     kind = F.col("notify")
-    text = F.when(kind == "reload", reload_message()).otherwise(result_message("update"))
+    text = F.when(kind == "reload", reload_message()).otherwise(result_message("update", nulls=True))
     return edited.where(kind.isNotNull()).select("race_id", text.alias("value"))
 
 
@@ -189,3 +193,28 @@ def change_log(messages: DataFrame) -> DataFrame:
         F.col("_m.data.id").alias("id"),
         F.struct(*fields).alias("data"),
     )
+
+
+def change_feed(messages: DataFrame) -> DataFrame:
+    """Feed rows for ``feed.fold_feed`` from messages with race_id, change_seq and ``value``.
+
+    ``fields`` has what a message's data names, null values included, as text.  A clock
+    update is no change of a row and is left out.
+    """
+    kind = "type string, action string, data map<string,string>"
+    m = messages.withColumn("_m", F.from_json("value", kind))
+    rows = m.select(
+        "race_id",
+        "change_seq",
+        F.coalesce("_m.type", "_m.action").alias("type"),
+        F.try_element_at("_m.data", F.lit("id")).alias("id"),
+        F.map_filter("_m.data", lambda k, _: k != "id").alias("fields"),
+    )
+    return rows.where(F.col("type").isin("add", "update", "delete", "reload"))
+
+
+def delete_messages(ids: DataFrame) -> DataFrame:
+    """One message per deleted id, for feeds that are folded rather than fetched again."""
+    data = F.struct(F.col("id").alias("id"))
+    text = F.to_json(F.struct(F.lit("delete").alias("type"), data.alias("data")))
+    return ids.select("race_id", text.alias("value"))

@@ -227,3 +227,74 @@ class IdleProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class GenerationProcessor(StatefulProcessor):
+    """Stamps each change of a race with its generation: the last reload before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("generation", "last bigint, seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, seen = self.state.get() if self.state.exists() else (0, None)
+        batch = _batch(rows, ["change_seq"])
+        if seen is not None:  # changes sent again have been counted
+            batch = batch[batch["change_seq"] > seen]
+        if not len(batch):
+            return
+        own = batch["change_seq"].where(batch["type"] == "reload", 0).cummax().clip(lower=last)
+        self.state.update((int(own.iloc[-1]), int(batch["change_seq"].iloc[-1])))
+        yield batch.assign(generation=own)
+
+    def close(self) -> None:
+        pass
+
+
+UPSERT = (
+    "race_id bigint, id string, generation bigint, seq bigint, version bigint, "
+    "deleted boolean, fields string"
+)
+
+
+class UpsertProcessor(StatefulProcessor):
+    """One id of a race: merges given fields, keeps a tombstone, ignores what it has seen.
+
+    A reload has no id; it is sent on as a row without one, which tells readers the
+    race's generation.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "row", "generation bigint, seq bigint, version bigint, deleted boolean, fields string"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, ["change_seq"])
+        held = self.state.get() if self.state.exists() else (0, 0, 0, True, "{}")
+        generation, seq, version, deleted = held[:4]
+        fields = json.loads(held[4])
+        for at, era, kind, given in zip(
+            batch["change_seq"], batch["generation"], batch["type"], batch["fields"], strict=True
+        ):
+            if at <= version:
+                continue
+            version = int(at)
+            if era > generation:
+                generation, deleted, fields = int(era), True, {}
+            if kind == "delete":
+                deleted, fields = True, {}
+            elif kind in ("add", "update"):
+                seq, deleted = (version if deleted else seq), False
+                fields.update(json.loads(given) if given else {})
+        if version == held[2]:
+            return
+        state = (generation, seq, version, deleted, json.dumps(fields))
+        self.state.update(state)
+        names = ["generation", "seq", "version", "deleted", "fields"]
+        out = pd.DataFrame([state], columns=names)
+        out.insert(0, "id", key[1])
+        out.insert(0, "race_id", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass

@@ -14,7 +14,15 @@ from ..functions import geometry as geo
 from ..operators import idle
 from ..operators.clock import STATE
 from ..options import Options
-from .processors import EMISSION, ClockProcessor, IdleProcessor, TrackProcessor
+from .processors import (
+    EMISSION,
+    UPSERT,
+    ClockProcessor,
+    GenerationProcessor,
+    IdleProcessor,
+    TrackProcessor,
+    UpsertProcessor,
+)
 
 DEFAULT = Options()
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -107,3 +115,28 @@ def stream_idle_skip(
         outputMode="Append",
         timeMode="None",
     )
+
+
+def stream_feed(log: DataFrame) -> DataFrame:
+    """Streaming twin of ``feed.fold_feed``: whole rows of ids that changed, to be upserted.
+
+    Two keyed steps: a race's changes get their generation, then each id keeps its row,
+    tombstone and version.  State grows with the ids, the work of a batch with its
+    changes.  A change sent again has a version that is known, and does nothing; so does
+    a change that arrives after later ones of its race.  Read with ``feed.live_table``.
+    """
+    use_rocksdb(log.sparkSession)
+    # Maps travel as text, which keeps a given null apart from a missing field.
+    text = F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields")
+    rows = log.where("type IN ('add', 'update', 'delete', 'reload') AND (id IS NOT NULL OR type = 'reload')")
+    rows = rows.select("race_id", "change_seq", "type", F.when(F.col("type") != "reload", F.col("id")).alias("id"), text)
+    stamped = rows.groupBy("race_id").transformWithStateInPandas(
+        GenerationProcessor(),
+        outputStructType="race_id bigint, change_seq bigint, type string, id string, fields string, generation bigint",
+        outputMode="Append",
+        timeMode="None",
+    )
+    sent = stamped.groupBy("race_id", "id").transformWithStateInPandas(
+        UpsertProcessor(), outputStructType=UPSERT, outputMode="Append", timeMode="None"
+    )
+    return sent.withColumn("fields", F.from_json("fields", "map<string,string>"))
