@@ -31,6 +31,8 @@ class Options:
     read_len: tuple[int, int] = (2, 5)
     lock_conf: float = 0.99
     hold_frames: int = 30
+    gap_frames: int | None = 300
+    forget_frames: int | None = 1200
     idle_after: int = 10
     idle_drop: int = 31
     crop_padding: int = 15

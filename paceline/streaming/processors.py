@@ -56,37 +56,46 @@ def _det_seq(item: dict) -> int:
 class TrackProcessor(StatefulProcessor):
     """Tracks of one camera: crossing, hold, emission, and the bib tally.
 
-    Frames are processed in dense order from ``first_ord``; a frame that comes
-    early waits in state.  With ``dense=False`` the frames of a batch are taken
-    in order as they are.  A tracked runner leaves the open state when sent; the
-    note that it was sent may expire after ``ttl_ms``.
+    Frames are processed in dense order from ``first_ord``; a frame that comes early
+    waits in state.  Once a frame ``gap`` numbers ahead has come, missing ones are
+    given up: they are passed over, and ignored should they come later.  With
+    ``dense=False`` the frames of a batch are taken in order as they are.
+
+    A batch reads the states of the tracks it holds, and of those that have crossed
+    and are not sent yet, which the hold bounds.  A track that has not been seen for
+    ``forget`` frames at least (two times that at most) is dropped, with the note that
+    it was sent: tracks are listed by the stretch of ``forget`` frames they were last
+    seen in, and the lists of old stretches are worked off.
     """
 
-    def __init__(self, hold, read_len, read_conf, lock_conf, first_ord, dense, ttl_ms):
+    def __init__(self, hold, read_len, read_conf, lock_conf, first_ord, dense, gap, forget):
         self.hold, self.read_len, self.read_conf = hold, read_len, read_conf
         self.lock_conf, self.first_ord, self.dense = lock_conf, first_ord, dense
-        self.ttl_ms = ttl_ms
+        self.gap, self.forget = gap, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next_ord = handle.getValueState("next_ord", "n bigint")
+        self.next_ord = handle.getValueState("next_ord", "due bigint, top bigint")
         self.waiting = handle.getMapState("waiting", "frame_ord bigint", "frame string")
-        self.open = handle.getMapState(
-            "open",
+        self.tracks = handle.getMapState(
+            "tracks",
             "track_id bigint",
-            "cross_ord bigint, video_ms double, wall_ts double, tally string",
+            "cross_ord bigint, video_ms double, wall_ts double, tally string, sent boolean, stretch bigint",
         )
-        self.sent = handle.getMapState("sent", "track_id bigint", "at bigint", self.ttl_ms)
+        self.crossed = handle.getValueState("crossed", "ids string")
+        self.stretches = handle.getMapState("stretches", "stretch bigint", "ids string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        tracks = {k[0]: list(v[:3]) + [json.loads(v[3])] for k, v in self.open.iterator()}
-        before = set(tracks)
+        out: list = []
+        self.held: dict = {}  # states that this batch has read
+        self.pending = json.loads(self.crossed.get()[0]) if self.crossed.exists() else []
+        before, last = list(self.pending), None
         for frame in self._ready(rows):
-            self._frame(frame, tracks, out)
-        for gone in before - set(tracks):
-            self.open.removeKey((gone,))
-        for track, (cross, video, wall, tally) in tracks.items():
-            self.open.updateValue((track,), (cross, video, wall, json.dumps(tally)))
+            self._frame(frame, out)
+            last = frame["frame_ord"]
+        if last is not None:
+            self._write(last)
+        if self.pending != before:
+            self.crossed.update((json.dumps(self.pending),))
         if out:
             done = pd.DataFrame(
                 out,
@@ -104,7 +113,7 @@ class TrackProcessor(StatefulProcessor):
         if not self.dense:
             yield from frames
             return
-        due = self.next_ord.get()[0] if self.next_ord.exists() else self.first_ord
+        due, top = self.next_ord.get() if self.next_ord.exists() else (self.first_ord, self.first_ord - 1)
         early = {}
         for frame in frames:
             if frame["frame_ord"] == due:
@@ -112,36 +121,55 @@ class TrackProcessor(StatefulProcessor):
                 due += 1
             elif frame["frame_ord"] > due:
                 early[frame["frame_ord"]] = frame
-        while True:
+            top = max(top, frame["frame_ord"])
+        while due <= top:
             if due in early:
                 yield early.pop(due)
             elif self.waiting.containsKey((due,)):
                 yield json.loads(self.waiting.getValue((due,))[0])
                 self.waiting.removeKey((due,))
+            elif self.gap is not None and top - due >= self.gap:
+                due = min([*early, *(k[0] for k in self.waiting.keys())]) - 1
             else:
                 break
             due += 1
         for ord_, frame in early.items():
             self.waiting.updateValue((ord_,), (json.dumps(frame),))
-        self.next_ord.update((due,))
-
-    def _frame(self, frame: dict, tracks: dict, out: list) -> None:
+        self.next_ord.update((due, top))
+
+    def _track(self, track: int) -> dict | None:
+        """A track's state, read once a batch."""
+        if track not in self.held:
+            state = self.tracks.getValue((track,)) if self.tracks.containsKey((track,)) else None
+            if state is not None:
+                state = {
+                    "cross": None if state[0] is None else list(state[:3]), "tally": json.loads(state[3]),
+                    "sent": state[4], "stretch": state[5], "seen": None,
+                }
+            self.held[track] = state
+        return self.held[track]
+
+    def _frame(self, frame: dict, out: list) -> None:
         at = frame["frame_ord"]
         # A track seen twice in one frame keeps its last box.
         seen = {p["track_id"]: p for p in sorted(frame["persons"], key=_det_seq)}
-        for track in [t for t, s in tracks.items() if s[0] is not None]:
-            if track not in seen or at >= tracks[track][0] + self.hold:
-                self._send(track, at, tracks, out)
+        for track in list(self.pending):
+            if track not in seen or at >= self._track(track)["cross"][0] + self.hold:
+                self._send(track, at, out)
         for track, person in seen.items():
-            if track not in tracks:
-                if self.sent.containsKey((track,)):
-                    continue
-                tracks[track] = [None, None, None, {"lock": None, "votes": {}}]
-            if tracks[track][0] is None and person["crossed"]:
-                tracks[track][:3] = [at, frame["video_ms"], frame["wall_ts"]]
+            state = self._track(track)
+            if state is None:
+                tally = {"lock": None, "votes": {}}
+                state = self.held[track] = {"cross": None, "tally": tally, "sent": False, "stretch": None}
+            state["seen"] = at
+            if not state["sent"] and state["cross"] is None and person["crossed"]:
+                state["cross"] = [at, frame["video_ms"], frame["wall_ts"]]
+                self.pending.append(track)
         for read in sorted(frame["reads"], key=_det_seq):
-            if read["track_id"] in tracks:
-                self._read(tracks[read["track_id"]][3], read["bib_read"], read["ocr_conf"])
+            state = self._track(read["track_id"])
+            if state is not None and not state["sent"]:
+                state["seen"] = at
+                self._read(state["tally"], read["bib_read"], read["ocr_conf"])
 
     def _read(self, tally: dict, bib: str, conf: float) -> None:
         if tally["lock"] is not None:
@@ -151,12 +179,39 @@ class TrackProcessor(StatefulProcessor):
         elif self.read_len[0] <= len(bib) <= self.read_len[1] and conf > self.read_conf:
             tally["votes"][bib] = tally["votes"].get(bib, 0) + round(conf * _UNIT)
 
-    def _send(self, track: int, at: int, tracks: dict, out: list) -> None:
-        cross, video, wall, tally = tracks.pop(track)
-        votes = tally["votes"]
-        bib = tally["lock"] or (max(votes, key=votes.get) if votes else f"Unknown-{track}")
+    def _send(self, track: int, at: int, out: list) -> None:
+        state = self._track(track)
+        self.pending.remove(track)
+        (cross, video, wall), votes = state["cross"], state["tally"]["votes"]
+        bib = state["tally"]["lock"] or (max(votes, key=votes.get) if votes else f"Unknown-{track}")
         out.append([track, cross, video, wall, at, bib, f"Racer {track}"])
-        self.sent.updateValue((track,), (at,))
+        # The note that it was sent needs no tally.
+        state |= {"cross": None, "tally": {}, "sent": True, "seen": at}
+
+    def _write(self, last: int) -> None:
+        """Write the states that changed, and drop tracks not seen for long."""
+        entered: dict = {}
+        for track, state in self.held.items():
+            if state is None or state["seen"] is None:
+                continue
+            stretch = state["seen"] // self.forget if self.forget else 0
+            if self.forget and stretch != state["stretch"]:
+                entered.setdefault(stretch, []).append(track)
+            value = (*(state["cross"] or (None, None, None)), json.dumps(state["tally"]), state["sent"], stretch)
+            self.tracks.updateValue((track,), value)
+        for stretch, ids in entered.items():
+            if self.stretches.containsKey((stretch,)):
+                ids = json.loads(self.stretches.getValue((stretch,))[0]) + ids
+            self.stretches.updateValue((stretch,), (json.dumps(ids),))
+        if not self.forget:
+            return
+        for stretch, ids in [(k[0], v[0]) for k, v in self.stretches.iterator()]:
+            if (stretch + 1) * self.forget + self.forget > last:
+                continue
+            for track in json.loads(ids):
+                if self.tracks.containsKey((track,)) and self.tracks.getValue((track,))[5] == stretch and track not in self.pending:
+                    self.tracks.removeKey((track,))
+            self.stretches.removeKey((stretch,))
 
     def close(self) -> None:
         pass

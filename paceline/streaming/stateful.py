@@ -68,26 +68,24 @@ def stream_emissions(
     opts: Options = DEFAULT,
     first_ord: int = 0,
     dense: bool = True,
-    ttl_ms: int | None = None,
 ) -> DataFrame:
     """Finisher events from a stream of frames with persons and reads.
 
-    ``ttl_ms`` lets the notes of sent tracks expire.  It is for queries that run
-    on: with processing time in play an available-now run does not end.
+    State is bounded: ``opts.gap_frames`` says how far ahead a frame must be for missing
+    ones to be given up, ``opts.forget_frames`` after how many frames a track that is out
+    of view is forgotten; the tracker must not use its number again later than that.
+    None switches either off.
     """
     use_rocksdb(persons.sparkSession)
     processor = TrackProcessor(
-        opts.hold_frames, opts.read_len, opts.read_conf, opts.lock_conf, first_ord, dense, ttl_ms
-    )
+        opts.hold_frames, opts.read_len, opts.read_conf, opts.lock_conf, first_ord, dense,
+        opts.gap_frames, opts.forget_frames,
+    )
     return persons.groupBy("race_id", "camera_id").transformWithStateInPandas(
-        processor, outputStructType=EMISSION, outputMode="Append", timeMode=_mode(ttl_ms)
+        processor, outputStructType=EMISSION, outputMode="Append", timeMode="None"
     )
 
 
-def _mode(ttl_ms: int | None) -> str:
-    return "None" if ttl_ms is None else "ProcessingTime"
-
-
 def stream_apply_clock(events: DataFrame, clock: DataFrame) -> DataFrame:
     """Streaming twin of ``clock.apply_clock``: both streams share one keyed operator."""
     use_rocksdb(events.sparkSession)
