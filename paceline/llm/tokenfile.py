@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .shipping import ship, worker
-from .units import Memo
+from .units import Memo, spread
 
 PARQUET = {
     "parquet.block.size": 32 << 20,
@@ -57,16 +57,23 @@ class Encoder:
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [u.isalpha() and (u.isascii() or all(c < "\x80" or "\xc0" <= c <= "\xff" for c in u)) for u in units]
-        found: list = [None] * len(units)
+        counts, done = np.zeros(len(units), np.int64), []
         for model, pick in ((self.letters, True), (self.whole, False)):
-            of = [i for i, p in enumerate(plain) if p is pick]
+            of = np.array([i for i, p in enumerate(plain) if p is pick], np.int64)
             for k in range(0, len(of), 20_000):
                 part = of[k : k + 20_000]
-                texts = [units[i].lower() if pick else units[i] for i in part]
-                for i, e in zip(part, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    found[i] = e.ids
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
+                texts = [units[i].lower() if pick else units[i] for i in part.tolist()]
+                if pick:  # one call, the units as its words
+                    one = model.encode_batch([texts], is_pretokenized=True, add_special_tokens=False)[0]
+                    ids, counts[part] = one.ids, np.bincount(one.word_ids, minlength=len(part))
+                else:
+                    many = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+                    ids, counts[part] = list(chain.from_iterable(many)), list(map(len, many))
+                done.append((part, ids))
+        starts, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int64)
+        for part, ids in done:
+            out[spread(starts[part], counts[part])] = ids
+        return out, counts
 
 
 def _encode(source, end: int):
