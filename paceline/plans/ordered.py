@@ -54,6 +54,20 @@ def ordered_index(
     joined = null_safe_join(rows, materialize(starts, "starts"), [*keys, CHUNK])
     return joined.withColumn(name, F.col(POS) + F.col("_shift")).drop(CHUNK, POS, "_shift")
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Add ``name`` = sum of ``value`` up to and with each row, within ``keys`` by ``order``."""
+    rows = sorted_chunks(df, keys, order)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(POS)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_s"))
+    sums = sums.select(*keys, CHUNK, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    local = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = null_safe_join(local, materialize(sums, "sums"), [*keys, CHUNK])
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, POS, "_before")
+
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
