@@ -56,9 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    pages = _table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
     warc.write_index(warc.read_archives(spark, path), path)
-    records = warc.indexed_records(spark, path)
+    records = warc.indexed_records(spark, path, pages)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -7,21 +7,26 @@ each payload.  Reading goes by content length, so payloads may hold anything.
 
 Index.  Captures are sorted by their reversed-host URL key over range partitions and
 compressed in blocks of ``BLOCK`` lines; a directory keeps the first and last key of
-each block.  A lookup finds the blocks by the directory (sorted, so Parquet statistics
-skip nearly all of it), bisects their lines, and reads only the ranges they name.
+each block.  A search sends each key to the index parts that may hold it, bisects the
+directory of the part, then the lines of the block, and reads the byte ranges found, in
+tasks that open the archive and seek.  A task holds one part's directory, one block or
+one record at a time, however many keys or captures there are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
+import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +70,16 @@ def _first_pages(pages: DataFrame) -> DataFrame:
     return materialize(seen.join(groups, ["sha", "n"]).where("page_id > first").select("page_id", "sha", "n", "first").distinct(), "revisits")
 
 
+def _target() -> Column:
+    """The URI a page is written under."""
+    url = F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
+    # Characters that would end or break a header line; rare, so tested once.
+    clean = url
+    for c in (*range(0x21), 0x7F):
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), clean).otherwise(url)
+
+
 def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Write one record per page to ``path``/archives.
 
@@ -83,12 +98,7 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     some = lambda test, text: F.when(test, text).otherwise(F.lit(""))
     revisit, named = F.col("first").isNotNull(), F.col("page_id").isNotNull()
-    url = F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
-    # Characters that would end or break a header line; rare, so tested once.
-    clean = url
-    for c in (*range(0x21), 0x7F):
-        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
-    url = F.when(url.rlike(r"[\x00-\x20\x7F]"), clean).otherwise(url)
+    url = _target()
     size = F.octet_length("html")
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n")
@@ -130,141 +140,261 @@ def surt(url: str) -> str:
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def parse(content: bytes, file: str, payloads: bool) -> Iterator[tuple]:
-    """Records of one archive, by content length; digests of payloads are checked."""
-    at, view = 0, memoryview(content)
-    while at < len(content):
-        if content[at : at + 10] != b"WARC/1.1\r\n":
-            raise ValueError(f"{file}: no record at byte {at}")
-        head = content.index(b"\r\n\r\n", at)
-        fields = {}
-        for item in content[at + 10 : head].decode().split("\r\n"):
-            name, _, value = item.partition(": ")
-            fields[name] = value
-        start = head + 4
-        end = start + int(fields["Content-Length"])
-        if content[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"{file}: record at byte {at} does not end at byte {end}")
-        http = content.index(b"\r\n\r\n", start, end)
-        http_fields = dict(x.split(": ", 1) for x in content[start:http].decode().split("\r\n")[1:])
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        body = view[http + 4 : end]
-        if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-            raise ValueError(f"{file}: the payload of the record at byte {at} has another digest")
-        page, refers = fields.get("WARC-Page-ID"), fields.get("WARC-Refers-To-Page-ID")
-        yield (
-            file, at, end + 4 - at, int(page) if page else None, fields["WARC-Target-URI"], fields["WARC-Type"], digest,
-            int(http_fields["Content-Length"]), int(refers) if refers else None, surt(fields["WARC-Target-URI"]),
-            bytes(body) if payloads and fields["WARC-Type"] == "response" else None,
-        )
-        at = end + 4
-
-
-def _parse(payloads: bool):
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
+def parse(record: bytes, file: str, at: int, payloads: bool) -> tuple:
+    """One record, which starts at byte ``at`` of a file; a payload's digest is checked."""
+    if record[:10] != b"WARC/1.1\r\n":
+        raise ValueError(f"{file}: no record at byte {at}")
+    head = record.index(b"\r\n\r\n")
+    fields = dict(x.partition(": ")[::2] for x in record[10:head].decode().split("\r\n"))
+    start = head + 4
+    end = start + int(fields["Content-Length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError(f"{file}: record at byte {at} does not end at byte {at + end}")
+    http = record.index(b"\r\n\r\n", start, end)
+    http_fields = dict(x.split(": ", 1) for x in record[start:http].decode().split("\r\n")[1:])
+    digest, response = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "response"
+    body = memoryview(record)[http + 4 : end]
+    if response and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+        raise ValueError(f"{file}: the payload of the record at byte {at} has another digest")
+    page, refers = fields.get("WARC-Page-ID"), fields.get("WARC-Refers-To-Page-ID")
+    return (
+        file, at, len(record), int(page) if page else None, fields["WARC-Target-URI"], fields["WARC-Type"], digest,
+        int(http_fields["Content-Length"]), int(refers) if refers else None, surt(fields["WARC-Target-URI"]),
+        bytes(body) if payloads and response else None,
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def records_of(stream: io.BufferedIOBase, file: str, payloads: bool) -> Iterator[tuple]:
+    """Records of one archive, one after another by content length."""
+    at = 0
+    while line := stream.readline():
+        head, size = [line], None
+        while line != _CRLF:
+            line = stream.readline()
+            if not line:
+                raise ValueError(f"{file}: the header at byte {at} does not end")
+            head.append(line)
+            if line.startswith(b"Content-Length: "):
+                size = int(line[16:])
+        if size is None:
+            raise ValueError(f"{file}: no length in the header at byte {at}")
+        record = b"".join(head) + stream.read(size + 4)
+        yield parse(record, file, at, payloads)
+        at += len(record)
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme by which tasks open it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", whole))
+
+
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+# Rows and payload bytes of one batch to Spark.
+_ROWS, _BYTES = 500, 16 << 20
+
+
+def _arrow(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, and of a few megabytes of payload."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(held) >= _ROWS or size >= _BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _whole(folder: str, payloads: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        system, root = files.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(parse(content.as_buffer().to_pybytes(), path.as_py().rsplit("/", 1)[-1], payloads))
-                for k in range(0, len(rows), 500):
-                    columns = list(zip(*rows[k : k + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            for path in batch.column(0).to_pylist():
+                name = path.rsplit("/", 1)[-1]
+                with system.open_input_stream(f"{root}/{name}") as raw:
+                    yield from records_of(io.BufferedReader(raw, 1 << 20), name, payloads)
 
-    return run
+    return lambda batches: _arrow(rows(batches), RECORD)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """All records under ``path``/archives; response payloads on request."""
+    """All records under ``path``/archives; response payloads on request.
+
+    Files are dealt to tasks by their length and read as streams, a record at a time.
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").load(f"{path}/archives").select("path", "content")
-    return files.mapInArrow(worker(_parse(payloads)), RECORD)
+    listing = spark.read.format("binaryFile").load(f"{path}/archives").select("path", "length")
+    return listing.mapInArrow(worker(_whole(_uri(spark, f"{path}/archives"), payloads)), RECORD)
 
 
 BLOCKS = "part int, block int, first_key string, last_key string, n int, lines binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, held = TaskContext.get().partitionId(), 0, []
+def _blocks(size: int):
+    def block(number: int, lines: list) -> tuple:
+        data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
+        return TaskContext.get().partitionId(), number, lines[0][0], lines[-1][0], len(lines), data
 
-    def block(rows: list) -> pa.RecordBatch:
-        lines = "\n".join(json.dumps(r) for r in rows).encode()
-        return pa.RecordBatch.from_pylist(
-            [{"part": part, "block": number, "first_key": rows[0][0], "last_key": rows[-1][0], "n": len(rows), "lines": zlib.compress(lines)}],
-            schema=pa.schema(
-                [("part", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("lines", pa.binary())]
-            ),
-        )
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        number, held = 0, []
+        for batch in batches:
+            held += zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
+            while len(held) >= size:
+                yield block(number, held[:size])
+                held, number = held[size:], number + 1
+        if held:
+            yield block(number, held)
 
-    for batch in batches:
-        held += zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
-        while len(held) >= BLOCK:
-            yield block(held[:BLOCK])
-            held, number = held[BLOCK:], number + 1
-    if held:
-        yield block(held)
+    return lambda batches: _arrow(rows(batches), BLOCKS)
 
 
-def write_index(records: DataFrame, path: str) -> None:
-    """Sort captures by key into compressed blocks, and keep their directory."""
+def write_index(records: DataFrame, path: str, block: int = BLOCK) -> None:
+    """Sort captures by key into compressed blocks of ``block`` lines, and keep their directory."""
     rows = materialize(records.select("key", "file", "offset", "length"), "captures")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Captures of one URL may be many: the place in the archives spreads them.
     ordered = rows.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    ordered.mapInArrow(worker(_blocks), BLOCKS).write.parquet(f"{path}/index")
+    ordered.mapInArrow(worker(_blocks(block)), BLOCKS).write.parquet(f"{path}/index")
     directory = rows.sparkSession.read.schema(BLOCKS).parquet(f"{path}/index").drop("lines")
     directory.write.parquet(f"{path}/directory")
 
 
 CAPTURE = "key string, file string, offset long, length long"
+WANTED = "part int, block int, key string"
+
 
+def keys_of(pages: DataFrame) -> DataFrame:
+    """The distinct keys (key) under which pages are written."""
+    ship(pages.sparkSession)
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            key, file, offset, length = zip(*map(json.loads, zlib.decompress(data).decode().split("\n")), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.string()), pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
-                names=["key", "file", "offset", "length"],
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    return named.select(_target().alias("url")).distinct().mapInArrow(worker(run), "key string").distinct()
+
+
+def _parts_of(tops: list[tuple]):
+    """(part, key) for each part whose range holds a wanted key; ``tops`` are sorted."""
+    firsts, lasts = [t[1] for t in tops], [t[2] for t in tops]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                for k in range(bisect_left(lasts, key), bisect_right(firsts, key)):
+                    yield tops[k][0], key
+
+    return lambda batches: _arrow(rows(batches), "part int, key string")
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bisect a part's directory, whose rows come before the part's wanted keys."""
+
+    def rows() -> Iterator[tuple]:
+        part, numbers, firsts, lasts = None, [], [], []
+        for batch in batches:
+            for p, block, first, last, key in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if p != part:
+                    part, numbers, firsts, lasts = p, [], [], []
+                if block is not None:
+                    numbers.append(block)
+                    firsts.append(first)
+                    lasts.append(last)
+                else:
+                    for k in range(bisect_left(lasts, key), bisect_right(firsts, key)):
+                        yield part, numbers[k], key
 
+    return _arrow(rows(), WANTED)
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of the index."""
+
+def _captures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bisect the lines of a block, which comes before the keys wanted in it."""
+
+    def rows() -> Iterator[tuple]:
+        lines: list[list] = []
+        for batch in batches:
+            for data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if data is not None:
+                    lines = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+                    continue
+                k = bisect_left(lines, [key])
+                while k < len(lines) and lines[k][0] == key:
+                    yield tuple(lines[k])
+                    k += 1
+
+    return _arrow(rows(), CAPTURE)
+
+
+def search(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Captures (key, file, offset, length) of all wanted keys (key), which are distinct.
+
+    The driver sees one row per part of the index, of which there are as many as shuffle
+    partitions.  Keys that the index does not hold find nothing.
+    """
+    ship(spark)
+    directory = spark.read.schema(BLOCKS).parquet(f"{path}/directory").select("part", "block", "first_key", "last_key")
+    tops = directory.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    tops = sorted((tuple(r) for r in tops.collect()), key=lambda t: (t[1], t[2]))
+    wanted = keys.where("key IS NOT NULL").select("key").mapInArrow(worker(_parts_of(tops)), "part int, key string")
+    both = directory.unionByName(wanted, allowMissingColumns=True)
+    both = both.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_last(), "key")
+    found = both.mapInArrow(worker(_blocks_of), WANTED)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/index").select("part", "block", "lines")
+    both = blocks.unionByName(found, allowMissingColumns=True).repartition("part", "block")
+    both = both.sortWithinPartitions("part", "block", F.col("key").asc_nulls_first()).select("lines", "key")
+    return both.mapInArrow(worker(_captures_of), CAPTURE)
+
+
+def _ranges(folder: str, payloads: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        system, root = files.FileSystem.from_uri(folder)
+        name, raw = None, None
+        try:
+            for batch in batches:
+                for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if file != name:
+                        if raw is not None:
+                            raw.close()
+                        name, raw = file, system.open_input_file(f"{root}/{file}")
+                    yield parse(raw.read_at(length, offset), file, offset, payloads)
+        finally:
+            if raw is not None:
+                raw.close()
+
+    return lambda batches: _arrow(rows(batches), RECORD)
+
+
+def read_ranges(spark: SparkSession, path: str, captures: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of captures, each read by its byte range alone, in order of their place."""
     ship(spark)
-    return spark.read.schema(BLOCKS).parquet(f"{path}/index").select("lines").mapInArrow(worker(_lines), CAPTURE)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = materialize(captures.select("file", "offset", "length"), "places")
+    places = places.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    return places.mapInArrow(worker(_ranges(_uri(spark, f"{path}/archives"), payloads)), RECORD)
 
 
 def lookup(spark: SparkSession, path: str, urls: Sequence[str]) -> list[tuple]:
-    """Captures of a few URLs: (key, file, offset, length), by directory and bisection."""
-    found, wanted = [], sorted({surt(u) for u in urls})
-    for key in wanted:
-        at = spark.read.parquet(f"{path}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-        for b in at.select("part", "block").collect():  # the blocks that can hold the key
-            rows = spark.read.parquet(f"{path}/index").where((F.col("part") == b["part"]) & (F.col("block") == b["block"]))
-            lines = [tuple(json.loads(x)) for x in zlib.decompress(rows.first()["lines"]).decode().split("\n")]
-            k = bisect_left(lines, (key,))
-            while k < len(lines) and lines[k][0] == key:
-                found.append(lines[k])
-                k += 1
-    return found
+    """Captures of a few URLs: (key, file, offset, length)."""
+    keys = spark.createDataFrame([(k,) for k in sorted({surt(u) for u in urls})], "key string")
+    return sorted(tuple(r) for r in search(spark, path, keys).collect())
 
 
 def read_captures(spark: SparkSession, path: str, captures: Sequence[tuple]) -> list[tuple]:
-    """Records of some captures, from their byte ranges alone."""
-    wanted: dict[str, list] = {}
-    for _, file, offset, length in captures:
-        wanted.setdefault(file, []).append((offset, length))
-    files = spark.read.format("binaryFile").load([f"{path}/archives/{f}" for f in wanted]).select("path", "content") if wanted else None
-    name = F.element_at(F.split("path", "/"), -1)
-    ranges = spark.createDataFrame([(f, o, n) for f, v in wanted.items() for o, n in v], "file string, offset long, length long")
-    if files is None:
-        return []
-    cut = files.join(ranges, name == F.col("file")).select("file", F.expr("substring(content, int(offset + 1), int(length))").alias("record"))
-    return [next(parse(bytes(r["record"]), r["file"], True)) for r in cut.collect()]
-
-
-def indexed_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records read back, each under a capture of the index that names its place."""
-    return read_index(spark, path).join(read_archives(spark, path).drop("key", "payload"), ["file", "offset", "length"])
+    """Records of a few captures, with their payloads."""
+    places = spark.createDataFrame([tuple(c) for c in captures], CAPTURE)
+    return [tuple(r) for r in read_ranges(spark, path, places, True).collect()]
+
+
+def indexed_records(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    """The records of all pages, found by their keys in the index and read by range."""
+    return read_ranges(spark, path, search(spark, path, keys_of(pages)))
