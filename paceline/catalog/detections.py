@@ -506,6 +506,52 @@ def sample_frames(spark, sf):
     return kept.select("frame_ord", name.alias("name"))
 
 
+# Four ranges per camera: the whole video, a cut of it, one that ends before it starts,
+# one without an interval.  Race 0 has no frame rate; camera 2 has ranges and no video.
+RANGES = """fr AS (SELECT CAST(user_id % 8 AS BIGINT) AS race_id, 'cam' || (user_id % 2) AS camera_id, event_id AS frame_ord,
+  CAST(user_id % 8 AS DOUBLE) * 5 AS fps FROM events),
+vid AS (SELECT race_id, camera_id, max(fps) AS fps, max(frame_ord) + 1 AS total FROM fr GROUP BY ALL),
+cams AS (SELECT race_id, camera_id FROM vid UNION SELECT race_id, 'cam2' FROM vid),
+rng AS (SELECT * FROM cams, (VALUES (0, 7, NULL, NULL), (1, 3, 2.5, 40.0), (2, 2, 30.0, 10.0), (3, 0, NULL, NULL)) AS r(range_no, every, start_s, end_s)),
+res AS (SELECT r.*, greatest(0, coalesce(trunc(start_s::DOUBLE * fps), 0)) AS first, least(total, coalesce(trunc(end_s::DOUBLE * fps), total)) AS stop,
+  CASE WHEN every < 1 THEN 'frame interval must be at least 1' WHEN total IS NULL THEN 'no such video'
+    WHEN first >= stop THEN 'start time must be less than end time' END AS error
+  FROM rng r LEFT JOIN vid v ON r.race_id = v.race_id AND r.camera_id = v.camera_id) """
+
+
+def _ranges(spark, sf):
+    u = F.col("user_id")
+    rows = v.table(spark, sf, "events").select(
+        (u % 8).alias("race_id"), F.concat(F.lit("cam"), (u % 2).cast("string")).alias("camera_id"),
+        F.col("event_id").alias("frame_ord"), ((u % 8).cast("double") * 5).alias("fps"),
+    )
+    videos = materialize(rows.groupBy(*CAM).agg(F.max("fps").alias("fps"), (F.max("frame_ord") + 1).alias("total")), "videos")
+    cameras = videos.select(*CAM).unionByName(videos.select("race_id", F.lit("cam2").alias("camera_id")).distinct())
+    asked = [(0, 7, None, None), (1, 3, 2.5, 40.0), (2, 2, 30.0, 10.0), (3, 0, None, None)]
+    entries = F.array(
+        *[
+            F.struct(F.lit(n).alias("range_no"), F.lit(e).alias("every"), F.lit(a).cast("double").alias("start_s"), F.lit(b).cast("double").alias("end_s"))
+            for n, e, a, b in asked
+        ]
+    )
+    return rows.drop("fps"), cameras.select(*CAM, F.inline(entries)), videos
+
+
+@query(
+    "q_sample_ranges",
+    f"WITH {RANGES}"
+    + """SELECT f.race_id, f.camera_id, f.frame_ord, r.range_no FROM fr f JOIN res r ON f.race_id = r.race_id AND f.camera_id = r.camera_id
+WHERE error IS NULL AND frame_ord >= first AND frame_ord < stop AND (frame_ord - first) % every = 0""",
+)
+def sample_ranges(spark, sf):
+    return frames.sample_ranges(*_ranges(spark, sf))[0]
+
+
+@query("q_sample_rejected", f"WITH {RANGES} SELECT race_id, camera_id, range_no, error FROM res WHERE error IS NOT NULL")
+def sample_rejected(spark, sf):
+    return frames.sample_ranges(*_ranges(spark, sf))[1].select(*CAM, "range_no", "error")
+
+
 @query(
     "q_roi_frames",
     f"WITH {v.V_DET}"

@@ -9,6 +9,11 @@ from ..functions import times
 from .detections import FRAME, PERSON
 
 CAMERA = ["race_id", "camera_id"]
+# Ranges are matched with frames in blocks of this many frames.
+BLOCK = 1 << 14
+MSG_EVERY = "frame interval must be at least 1"
+MSG_RANGE = "start time must be less than end time"
+MSG_VIDEO = "no such video"
 
 
 def frame_range(
@@ -18,7 +23,7 @@ def frame_range(
     first = max(0, int(start_s * fps)) if start_s is not None else 0
     end = min(total, int(end_s * fps)) if end_s is not None else total
     if first >= end:
-        raise ValueError("start time must be less than end time")
+        raise ValueError(MSG_RANGE)
     return first, end
 
 
@@ -32,12 +37,52 @@ def sample_frames(
 ) -> DataFrame:
     """Every n-th frame of the range, counted from the range start."""
     if every < 1:
-        raise ValueError("frame interval must be at least 1")
+        raise ValueError(MSG_EVERY)
     first, end = frame_range(total, fps, start_s, end_s)
     at = F.col("frame_ord")
     return frames.where((at >= first) & (at < end) & ((at - first) % every == 0))
 
 
+def resolve_ranges(ranges: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges with first and end frame (exclusive), and rejected ones with ``error``.
+
+    ``ranges`` has race_id, camera_id, range_no, every, start_s, end_s, the last two null
+    where the video is not cut; ``videos`` one row per camera with fps and total.  A null
+    ``every`` is rejected like a zero; a null or zero fps puts every given time at frame 0.
+    """
+    known = videos.select(*CAMERA, F.coalesce(F.col("fps").cast("double"), F.lit(0.0)).alias("_fps"), F.col("total").alias("_total"))
+    at = lambda c: (F.col(c) * F.col("_fps")).cast("bigint")
+    rows = ranges.join(known, CAMERA, "left").withColumns(
+        {
+            "first": F.greatest(F.lit(0), F.coalesce(at("start_s"), F.lit(0))).cast("bigint"),
+            "end": F.least(F.col("_total"), F.coalesce(at("end_s"), F.col("_total"))).cast("bigint"),
+        }
+    )
+    error = (
+        F.when(F.coalesce(F.col("every") < 1, F.lit(True)), F.lit(MSG_EVERY))
+        .when(F.col("_total").isNull(), F.lit(MSG_VIDEO))
+        .when(F.col("first") >= F.col("end"), F.lit(MSG_RANGE))
+    )
+    rows = rows.withColumn("error", error).drop("_fps", "_total")
+    return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").drop("first", "end")
+
+
+def sample_ranges(frames: DataFrame, ranges: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every n-th frame of each range of each camera, with ``range_no``; and rejected ranges.
+
+    A frame in several ranges is returned for each.  Ranges are dealt to blocks of frames
+    and joined by camera and block, so a frame meets only ranges that reach its block, and
+    a camera with a third of the frames spreads over its blocks.
+    """
+    good, rejected = resolve_ranges(ranges, videos)
+    blocks = F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
+    spread = good.select(*CAMERA, "range_no", "every", "first", "end", F.explode(blocks).alias("_block"))
+    at = F.col("frame_ord")
+    hits = frames.withColumn("_block", F.floor(at / BLOCK)).join(spread, [*CAMERA, "_block"])
+    hits = hits.where((at >= F.col("first")) & (at < F.col("end")) & ((at - F.col("first")) % F.col("every") == 0))
+    return hits.select(*frames.columns, "range_no"), rejected
+
+
 def frames_with_person_in_roi(
     frames: DataFrame,
     detections: DataFrame,

@@ -233,3 +233,19 @@ def test_frame_range():
 def test_frame_name(spark):
     name = frames.frame_name(F.lit(7), F.lit(30.0), "JPG")
     assert spark.range(1).select(name).first()[0] == "frame_000007_t0.233s.jpg"
+
+
+def test_ranges_of_several_cameras(rows_of, monkeypatch):
+    monkeypatch.setattr(frames, "BLOCK", 8)
+    camera = "race_id bigint, camera_id string, "
+    shown = rows_of(camera + "frame_ord bigint", *[(0, c, k) for c in "ab" for k in range(40)])
+    videos = rows_of(camera + "fps double, total bigint", (0, "a", 10.0, 40), (0, "b", None, 30))
+    asked = {("a", 0): (3, 0.75, 2.99), ("a", 1): (5, -1.0, None), ("a", 2): (1, 3.95, 99.0), ("b", 0): (7, None, None),
+             ("b", 1): (1, 0.0, 9.0), ("a", 3): (None, None, None), ("c", 0): (1, None, None), ("a", 4): (2, 4.0, 5.0)}
+    ranges = rows_of(camera + "range_no int, every int, start_s double, end_s double", *[(0, *key, *r) for key, r in asked.items()])
+    got, rejected = frames.sample_ranges(shown, ranges, videos)
+    want = {("a", 0): range(7, 29, 3), ("a", 1): range(0, 40, 5), ("a", 2): range(39, 40), ("b", 0): range(0, 30, 7)}
+    assert sorted((r["camera_id"], r["range_no"], r["frame_ord"]) for r in got.collect()) == sorted((*key, k) for key, ks in want.items() for k in ks)
+    assert {(r["camera_id"], r["range_no"]): r["error"] for r in rejected.collect()} == {
+        ("b", 1): frames.MSG_RANGE, ("a", 3): frames.MSG_EVERY, ("c", 0): frames.MSG_VIDEO, ("a", 4): frames.MSG_RANGE,
+    }
