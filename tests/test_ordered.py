@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import ranking
-from paceline.plans.ordered import CHUNK, fill_forward, middle_rows, ordered_index, sorted_chunks
+from paceline.plans.ordered import CHUNK, fill_forward, middle_rows, ordered_index, running_sum, sorted_chunks
 from paceline.plans.sizing import shuffle_settings
 from paceline.plans.skew import spread_join
 from paceline.plans.tables import materialize, release, shared_folder
@@ -101,3 +101,14 @@ def test_shuffle_settings(spark):
     small, large = shuffle_settings(10**9, 8), shuffle_settings(100 * 10**12, 8000)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert (small[key], large[key]) == ("16", "50000")
+
+
+def test_running_sum(spark, partitions):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 0, 0, 1, None]), n, rng.choice([1, -1, 0, None])) for n in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, n bigint, d bigint").repartition(7)
+    got = {(r["k"], r["n"]): r["total"] for r in running_sum(df, ["k"], [F.col("n").asc()], "d", "total").collect()}
+    sums, want = {}, {}
+    for k, n, d in rows:
+        want[(k, n)] = sums[k] = sums.get(k, 0) + (d or 0)
+    assert got == want
