@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from . import detections as _detections  # noqa: F401  (registers its queries)
+from . import race as _race  # noqa: F401  (registers its queries)
 from . import ranking as _ranking
 from . import replay as _replay  # noqa: F401  (registers its queries)
 from . import results as _results  # noqa: F401  (registers its queries)

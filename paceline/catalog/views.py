@@ -393,3 +393,51 @@ v_label AS (
          (x1 + (x2 - x1) / 2) / iw AS cx, (y1 + (y2 - y1) / 2) / ih AS cy,
          (x2 - x1) / iw AS w, (y2 - y1) / ih AS h
   FROM v_shape)"""
+
+
+def v_race_det(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_det`` as a live camera delivers it: every eighth frame number is missing, and
+    in twelve frames of 97 nothing but other objects (class 2) is in view."""
+    at = F.col("frame_ord")
+    return v_det(spark, sf_dir).withColumns(
+        {
+            "frame_ord": at + F.floor(at / 7).cast("bigint"),
+            "cls": F.when((at % 97).between(14, 25), F.lit(2)).otherwise(F.col("cls")),
+        }
+    )
+
+
+V_RACE_DET = (
+    V_DET.replace("v_det AS (", "v_all AS (")
+    + """, v_race_det AS (SELECT * REPLACE (frame_ord + frame_ord // 7 AS frame_ord,
+    CASE WHEN frame_ord % 97 BETWEEN 14 AND 25 THEN 2 ELSE cls END AS cls) FROM v_all)"""
+)
+
+
+def v_crop_read(det: DataFrame) -> DataFrame:
+    """Reading of each bib box, from its place in the frame."""
+    n = F.col("det_seq")
+    return det.where(F.col("cls") == 1).select(
+        "race_id", "camera_id", "frame_ord", "det_seq",
+        (F.lit(10) + F.floor(n / 4)).cast("string").alias("bib_read"),
+        ((F.lit(40) + (F.col("frame_ord") + n) % 61) / 100).alias("ocr_conf"),
+    )
+
+
+def v_race_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock commands of ``v_clock``, given while the event's frame was taken."""
+    block = F.floor(F.col("seq") / 20).cast("bigint")
+    return v_clock(spark, sf_dir).withColumns(
+        {
+            "race_id": block % 3 % 2,
+            "ts_s": F.floor(block / 3).cast("bigint") * 0.04 + 1000.0,
+        }
+    )
+
+
+V_RACE_CLOCK = (
+    V_CLOCK.replace("v_clock AS (", "v_log AS (")
+    + """, v_clock AS (SELECT (seq // 20) % 3 % 2 AS race_id,
+    (seq // 20) // 3 * CAST(0.04 AS DOUBLE) + CAST(1000.0 AS DOUBLE) AS ts_s,
+    seq, action, arg_ms FROM v_log)"""
+)
