@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boards, feed
+from ..operators import boards, detections, feed, race
 from ..plans.tables import shared_folder
+from ..sources import sinks
 from ..sources.feeds import read_frame_feed
 from ..streaming import serve, stateful
 from . import detections as det
+from . import race as race_queries
 from . import ranking as rank_queries
 from . import views as v
 from .registry import SQL, query
@@ -37,7 +39,7 @@ def parts(df: DataFrame, order: str) -> list[DataFrame]:
     return out
 
 
-def run(df: DataFrame, order: str, transform, writer=None) -> DataFrame:
+def run(df: DataFrame, order: str, transform, writer=None, mode: str = "append") -> DataFrame:
     """Feed the rows of ``df`` range by range through a stream; read the resulting table.
 
     A range's rows are written by as many tasks as hold them and make one micro-batch;
@@ -48,16 +50,20 @@ def run(df: DataFrame, order: str, transform, writer=None) -> DataFrame:
     for part in parts(df, order):
         part.write.mode("append").parquet(path)
         result = transform(spark.readStream.schema(df.schema).parquet(path))
-        query = serve.run_available(result, (writer or serve.table_writer)(out), checkpoint)
+        query = serve.run_available(result, (writer or serve.table_writer)(out), checkpoint, mode)
         query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out).select(*result.columns)
 
 
 def frame_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Frame feed from the detection view: boxes and reads nested per frame."""
+    """Frame feed from the detection view, with a read per person."""
     d = det.decoded(spark, sf)
-    persons, _ = det.split(d)
-    reads = det.person_reads(persons).groupBy("race_id", "camera_id", "frame_ord").agg(
+    return nested_feed(d, det.person_reads(det.split(d)[0]))
+
+
+def nested_feed(d: DataFrame, reads: DataFrame) -> DataFrame:
+    """Frame feed: boxes and reads nested per frame."""
+    reads = reads.groupBy("race_id", "camera_id", "frame_ord").agg(
         F.collect_list(F.struct("track_id", "det_seq", "bib_read", "ocr_conf")).alias("reads")
     )
     box = F.struct("det_seq", "track_id", "cls", "conf", "x1", "y1", "x2", "y2")
@@ -82,6 +88,24 @@ def stream_emission(spark, sf):
     return sent.drop("cross_ord", "finish_time_ms")
 
 
+SENT = ["cross_ord", "emit_ord", "finish_wall_time", "bib_number", "racer_name"]
+
+
+@query(
+    "q_stream_race",
+    race_queries.EVENTS + f"SELECT race_id, camera_id, track_id, {', '.join(SENT)} FROM sent",
+)
+def stream_race(spark, sf):
+    # A camera's feed carries the reads of the bibs assigned in each frame.
+    d, _, reads = race_queries.observed(spark, sf)
+    persons, bibs = det.split(d)
+    shown = race.track_reads(detections.assign_bibs(persons, bibs), reads)
+    path = folder(spark, "feed")
+    nested_feed(d, shown).write.parquet(path)
+    feed = read_frame_feed(spark, path)
+    return run(feed, "frame_ord", stateful.stream_race_events).select(*det.CAM, "track_id", *SENT)
+
+
 @query("q_stream_clock", SQL["q_clock_asof"])
 def stream_clock(spark, sf):
     # One range holds both kinds of rows, as one ordered source does.
@@ -103,8 +127,9 @@ def stream_clock(spark, sf):
 
 @query("q_stream_dedupe", SQL["q_dedupe_first_arrival"])
 def stream_dedupe(spark, sf):
-    rows = run(v.v_finish(spark, sf), "seq", lambda f: f, serve.first_arrival_writer)
-    return rows.drop("seq")
+    first = lambda f: stateful.stream_first(f, boards.BIB, "seq")
+    log = run(v.v_finish(spark, sf), "seq", first, mode="update")
+    return serve.first_log(log, boards.BIB, "seq").drop("seq")
 
 
 @query("q_stream_idle_skip", SQL["q_idle_skip"])
@@ -132,3 +157,33 @@ def stream_feed(spark, sf):
 )
 def latest_frame(spark, sf):
     return serve.latest_only(v.v_idle(spark, sf)).drop("has_person")
+
+
+@query(
+    "q_stream_latest",
+    f"WITH {v.V_IDLE}"
+    + """ SELECT race_id, camera_id, max(frame_ord) AS frame_ord,
+  arg_max(has_person, frame_ord) AS has_person, count(*) AS n_seen FROM v_idle GROUP BY ALL""",
+)
+def stream_latest(spark, sf):
+    log = run(v.v_idle(spark, sf), "frame_ord", stateful.stream_latest, mode="update")
+    slots = serve.latest_log(log)
+    # How many were taken hangs on the cuts between batches; taken and dropped add up.
+    n_seen = (F.col("n_taken") + F.col("n_dropped")).alias("n_seen")
+    return slots.select("race_id", "camera_id", "frame_ord", "has_person", n_seen)
+
+
+@query(
+    "q_stream_board",
+    f"""SELECT race_id, CAST("Place" AS VARCHAR) AS place, "Bib" AS bib, "Name" AS name, "Time" AS time,
+  "Difference" AS difference, nullif(trim(team), '') AS team
+FROM ({SQL['q_leaderboard']} WHERE finish_time_ms IS NOT NULL)""",
+)
+def stream_board(spark, sf):
+    # Every batch adds its rows and leaves a version of the board; the last one is read.
+    boards_path = folder(spark, "boards")
+    results = v.v_results(spark, sf)
+    run(results, "seq", lambda f: f, lambda out: serve.versioned_board(out, boards_path))
+    columns = {"Place": "place", "Bib": "bib", "Name": "name", "Time": "time", "Difference": "difference"}
+    board = sinks.read_leaderboard(spark, boards_path).withColumnsRenamed(columns)
+    return board.select("race_id", *columns.values(), "team")

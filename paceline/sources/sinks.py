@@ -6,9 +6,10 @@ task; reading the parts in name order gives the rows in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boards, ranking
@@ -37,6 +38,58 @@ def write_leaderboard(results: DataFrame, path: str) -> None:
     _csv(board.select("race_id", *LEADERBOARD)).partitionBy("race_id").csv(path)
 
 
+VERSION, COMPLETE = "version=", "_SUCCESS"
+
+
+def _versions(spark: SparkSession, path: str):
+    """File system, and the numbers of all versions and of the complete ones, ascending."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = sorted(int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION))
+    marked = spark._jvm.org.apache.hadoop.fs.Path
+    whole = [n for n in numbers if fs.exists(marked(f"{path}/{VERSION}{n}/{COMPLETE}"))]
+    return fs, numbers, whole
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the latest complete version, or None before the first.
+
+    A version is complete once Spark has committed its write, which leaves a marker file;
+    one that is being written, or was given up, is passed over.
+    """
+    _, _, whole = _versions(spark, path)
+    return f"{path}/{VERSION}{whole[-1]}" if whole else None
+
+
+def write_version(
+    spark: SparkSession, path: str, version: int, write: Callable[[str], None], keep: int = 3
+) -> None:
+    """Write a new version beside the others, then delete all but the last ``keep`` whole ones.
+
+    ``write`` gets the version's folder and must overwrite it, as a retry writes the same
+    number again.  A reader may go on with a version it has opened while ``keep`` newer
+    ones are written.
+    """
+    if keep < 2:
+        raise ValueError("keep must be 2 or more, as readers may hold the version before")
+    write(f"{path}/{VERSION}{version}")
+    fs, numbers, whole = _versions(spark, path)
+    for old in numbers:
+        if old < whole[-keep:][0]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{old}"), True)
+
+
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    """The board last written by ``serve.versioned_board``, all columns but the race as text."""
+    folder = current_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no complete version in {path}")
+    text = ", ".join(f"`{c}` string" for c in LEADERBOARD)
+    reader = spark.read.option("header", True).option("escape", '"')
+    return reader.schema(f"{text}, race_id bigint").csv(folder)
+
+
 def write_results_export(results: DataFrame, folder: str, day: date | None = None) -> str:
     """Six-column export with a dated name; name and team are always quoted."""
     day = day or date.today()

@@ -284,6 +284,38 @@ class IdleProcessor(StatefulProcessor):
         pass
 
 
+PROCESSED = (
+    "race_id bigint, camera_id string, frame_ord bigint, source_ord bigint, video_ms double, "
+    "wall_ts double, shown string"
+)
+
+
+class ProcessedProcessor(StatefulProcessor):
+    """Idle rule of one camera; numbers the frames it keeps and sends them on whole."""
+
+    def __init__(self, steps, after: int):
+        self.steps, self.after = steps, after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("processed", "state int, next_ord bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, ["source_ord"])
+        state, due = self.state.get() if self.state.exists() else (0, 0)
+        kept = []
+        for has in batch["has_person"]:
+            kept.append(state < self.after)
+            state = int(self.steps[int(bool(has)), state])
+        batch = batch.loc[kept]
+        self.state.update((state, due + len(batch)))
+        if len(batch):
+            batch = batch.assign(frame_ord=range(due, due + len(batch)))
+            yield batch[["race_id", "camera_id", "frame_ord", "source_ord", "video_ms", "wall_ts", "shown"]]
+
+    def close(self) -> None:
+        pass
+
+
 class GenerationProcessor(StatefulProcessor):
     """Stamps each change of a race with its generation: the last reload before it."""
 

@@ -109,6 +109,25 @@ def first_arrival_writer(path: str) -> Batch:
     return write
 
 
+def first_log(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows in force after all batches of ``stateful.stream_first``."""
+    first = F.min_by(F.struct(*[c for c in log.columns if c not in keys]), F.col(order))
+    return log.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*").select(*log.columns)
+
+
+def latest_log(log: DataFrame, keys: tuple[str, ...] = ("race_id", "camera_id")) -> DataFrame:
+    """Slots after all batches of ``stateful.stream_latest``, with frames taken and dropped.
+
+    The log has one row per camera and batch at most, so counting its distinct frames
+    is a count of batches.
+    """
+    cols = [c for c in log.columns if c not in (*keys, "n_seen")]
+    slot = F.max_by(F.struct(*cols), F.struct("n_seen", "frame_ord")).alias("_slot")
+    counts = F.count_distinct("frame_ord").alias("n_taken"), F.max("n_seen").alias("n_seen")
+    rows = log.groupBy(*keys).agg(slot, *counts)
+    return rows.select(*keys, "_slot.*", "n_taken", (F.col("n_seen") - F.col("n_taken")).alias("n_dropped"))
+
+
 def official_times(clock_log: Callable[[], DataFrame], fn: Batch) -> Batch:
     """As-of clock join of each batch against the clock log as it stands.
 
@@ -132,6 +151,24 @@ def snapshot_sink(path: str) -> Batch:
     return write
 
 
+def versioned_board(path: str, board_path: str, keep: int = 3) -> Batch:
+    """Result rows by batch, and a leaderboard version per batch that has rows.
+
+    Unlike ``snapshot_sink`` nothing is overwritten: ``sinks.read_leaderboard`` finds a
+    whole board at any time, and ``keep`` bounds the folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scope(spark):
+            _write_batch(batch.select(*RESULT_COLUMNS), path, batch_id)
+            table = ranking.finished(_earlier(spark, path, RESULT, batch_id + 1))
+            publish = lambda to: sinks.write_leaderboard(table, to)
+            sinks.write_version(spark, board_path, batch_id, publish, keep)
+
+    return on_finisher(write)
+
+
 def results_writer(
     path: str,
     roster: Callable[[], DataFrame],

@@ -16,10 +16,12 @@ from ..operators.clock import STATE
 from ..options import Options
 from .processors import (
     EMISSION,
+    PROCESSED,
     UPSERT,
     ClockProcessor,
     GenerationProcessor,
     IdleProcessor,
+    ProcessedProcessor,
     TrackProcessor,
     UpsertProcessor,
 )
@@ -115,6 +117,64 @@ def stream_idle_skip(
     )
 
 
+def stream_processed(persons: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Streaming twin of ``race.processed_frames``: frames the idle rule lets through.
+
+    ``frame_ord`` becomes the dense ordinal, ``source_ord`` is the frame's own number.
+    Batches must come in order; numbers may be missing.
+    """
+    use_rocksdb(persons.sparkSession)
+    # Nested rows travel as text.
+    shown = F.struct("persons", "reads")
+    frames = persons.select(
+        "race_id", "camera_id", F.col("frame_ord").alias("source_ord"), "video_ms", "wall_ts",
+        (F.size("persons") > 0).alias("has_person"), F.to_json(shown).alias("shown"),
+    )
+    kept = frames.groupBy("race_id", "camera_id").transformWithStateInPandas(
+        ProcessedProcessor(idle.step_tables(opts.idle_after, opts.idle_drop), opts.idle_after),
+        outputStructType=PROCESSED,
+        outputMode="Append",
+        timeMode="None",
+    )
+    types = [f"{c}: {persons.schema[c].dataType.simpleString()}" for c in ("persons", "reads")]
+    nested = F.from_json("shown", f"struct<{', '.join(types)}>")
+    return kept.withColumn("shown", nested).select("*", "shown.*").drop("shown")
+
+
+def stream_race_events(feed: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Streaming twin of ``race.finisher_events`` over a frame feed with the tracks' reads."""
+    return stream_emissions(stream_processed(feed_persons(feed, opts), opts), opts)
+
+
+def stream_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First row per key by ``order``, as changed rows (output mode ``update``).
+
+    A stateful aggregate: rows of a hot key are reduced before the shuffle, the state
+    keeps one row per key, and a batch costs what its own keys cost.  A key met again is
+    sent again, with the same row unless an earlier one came late; ``serve.first_log``
+    reads the rows in force.
+    """
+    use_rocksdb(rows.sparkSession)
+    first = F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.col(order))
+    found = rows.groupBy(*keys).agg(first.alias("_first"))
+    return found.select(*keys, "_first.*").select(*rows.columns)
+
+
+def stream_latest(frames: DataFrame, keys: tuple[str, ...] = ("race_id", "camera_id")) -> DataFrame:
+    """One slot per camera, as changed rows (output mode ``update``).
+
+    The slot holds the frame with the highest number; a frame that comes later with a
+    lower one never takes it.  ``n_seen`` counts all frames the camera has delivered.
+    Each change of the slot is one frame taken, the others are dropped:
+    ``serve.latest_log`` counts both.
+    """
+    use_rocksdb(frames.sparkSession)
+    cols = [c for c in frames.columns if c not in keys]
+    newest = F.max_by(F.struct(*cols), F.col("frame_ord")).alias("_slot")
+    slots = frames.groupBy(*keys).agg(newest, F.count(F.lit(1)).alias("n_seen"))
+    return slots.select(*keys, "_slot.*", "n_seen")
+
+
 def stream_feed(log: DataFrame) -> DataFrame:
     """Streaming twin of ``feed.fold_feed``: whole rows of ids that changed, to be upserted.
 

@@ -9,7 +9,7 @@ from paceline import schemas
 from paceline.catalog.streams import folder
 from paceline.operators import clock, tracks
 from paceline.options import Options
-from paceline.sources import feeds
+from paceline.sources import feeds, sinks
 from paceline.streaming import serve, stateful
 from tests.machine import emissions, kept_frames, random_frames
 from tests.test_clock import plain_fold, random_log
@@ -177,6 +177,69 @@ def test_idle_skip(spark):
     assert sorted(r.frame_ord for r in spark.read.parquet(out).collect()) == kept_frames(flags)
 
 
+def test_race_events_on_processed_frames(spark):
+    """Missing frame numbers and idle stretches: lost tracks are judged on processed frames."""
+    rng = random.Random(21)
+    shown = [{} if (at // 25) % 3 == 1 else f for at, f in enumerate(random_frames(rng, 150, 4, 0.9))]
+    numbers = sorted(rng.sample(range(400), len(shown)))
+    rows = [(0, "c0", numbers[at], *rest) for _, _, at, *rest in feed_rows([shown])]
+    kept = kept_frames([bool(f) for f in shown])
+    source, out, checkpoint = Files(spark, PERSONS), folder(spark, "out"), folder(spark, "ck")
+    opts = Options(hold_frames=8)
+    for part in (rows[:61], rows[61:90], rows[90:]):
+        source.add(part)
+        dense = stateful.stream_processed(source.stream(), opts)
+        drain(stateful.stream_emissions(dense, opts), serve.table_writer(out), checkpoint)
+    got = {r.track_id: (r.cross_ord, r.emit_ord) for r in spark.read.parquet(out).collect()}
+    assert got == emissions([shown[k] for k in kept], hold=8) and got and len(kept) < len(shown)
+
+
+def run_keyed(spark, schema, batches, transform):
+    """The change log of a keyed aggregate, and its checkpoint."""
+    source, out, checkpoint = Files(spark, schema), folder(spark, "out"), folder(spark, "ck")
+    for rows in batches:
+        source.add(rows)
+        changed = transform(source.stream())
+        serve.run_available(changed, serve.table_writer(out), checkpoint, "update").awaitTermination()
+    return spark.read.parquet(out), checkpoint
+
+
+def test_first_row_per_key_costs_what_a_batch_holds(spark):
+    rng, schema = random.Random(3), "race_id bigint, bib_number string, seq bigint, t double"
+    # Bib 0 holds most rows; two rows come late.
+    rows = [(0, str(max(0, rng.randrange(-20, 12))), n, None if n % 7 == 0 else n / 2) for n in range(400)]
+    order = rows[:40] + rows[60:] + rows[40:60]
+    batches = [order[n : n + 50] for n in range(0, 400, 50)]
+    keys = ["race_id", "bib_number"]
+    log, checkpoint = run_keyed(spark, schema, batches, lambda f: stateful.stream_first(f, keys, "seq"))
+    want = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        want.setdefault(r[1], r)
+    got = serve.first_log(log.select("race_id", "bib_number", "seq", "t"), keys, "seq").collect()
+    assert {r.bib_number: tuple(r) for r in got} == want
+    # A batch writes the keys it holds, whatever came before; the state has one row per key.
+    sent = {r.batch_id: r["count"] for r in log.groupBy("batch_id").count().collect()}
+    held = [len({r[1] for r in b}) for b in batches]
+    assert [sent[k] for k in sorted(sent) if sent[k]] == held
+    assert spark.read.format("statestore").load(checkpoint).count() == len(want)
+
+
+def test_latest_slot_drops_late_frames(spark):
+    schema = "race_id bigint, camera_id string, frame_ord bigint, tag string"
+    batches = [
+        [(0, "a", 1, "x"), (0, "a", 3, "y"), (0, "b", 5, None)],
+        [(0, "a", 2, "late")],  # never takes the slot
+        [(0, "a", 4, "z"), (0, "a", 6, None), (0, "b", 4, "late")],
+        [(None, None, 1, "n")],
+    ]
+    log, checkpoint = run_keyed(spark, schema, batches, stateful.stream_latest)
+    log = log.select("race_id", "camera_id", "frame_ord", "tag", "n_seen")
+    got = {(r.camera_id, r.frame_ord, r.tag, r.n_taken, r.n_dropped) for r in serve.latest_log(log).collect()}
+    # Camera a: 3 and 6 were taken, 1, 2 and 4 dropped.
+    assert got == {("a", 6, None, 2, 3), ("b", 5, None, 1, 1), (None, 1, "n", 1, 0)}
+    assert spark.read.format("statestore").load(checkpoint).count() == 3
+
+
 def test_first_arrival_is_idempotent(spark):
     schema = "race_id bigint, bib_number string, seq bigint"
     path = folder(spark, "first")
@@ -189,6 +252,47 @@ def test_first_arrival_is_idempotent(spark):
     assert got == {("a", 1), ("b", 3), ("c", 5)}
 
 
+def test_board_versions(spark, tmp_path):
+    """A reader sees whole boards only, also during a rewrite; few versions stay."""
+    path, schema = str(tmp_path / "board"), "race_id bigint, n int"
+    board = lambda n: spark.createDataFrame([(0, n), (1, n)], schema)
+    write = sinks.write_version
+    assert sinks.current_version(spark, path) is None
+    for n in range(6):
+        write(spark, path, n, lambda to, n=n: board(n).write.mode("overwrite").parquet(to), keep=3)
+        assert sinks.current_version(spark, path).endswith(f"version={n}")
+    assert sorted(p.name for p in tmp_path.joinpath("board").iterdir()) == [f"version={n}" for n in (3, 4, 5)]
+    opened = spark.read.parquet(sinks.current_version(spark, path))
+
+    def torn(to):
+        board(6).write.parquet(to)
+        tmp_path.joinpath("board/version=6/_SUCCESS").unlink()  # as while its tasks still write
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        write(spark, path, 6, torn, keep=3)
+    assert sinks.current_version(spark, path).endswith("version=5")
+    # A retried batch writes its own version anew; an opened board stays readable.
+    write(spark, path, 6, lambda to: board(6).write.mode("overwrite").parquet(to), keep=3)
+    write(spark, path, 6, lambda to: board(6).write.mode("overwrite").parquet(to), keep=3)
+    assert sinks.current_version(spark, path).endswith("version=6")
+    assert {r.n for r in opened.collect()} == {5}
+
+
+def test_versioned_leaderboard(spark, rows_of, tmp_path):
+    rows = [(0, str(n), str(n), f"R {n}", 1000.0 * (9 - n), None, "M", None, None, n) for n in range(6)]
+    rows[2] = (*rows[2][:4], None, *rows[2][5:])
+    table, path = str(tmp_path / "table"), str(tmp_path / "boards")
+    write = serve.versioned_board(table, path, keep=2)
+    for batch in range(3):
+        for _ in range(2):  # a retried batch changes nothing
+            write(rows_of(schemas.RESULT, *rows[2 * batch : 2 * batch + 2]), batch)
+    assert sorted(p.name for p in tmp_path.joinpath("boards").iterdir()) == ["version=1", "version=2"]
+    bibs = lambda df: [r.Bib for r in df.orderBy(F.col("Place").cast("int")).collect()]
+    assert bibs(sinks.read_leaderboard(spark, path)) == ["5", "4", "3", "1", "0"]
+    assert bibs(spark.read.option("header", True).csv(f"{path}/version=1")) == ["3", "1", "0"]
+
+
 def test_serving_pipeline(spark, rows_of, tmp_path):
     body = '{{"event_id": "{0}", "bibNumber": "{1}", {2}, "arrival_ts": {3}, "seq": {0}}}'
     lines = [
