@@ -11,12 +11,13 @@ signatures agree enough become candidates.
 
 Candidates are confirmed on full sets, in rounds: each class first tries its best
 partner, confirmed classes are contracted, and only pairs between different
-components are tried next.  The last round takes every pair that is left, so a
-group of copies costs about its size, and no candidate is dropped.
+components are tried next.  The last round takes every pair that is left in regions of
+up to ``REGION`` rows, so a group of copies costs about its size, and no candidate is
+dropped.
 
-Pieces of a cut region do not meet, so what is still in different components of such
-a region is compared whole afterwards: its classes are dealt to blocks and the blocks
-go pairwise to tasks, which check every pair that agrees enough on full sets.  A region
+What is still in different components of a cut region is not tried pair by pair, as its
+pieces hold many pairs a row and do not meet.  It is compared whole afterwards: its
+classes are dealt to blocks and the blocks go pairwise to tasks, which check every pair that agrees enough on full sets.  A region
 that the rounds made one component costs nothing here; one that stays apart costs the
 square of its classes in signature comparisons, but only links leave a task.
 
@@ -379,7 +380,8 @@ def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, perc
             rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("agree"), "a", "b"))
             now = ends.withColumn("r", rank).where(F.col("r") <= best).select("a", "b").distinct()
         else:
-            extra = _candidates(orders, comps, agree).join(tried, ["a", "b"], "left_anti")
+            # Regions that were cut are compared whole later on, where only links leave a task.
+            extra = _candidates(orders.where(F.col("n") <= REGION), comps, agree).join(tried, ["a", "b"], "left_anti")
             now = left.select("a", "b").union(extra.select("a", "b")).distinct()
         now = confirm(now)
         tried = now if tried is None else tried.union(now)

@@ -89,6 +89,29 @@ def test_star_larger_than_a_region(spark):
     assert [r["doc_id"] for r in out if r["component_id"] != 0] == []
 
 
+def test_pairs_tried_in_a_group_of_unlinked_rows(spark, monkeypatch):
+    """Rows alike enough to be candidates but not linked: pairs are not tried one row each."""
+    rng, base = random.Random(6), sentences(1, 200).split()
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in range(5):  # five edits a row, 20 of 197 shingles
+            w[5 + 39 * k + rng.randrange(30)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows.append((400, rows[399][1] + " end"))
+    tried, write = [], minhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "confirmed":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    check(spark, rows)
+    assert sum(tried) < minhash.REGION * len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (7, 7), (300, 100)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
