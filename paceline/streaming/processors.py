@@ -317,21 +317,29 @@ class ProcessedProcessor(StatefulProcessor):
 
 
 class GenerationProcessor(StatefulProcessor):
-    """Stamps each change of a race with its generation: the last reload before it."""
+    """Stamps changes of a race with their generation: the last reload before each.
+
+    A key holds a share of the race's ids and all of its reloads; share 0 sends those on.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("generation", "last bigint, seen bigint")
+        self.state = handle.getValueState("generation", "last bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, seen = self.state.get() if self.state.exists() else (0, None)
+        last = self.state.get()[0] if self.state.exists() else 0
         batch = _batch(rows, ["change_seq"])
-        if seen is not None:  # changes sent again have been counted
-            batch = batch[batch["change_seq"] > seen]
+        batch = batch[batch["change_seq"] > last]  # the others are of an earlier generation
         if not len(batch):
             return
-        own = batch["change_seq"].where(batch["type"] == "reload", 0).cummax().clip(lower=last)
-        self.state.update((int(own.iloc[-1]), int(batch["change_seq"].iloc[-1])))
-        yield batch.assign(generation=own)
+        reload = batch["type"] == "reload"
+        own = batch["change_seq"].where(reload, 0).cummax().clip(lower=last)
+        if own.iloc[-1] > last:
+            self.state.update((int(own.iloc[-1]),))
+        sent = batch.assign(generation=own)
+        if key[1]:
+            sent = sent[~reload]
+        if len(sent):
+            yield sent.drop(columns="share")
 
     def close(self) -> None:
         pass

@@ -89,6 +89,31 @@ def test_stream_restarts_and_repeats(spark):
     assert sent.columns[0] == "race_id" and sent.where("id = 'i3'").count() <= 8  # a row per batch, not per change
 
 
+def test_stream_spreads_a_race(spark, monkeypatch, tmp_path):
+    """One race's changes do not meet in one call; late changes count unless a reload came."""
+    sizes = str(tmp_path / "sizes")
+
+    class Counting(stateful.GenerationProcessor):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with open(sizes, "a") as log:
+                log.write(f"{sum(map(len, rows))}\n")
+            yield from super().handleInputRows(key, iter(rows), timerValues)
+
+    monkeypatch.setattr(stateful, "GenerationProcessor", Counting)
+    give = lambda i, n: (0, n, "add", f"i{i}", {"team": str(n)})
+    first = [give(n % 500, n) for n in range(1, 2001)] + [(0, 2001, "reload", None, None)]
+    first += [give(n % 500, n) for n in range(2002, 3000)] + [give(7, 3002)]
+    late = [give(900, 5), give(7, 3001), give(901, 3000)]
+    source, out, checkpoint = Files(spark, LOG), folder(spark, "out"), folder(spark, "ck")
+    for rows in (first, late):
+        source.add(rows)
+        drain(stateful.stream_feed(source.stream()), serve.table_writer(out), checkpoint)
+    assert table(feed.live_table(spark.read.parquet(out))) == plain(sorted(first + late, key=lambda r: r[1]))
+    with open(sizes) as log:
+        assert max(int(n) for n in log) <= len(first) // 8
+
+
 def test_messages_keep_cleared_fields(spark, rows_of):
     """A null that is sent clears the field; a field that is not sent stays."""
     schema = "race_id bigint, id string, bib_number string, racer_name string, finish_time_ms double, rank bigint, gender string, team string, age string"
