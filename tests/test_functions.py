@@ -59,6 +59,8 @@ def test_fmt_signed_and_elapsed(spark):
         "01:01.50", "-01:01.50", "00:00.00",
     ]
     assert evaluate(spark, times.fmt_elapsed, "double", [59.9, 3661.0]) == ["00:59", "61:01"]
+    # Minutes have two digits at least, as the reference's ``:02d``; none is cut off.
+    assert evaluate(spark, times.fmt_elapsed, "double", [7519.8, 60000.0]) == ["125:19", "1000:00"]
     assert evaluate(spark, times.fmt_video, "double", [1290.0, 4350.0]) == ["00:01.29", "00:04.34"]
 
 
