@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boards, detections, feed, race
-from ..plans.tables import shared_folder
+from ..plans.tables import materialize, shared_folder
 from ..sources import sinks
 from ..sources.feeds import read_frame_feed
 from ..streaming import serve, stateful
@@ -182,7 +182,8 @@ FROM ({SQL['q_leaderboard']} WHERE finish_time_ms IS NOT NULL)""",
 def stream_board(spark, sf):
     # Every batch adds its rows and leaves a version of the board; the last one is read.
     boards_path = folder(spark, "boards")
-    results = v.v_results(spark, sf)
+    # Written once: cutting the rows into ranges reads them once a range and more.
+    results = materialize(v.v_results(spark, sf), "results")
     run(results, "seq", lambda f: f, lambda out: serve.versioned_board(out, boards_path))
     columns = {"Place": "place", "Bib": "bib", "Name": "name", "Time": "time", "Difference": "difference"}
     board = sinks.read_leaderboard(spark, boards_path).withColumnsRenamed(columns)
