@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -15,12 +15,13 @@ MSG_NO_TIME = "Time is required"
 MSG_BAD_TIME = "Invalid time format. Use MM:SS.ms"
 
 
-def _clock_states(rows: DataFrame) -> DataFrame:
+def _clock_states(rows: DataFrame, others: dict[str, Column] | None = None) -> DataFrame:
     """State after each row of a sorted union of clock rows and other rows.
 
     Start, status and offset are each "the last value set so far": starts and
     resets set the start, starts, stops and resets the status, edits and resets
-    the offset.  An edit's offset needs the start in force, hence two fills.
+    the offset.  An edit's offset needs the start in force, hence two fills.  ``others``
+    are more values to fill forward with them.
     """
     action, ts = F.col("action"), F.col("ts_s")
     no_start = F.lit(None).cast("double")
@@ -30,7 +31,7 @@ def _clock_states(rows: DataFrame) -> DataFrame:
     status = F.when(action == "start", F.lit("running")).when(
         action.isin("stop", "reset"), F.lit("stopped")
     )
-    rows = fill_forward(rows, RACE, {"_start": start, "_status": status})
+    rows = fill_forward(rows, RACE, {"_start": start, "_status": status, **(others or {})})
     started = F.col("_start.v")
     wanted = F.col("arg_ms")
     edited = F.when(started.isNull(), wanted).otherwise(wanted - (ts - started) * 1000)

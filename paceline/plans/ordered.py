@@ -103,6 +103,23 @@ def fill_forward(
     )
 
 
+def previous(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add ``name`` = ``value`` in the row before, within non-null ``keys``; rows from ``sorted_chunks``.
+
+    Only a chunk's first key can go on from an earlier chunk, so what is carried has
+    at most chunks rows, however many keys there are.
+    """
+    heads = rows.where(F.col(POS) == 0).select(*keys).distinct()
+    last = rows.join(heads, [*keys], "left_semi").groupBy(*keys, CHUNK).agg(F.max_by(value, POS).alias("_v"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = last.select(*keys, CHUNK, F.lag("_v").over(earlier).alias("_carried"))
+    local = rows.withColumn(name, F.lag(value).over(Window.partitionBy(*keys, CHUNK).orderBy(POS)))
+    first = F.lag(F.lit(1)).over(Window.partitionBy(*keys, CHUNK).orderBy(POS)).isNull()
+    joined = local.withColumn("_head", first).join(materialize(carried, "carried"), [*keys, CHUNK], "left")
+    joined = joined.withColumn(name, F.when(F.col("_head"), F.col("_carried")).otherwise(F.col(name)))
+    return joined.drop("_head", "_carried", CHUNK, POS)
+
+
 def middle_rows(n: Column) -> tuple[Column, Column]:
     """The one or two positions (from 1) whose mean is the median of ``n`` rows."""
     return F.floor((n + 1) / 2).cast("bigint"), F.floor((n + 2) / 2).cast("bigint")

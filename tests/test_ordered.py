@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import ranking
-from paceline.plans.ordered import CHUNK, fill_forward, middle_rows, ordered_index, running_sum, sorted_chunks
+from paceline.plans.ordered import CHUNK, fill_forward, middle_rows, ordered_index, previous, running_sum, sorted_chunks
 from paceline.plans.sizing import shuffle_settings
 from paceline.plans.skew import spread_join
 from paceline.plans.tables import materialize, release, shared_folder
@@ -112,3 +112,16 @@ def test_running_sum(spark, partitions):
     for k, n, d in rows:
         want[(k, n)] = sums[k] = sums.get(k, 0) + (d or 0)
     assert got == want
+
+
+def test_previous_is_the_row_before_across_chunks(spark, partitions):
+    rng = random.Random(8)
+    rows = [(0 if rng.random() < 0.6 else rng.randrange(1, 9), k, f"v{k}") for k in range(300)]
+    rng.shuffle(rows)
+    chunks = sorted_chunks(spark.createDataFrame(rows, "g long, n long, v string"), ["g"], [F.col("n").asc()])
+    got = {(r["g"], r["n"]): r["p"] for r in previous(chunks, ["g"], "v", "p").collect()}
+    want, last = {}, {}
+    for g, n, v in sorted(rows):
+        want[g, n] = last.get(g)
+        last[g] = v
+    assert got == want
