@@ -199,4 +199,4 @@ def command_replay(spark, sf):
   SELECT * FROM bad0 UNION ALL SELECT * FROM bad1) WHERE error IS NOT NULL""",
 )
 def command_rejected(spark, sf):
-    return commands.replay(*_inputs(spark, sf), stale_rank=True)[1]
+    return commands.rejected(*_inputs(spark, sf))
