@@ -363,6 +363,16 @@ def _link_ids(comps: DataFrame, full: DataFrame, classes: DataFrame, key: list[s
     return materialize(components(stars.union(links)), "comps")
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components with new links; the old ones stand for all links before."""
+    if comps is None:
+        return materialize(components(links), "comps")
+    if not links.limit(1).count():
+        return comps
+    stars = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.union(links)), "comps")
+
+
 def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, percent: int) -> DataFrame:
     """Confirm candidates round by round; components of the confirmed links."""
     a = held.select(F.col("doc_id").alias("a"), F.col("items").alias("p"))
@@ -385,7 +395,7 @@ def _link(found: DataFrame, held: DataFrame, orders: DataFrame, agree: int, perc
             now = left.select("a", "b").union(extra.select("a", "b")).distinct()
         now = confirm(now)
         tried = now if tried is None else tried.union(now)
-        comps = materialize(components(tried.where("linked").select("a", "b")), "comps")
+        comps = _joined(comps, now.where("linked").select("a", "b"))
         if best is not None:
             left = materialize(_between(left.join(tried, ["a", "b"], "left_anti"), comps), "left")
     return comps
@@ -420,5 +430,4 @@ def _link_regions(comps: DataFrame, sets: Callable, orders: DataFrame, agree: in
         (F.col("block") == F.col("i")).alias("is_i"), (F.col("block") == F.col("j")).alias("is_j"),
     )
     links = materialize(dealt.groupBy("region", "i", "j").applyInArrow(_block_links(agree, percent), "a long, b long"), "links")
-    stars = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return materialize(components(stars.union(links)), "comps")
+    return _joined(comps, links)

@@ -112,6 +112,16 @@ def test_pairs_tried_in_a_group_of_unlinked_rows(spark, monkeypatch):
     assert sum(tried) < minhash.REGION * len(rows)
 
 
+def test_rounds_without_a_link_leave_components(spark, monkeypatch):
+    rows = []
+    for i in range(6):
+        rows += [(2 * i, sentences(30 + i, 60)), (2 * i + 1, sentences(30 + i, 60) + " end")]
+    calls, real = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges: calls.append(1) or real(edges))
+    check(spark, rows)
+    assert len(calls) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (7, 7), (300, 100)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
